@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrelite.llm.knn import nearest_neighbours
 from kestrelite.llm.neardup import group_pairs, near_duplicate_groups
 from kestrelite.sources.tables import table
 
@@ -25,3 +26,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "docs"), "doc_id", ["title", "snippet"], threshold=0.6)
+
+
+@_register
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = nearest_neighbours(table(spark, sf_dir, "docs"), "doc_id", "vector", k=10, least=0.93)
+    return near.select(F.least("doc_id", "neighbour").alias("doc_a"), F.greatest("doc_id", "neighbour").alias("doc_b")).distinct()
+
+
+@_register
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of each query doc (id divisible by 100), searched in all docs; a query reads all lists nearly as near as the nearest."""
+    return nearest_neighbours(table(spark, sf_dir, "docs"), "doc_id", "vector", k=10, queries="doc_id % 100 = 0", probes=128, probe_ratio=0.15)
