@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrelite.llm.density import density_clusters, describe, place
 from kestrelite.llm.knn import nearest_neighbours
 from kestrelite.llm.neardup import group_pairs, near_duplicate_groups
 from kestrelite.sources.tables import table
@@ -38,3 +39,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest of each query doc (id divisible by 100), searched in all docs; a query reads all lists nearly as near as the nearest."""
     return nearest_neighbours(table(spark, sf_dir, "docs"), "doc_id", "vector", k=10, queries="doc_id % 100 = 0", probes=128, probe_ratio=0.15)
+
+
+@_register
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, means = density_clusters(table(spark, sf_dir, "docs"), "doc_id", "vector")
+    placed = place(table(spark, sf_dir, "cluster_anchors"), "anchor_id", "vector", means, 0.55)
+    return placed.join(members, "cluster").select(F.col("anchor_id").cast("int").alias("anchor_id"), "doc_id")
+
+
+@_register
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "docs")
+    return describe(density_clusters(docs, "doc_id", "vector")[0], docs, "doc_id", "category")
