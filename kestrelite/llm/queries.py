@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrelite.llm.density import density_clusters, describe, place
+from kestrelite.llm.growing_sample import BITS, STEP, growing_sample
 from kestrelite.llm.knn import nearest_neighbours
 from kestrelite.llm.neardup import group_pairs, near_duplicate_groups
+from kestrelite.llm.percentiles import combine, radix_histogram, radix_select
+from kestrelite.llm.quotas import draw_samples, target_report
+from kestrelite.operators.redelivery import normalised_node
 from kestrelite.sources.tables import table
 
 QUERIES: dict = {}
@@ -19,6 +23,54 @@ def _register(f):
     return f
 
 
+PERMILLES = (500, 900, 950, 990)
+#: Bits of the histograms kept per batch and day: a value is known to 1 part in 2^12.
+KEPT_BITS = 24
+
+
+def _latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, node_id, day, part, us): one latency per message and per answered query, whatever the number of its copies.
+
+    Inside a body a missing number is zero; a response whose parts took time but whose total is missing has no total, and doesn't count.
+    """
+    node = normalised_node(F.col("node_id")).alias("node_id")
+    events = table(spark, sf_dir, "node_events").where("stats IS NOT NULL").select(node, "seq", "t_mono_ns", "batch_id", "emitted_at", "received_at", F.coalesce("stats.p99_us", F.lit(0)).alias("us"))
+    events = events.groupBy("node_id", "seq", "t_mono_ns").agg(F.max("us").alias("us"), F.min("batch_id").alias("part"), F.coalesce(F.min("emitted_at"), F.min("received_at")).cast("date").alias("day"))
+    answers = table(spark, sf_dir, "responses").select("trace_id", node, F.col("answered_at").alias("t"), F.col("recorded_at").alias("r"), F.col("timings.total_us").alias("us"))
+    answers = answers.groupBy("trace_id").agg(F.min("node_id").alias("node_id"), F.max("us").alias("us"), F.min("r").cast("date").alias("r"), F.min("t").cast("date").alias("day"))
+    answers = answers.select(F.lit("response").alias("source"), "node_id", "day", F.datediff("r", F.lit("1970-01-01")).cast("long").alias("part"), "us").where("us IS NOT NULL")
+    return events.select(F.lit("stats").alias("source"), "node_id", "day", "part", "us").union(answers)
+
+
+@_register
+def p1_node_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source, node and day: the exact percentiles, as all 64 bits are followed."""
+    keys = ["source", "node_id", "day"]
+    found = radix_select(radix_histogram(_latencies(spark, sf_dir), keys, F.col("us")), keys, PERMILLES)
+    return found.select(*keys, "permille", "n", F.col("low").alias("value"))
+
+
+@_register
+def p1_combined_from_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a histogram per batch, cut to 24 bits, combined over batches: bounds that are within 1 part in 4096."""
+    keys = ["source", "node_id", "day"]
+    parts = radix_histogram(_latencies(spark, sf_dir), [*keys, "part"], F.col("us"), KEPT_BITS)
+    return radix_select(combine(parts, keys), keys, PERMILLES, KEPT_BITS)
+
+
+_NODE = "lower(trim(node_id, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)))"
+ORACLE["p1_node_day_percentiles"] = f"""
+    WITH e AS (SELECT 'stats' AS source, {_NODE} AS node_id, max(coalesce(stats.p99_us, 0)) AS us,
+                      CAST(coalesce(min(emitted_at), min(received_at)) AS DATE) AS day
+               FROM node_events WHERE stats IS NOT NULL GROUP BY {_NODE}, seq, t_mono_ns),
+         r AS (SELECT 'response' AS source, min({_NODE}) AS node_id, max(timings.total_us) AS us, CAST(min(answered_at) AS DATE) AS day
+               FROM responses GROUP BY trace_id),
+         v AS (SELECT source, node_id, day, us FROM e UNION ALL SELECT source, node_id, day, us FROM r WHERE us IS NOT NULL),
+         o AS (SELECT *, row_number() OVER (PARTITION BY source, node_id, day ORDER BY us) AS k, count(*) OVER (PARTITION BY source, node_id, day) AS n FROM v)
+    SELECT source, node_id, day, CAST(p AS INTEGER) AS permille, n, CAST(us AS DOUBLE) AS value
+    FROM o, (SELECT unnest([500, 900, 950, 990]) AS p) WHERE k = greatest(1, (n * p + 999) // 1000)"""
+
+
 @_register
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pairs(near_duplicate_groups(table(spark, sf_dir, "docs"), "doc_id", ["title", "snippet"], threshold=0.6))
@@ -52,3 +104,41 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "docs")
     return describe(density_clusters(docs, "doc_id", "vector")[0], docs, "doc_id", "category")
+
+
+@_register
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = target_report(table(spark, sf_dir, "docs"), "doc_id", "category", table(spark, sf_dir, "sample_targets"))
+    return report.where("NOT met").select("draw_id", "category")
+
+
+@_register
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_report(table(spark, sf_dir, "docs"), "doc_id", "category", table(spark, sf_dir, "sample_targets"))
+
+
+@_register
+def p4_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draw_samples(table(spark, sf_dir, "docs"), "doc_id", "category", table(spark, sf_dir, "sample_targets"))
+
+
+ORACLE["p4_found"] = r"""
+    WITH d AS (SELECT doc_id, min(nullif(lower(regexp_extract(category, '^[\s,;|/]*([^\s,;|/]+)', 1)), '')) AS category
+               FROM docs WHERE doc_id IS NOT NULL GROUP BY doc_id),
+         h AS (SELECT category, count(*) AS have FROM d GROUP BY category), t AS (SELECT count(*) AS total FROM d)
+    SELECT draw_id, s.category AS category FROM sample_targets s CROSS JOIN t LEFT JOIN h ON h.category = lower(trim(s.category, chr(32) || chr(9)))
+    WHERE coalesce(have, 0) < greatest(min_docs, (total * sample_percent // 100) * target_permille // 1000)"""
+
+GROWING_PERMILLE, GROWING_SHIFT = 50, 271_828_182_845
+
+
+@_register
+def p7_growing_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One doc in twenty, the same in every run; docs that are inserted later add to it and take nothing away."""
+    return growing_sample(table(spark, sf_dir, "docs"), "doc_id", "inserted_at", GROWING_PERMILLE, GROWING_SHIFT)
+
+
+ORACLE["p7_growing_sample"] = f"""
+    WITH f AS (SELECT doc_id, min(inserted_at) AS t FROM docs WHERE doc_id IS NOT NULL GROUP BY doc_id),
+         s AS (SELECT doc_id, row_number() OVER (ORDER BY t NULLS LAST, doc_id) - 1 AS seq FROM f)
+    SELECT doc_id, seq FROM s WHERE (CAST(seq AS HUGEINT) * {STEP} + {GROWING_SHIFT}) % {1 << BITS} < {(1 << BITS) * GROWING_PERMILLE // 1000}"""
