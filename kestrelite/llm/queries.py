@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kestrelite.llm.density import density_clusters, describe, place
 from kestrelite.llm.growing_sample import BITS, STEP, growing_sample
 from kestrelite.llm.knn import nearest_neighbours
+from kestrelite.llm.leakage import leaked_items
 from kestrelite.llm.neardup import group_pairs, near_duplicate_groups
 from kestrelite.llm.percentiles import combine, radix_histogram, radix_select
 from kestrelite.llm.quotas import draw_samples, target_report
@@ -142,3 +143,19 @@ ORACLE["p7_growing_sample"] = f"""
     WITH f AS (SELECT doc_id, min(inserted_at) AS t FROM docs WHERE doc_id IS NOT NULL GROUP BY doc_id),
          s AS (SELECT doc_id, row_number() OVER (ORDER BY t NULLS LAST, doc_id) - 1 AS seq FROM f)
     SELECT doc_id, seq FROM s WHERE (CAST(seq AS HUGEINT) * {STEP} + {GROWING_SHIFT}) % {1 << BITS} < {(1 << BITS) * GROWING_PERMILLE // 1000}"""
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "eval_items").where("item_id IS NOT NULL").select("item_id", "text").collect()]  # the fixed test set
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", items)
+
+
+@_register
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("item_id", "doc_id")
+
+
+@_register
+def p9_items_leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per test item that leaked: in how many documents."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
