@@ -12,6 +12,7 @@ from kestrelite.llm.leakage import leaked_items
 from kestrelite.llm.neardup import group_pairs, near_duplicate_groups
 from kestrelite.llm.percentiles import combine, radix_histogram, radix_select
 from kestrelite.llm.quotas import draw_samples, target_report
+from kestrelite.llm.subjects import subject_areas
 from kestrelite.operators.redelivery import normalised_node
 from kestrelite.sources.tables import table
 
@@ -159,3 +160,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_items_leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per test item that leaked: in how many documents."""
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@_register
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels")).select("doc_id", "subject")
+
+
+@_register
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each subject has in the corpus, and the mean share of their cues in thousandths."""
+    areas = subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"))
+    return areas.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.floor(F.avg("share") * 1000).alias("mean_share_permille"))
