@@ -10,6 +10,7 @@ from kestrelite.llm.growing_sample import BITS, STEP, growing_sample
 from kestrelite.llm.knn import nearest_neighbours
 from kestrelite.llm.leakage import leaked_items
 from kestrelite.llm.neardup import group_pairs, near_duplicate_groups
+from kestrelite.llm.packing import pack_texts
 from kestrelite.llm.percentiles import combine, radix_histogram, radix_select
 from kestrelite.llm.quotas import draw_samples, target_report
 from kestrelite.llm.subjects import subject_areas
@@ -151,6 +152,22 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", items)
 
 
+CONTAINER = 2048
+
+
+@_register
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", CONTAINER)
+
+
+@_register
+def p8_room_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers there are, how many tokens they hold, and the room left over in thousandths."""
+    packed = pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", CONTAINER)
+    total = packed.agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
+    return total.select("containers", "tokens", F.expr(f"1000 - tokens * 1000 div (containers * {CONTAINER})").alias("room_permille"))
+
+
 @_register
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).select("item_id", "doc_id")
