@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("training_core",)
+MODULES = ("training_core", "search")
 
 
 def collect() -> tuple[dict, dict]:
