@@ -11,7 +11,8 @@ connected by links. The overlap counts are entries of a sparse matrix product, d
      share `ngram` of their first a - ceil(threshold * a) + ngram words, and no link can be lost. A shorter prefix bounds the columns.
   4. Columns are hashed to blocks; one block, a bounded share of the columns, is multiplied in one task. A column of more than `hot`
      classes isn't multiplied there: its rows are cut into sub-blocks, and each pair of sub-blocks is one task.
-  5. Accumulated pairs below the bound on overlap are discarded by exact counts over the whole sets of words.
+  5. Pairs that can't reach the size-derived bound are discarded by a 128-bit sketch: each word flips a bit, so two sketches differ in at most
+     as many bits as there are words in only one of the records. What is left is decided by exact counts over the whole sets of words.
 
 Defined results
   * A null text counts as empty; a record without any word is in no group; a null id is left out.
@@ -88,7 +89,7 @@ def _classes(docs: DataFrame, frequency) -> DataFrame:
 
         hashes, df = _Hashes(), frequency.value
         for batch in batches:
-            ids, cls, size, shared, words = [], [], [], [], []
+            ids, cls, size, shared, words, sketch = [], [], [], [], [], []
             for doc_id, s in zip(batch.column(0).to_pylist(), _word_sets(batch, hashes), strict=True):
                 if len(s):
                     n = df[(s % np.uint64(SLOTS)).astype(np.int64)]
@@ -99,9 +100,12 @@ def _classes(docs: DataFrame, frequency) -> DataFrame:
                     size.append(len(s))
                     shared.append(k)
                     words.append(s[order].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(shared, pa.int32()), pa.array(words, pa.binary())], ["doc_id", "cls", "size", "shared", "words"])
+                    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % 128, minlength=128) & 1
+                    sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            sketch = np.array(sketch, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(shared, pa.int32()), pa.array(words, pa.binary()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], ["doc_id", "cls", "size", "shared", "words", "s0", "s1"])
 
-    return docs.mapInArrow(make, "doc_id long, cls long, size int, shared int, words binary")
+    return docs.mapInArrow(make, "doc_id long, cls long, size int, shared int, words binary, s0 long, s1 long")
 
 
 def _combos(n: int, k: int) -> np.ndarray:
@@ -252,9 +256,15 @@ def _may_hold(classes: DataFrame, pairs: DataFrame, bits: int = 1 << 22) -> Data
 
 def _verify(classes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that are linked, by exact counts."""
+    brief = classes.select("cls", "size", "s0", "s1").dropDuplicates(["cls"])
+    of = lambda x: brief.select(F.col("cls").alias(x), F.col("size").alias(f"n_{x}"), F.col("s0").alias(f"s0_{x}"), F.col("s1").alias(f"s1_{x}"))
+    apart = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
+    most = F.lit((1 - threshold) / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) + F.lit(1e-9)
+    sketched = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").where(apart <= most).select("a", "b")
+    pairs = materialize(sketched, "neardup-sketched")
     one = _may_hold(classes, pairs).dropDuplicates(["cls"])
     side = lambda x: one.select(F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), F.col("words").alias(f"words_{x}"))
-    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b") - F.lit(1e-9))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
