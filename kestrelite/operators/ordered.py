@@ -41,15 +41,15 @@ def _with_edges(df: DataFrame, keys: Sequence[str], edges: DataFrame, wanted: Se
 def with_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str]) -> DataFrame:
     """`columns`: new name to column whose value in the row before is wanted. `df` comes from `sliced`."""
     w, across = _inside(keys, order), Window.partitionBy(*keys).orderBy(SLICE)
-    last = df.groupBy(*keys, SLICE).agg(F.max_by(F.struct(*columns.values()), F.struct(*order)).alias("_last"))
-    before = last.withColumn("_before", F.lag("_last").over(across)).drop("_last")
+    last = df.groupBy(*keys, SLICE).agg(F.max_by(F.struct(*columns.values()), F.struct(*order)).alias("_tail"))
+    before = last.withColumn("_edge", F.lag("_tail").over(across)).drop("_tail")
     out = df.withColumn("_n", F.row_number().over(w))
     for new, c in columns.items():
         out = out.withColumn(new, F.lag(c).over(w))
-    out = _with_edges(out, keys, before, ["_before"])
+    out = _with_edges(out, keys, before, ["_edge"])
     for new, c in columns.items():
-        out = out.withColumn(new, F.when(F.col("_n") == 1, F.col(f"_before.{c}")).otherwise(F.col(new)))
-    return out.drop("_n", "_before")
+        out = out.withColumn(new, F.when(F.col("_n") == 1, F.col(f"_edge.{c}")).otherwise(F.col(new)))
+    return out.drop("_n", "_edge")
 
 
 def with_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, value: Column, how: str) -> DataFrame:
@@ -59,11 +59,11 @@ def with_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     held = df.withColumn("_v", value)
     part = held.groupBy(*keys, SLICE).agg(fold("_v").alias("_part"))
     across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    before = part.withColumn("_before", again("_part").over(across)).drop("_part")
+    before = part.withColumn("_edge", again("_part").over(across)).drop("_part")
     up_to = _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = _with_edges(held.withColumn("_in", fold("_v").over(up_to)), keys, before, ["_before"])
-    both = F.greatest("_in", "_before") if how == "max" else F.coalesce("_in", F.lit(0)) + F.coalesce("_before", F.lit(0))
-    return out.withColumn(name, both).drop("_v", "_in", "_before")
+    out = _with_edges(held.withColumn("_in", fold("_v").over(up_to)), keys, before, ["_edge"])
+    both = F.greatest("_in", "_edge") if how == "max" else F.coalesce("_in", F.lit(0)) + F.coalesce("_edge", F.lit(0))
+    return out.withColumn(name, both).drop("_v", "_in", "_edge")
 
 
 def with_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

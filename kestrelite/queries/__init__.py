@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("training_core", "search")
+MODULES = ("training_core", "search", "telemetry")
 
 
 def collect() -> tuple[dict, dict]:
