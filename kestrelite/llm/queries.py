@@ -15,6 +15,7 @@ from kestrelite.llm.percentiles import combine, radix_histogram, radix_select
 from kestrelite.llm.quotas import draw_samples, target_report
 from kestrelite.llm.subjects import subject_areas
 from kestrelite.operators.redelivery import normalised_node
+from kestrelite.scratch import materialize
 from kestrelite.sources.tables import table
 
 QUERIES: dict = {}
@@ -46,31 +47,40 @@ def _latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register
-def p1_node_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source, node and day: the exact percentiles, as all 64 bits are followed."""
-    keys = ["source", "node_id", "day"]
-    found = radix_select(radix_histogram(_latencies(spark, sf_dir), keys, F.col("us")), keys, PERMILLES)
-    return found.select(*keys, "permille", "n", F.col("low").alias("value"))
+def p1_batch_and_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source, node and day, the percentiles of each batch (`level` batch) and, from the batches' histograms added up, of the day (`level` day).
+
+    All 64 bits are followed, so values are exact. `part` is the batch, or the day of recording for responses.
+    """
+    keys = ["source", "node_id", "day", "part"]
+    parts = materialize(radix_histogram(_latencies(spark, sf_dir), keys, F.col("us")), "percentile-parts")
+    days = combine(parts, keys[:3]).withColumn("part", F.lit(None).cast("long"))
+    both = parts.withColumn("level", F.lit("batch")).unionByName(days.withColumn("level", F.lit("day")))
+    found = radix_select(both, ["level", *keys], PERMILLES)
+    return found.select("level", *keys, "permille", "n", F.col("low").alias("value"))
 
 
 @_register
-def p1_combined_from_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a histogram per batch, cut to 24 bits, combined over batches: bounds that are within 1 part in 4096."""
+def p1_node_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source, node and day, from a histogram per batch cut to 24 bits and combined: bounds that are within 1 part in 4096."""
     keys = ["source", "node_id", "day"]
     parts = radix_histogram(_latencies(spark, sf_dir), [*keys, "part"], F.col("us"), KEPT_BITS)
     return radix_select(combine(parts, keys), keys, PERMILLES, KEPT_BITS)
 
 
 _NODE = "lower(trim(node_id, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)))"
-ORACLE["p1_node_day_percentiles"] = f"""
-    WITH e AS (SELECT 'stats' AS source, {_NODE} AS node_id, max(coalesce(stats.p99_us, 0)) AS us,
+ORACLE["p1_batch_and_day_percentiles"] = f"""
+    WITH e AS (SELECT 'stats' AS source, {_NODE} AS node_id, max(coalesce(stats.p99_us, 0)) AS us, min(batch_id) AS part,
                       CAST(coalesce(min(emitted_at), min(received_at)) AS DATE) AS day
                FROM node_events WHERE stats IS NOT NULL GROUP BY {_NODE}, seq, t_mono_ns),
-         r AS (SELECT 'response' AS source, min({_NODE}) AS node_id, max(timings.total_us) AS us, CAST(min(answered_at) AS DATE) AS day
+         r AS (SELECT 'response' AS source, min({_NODE}) AS node_id, max(timings.total_us) AS us,
+                      CAST(date_diff('day', DATE '1970-01-01', CAST(min(recorded_at) AS DATE)) AS BIGINT) AS part, CAST(min(answered_at) AS DATE) AS day
                FROM responses GROUP BY trace_id),
-         v AS (SELECT source, node_id, day, us FROM e UNION ALL SELECT source, node_id, day, us FROM r WHERE us IS NOT NULL),
-         o AS (SELECT *, row_number() OVER (PARTITION BY source, node_id, day ORDER BY us) AS k, count(*) OVER (PARTITION BY source, node_id, day) AS n FROM v)
-    SELECT source, node_id, day, CAST(p AS INTEGER) AS permille, n, CAST(us AS DOUBLE) AS value
+         w AS (SELECT source, node_id, day, part, us FROM e UNION ALL SELECT source, node_id, day, part, us FROM r WHERE us IS NOT NULL),
+         v AS (SELECT 'batch' AS level, * FROM w UNION ALL SELECT 'day', source, node_id, day, NULL, us FROM w),
+         o AS (SELECT *, row_number() OVER (PARTITION BY level, source, node_id, day, part ORDER BY us) AS k,
+                      count(*) OVER (PARTITION BY level, source, node_id, day, part) AS n FROM v)
+    SELECT level, source, node_id, day, part, CAST(p AS INTEGER) AS permille, n, CAST(us AS DOUBLE) AS value
     FROM o, (SELECT unnest([500, 900, 950, 990]) AS p) WHERE k = greatest(1, (n * p + 999) // 1000)"""
 
 
