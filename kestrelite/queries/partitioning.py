@@ -41,8 +41,8 @@ def kmeans_assign_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", near.alias("n")).select("vec_id", "n.centre", F.round("n.distance", 6).alias("distance"))
 
 
-@register(f"""WITH {_STEP}, a AS (SELECT vec_id, centre FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, centre) AS r FROM d) WHERE r = 1),
-    x AS (SELECT centre, i AS dim, round(CAST(embedding[i + 1] AS DOUBLE) * 1e9) AS v FROM a JOIN embeddings USING (vec_id), range(64) r(i))
+@register(f"""WITH {_STEP}, near AS (SELECT vec_id, centre FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, centre) AS r FROM d) WHERE r = 1),
+    x AS (SELECT centre, i AS dim, round(CAST(embedding[i + 1] AS DOUBLE) * 1e9) AS v FROM near JOIN embeddings USING (vec_id), range(64) r(i))
     SELECT CAST(centre AS INTEGER) AS centre, CAST(dim AS INTEGER) AS dim, count(*) AS n, round(CAST(sum(CAST(v AS BIGINT)) AS DOUBLE) / count(*) / 1e9, 6) AS mean FROM x GROUP BY centre, dim""")
 def kmeans_update_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of each centre's vectors, in integer billionths, so that the order of addition doesn't matter."""
