@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("training_core", "search", "telemetry", "partitioning", "membership", "corpus")
+MODULES = ("training_core", "search", "telemetry", "partitioning", "membership", "corpus", "graph_index")
 
 
 def collect() -> tuple[dict, dict]:
