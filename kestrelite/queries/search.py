@@ -12,6 +12,9 @@ from kestrelite.functions.scalars import shard_of, unsigned
 from kestrelite.functions.vectors import dot, norm, normalised
 from kestrelite.operators.embed import hash_embedding
 from kestrelite.operators.search import coverage, merge_top_k, per_shard_top_k, plan_probes, recall_at_k, shard_hits
+from kestrelite.plans.gates import recall_gates
+from kestrelite.scratch import scratch_path
+from kestrelite.sources.sealed import read_sealed, write_sealed
 from kestrelite.sources.tables import table
 
 K, SHARDS, DIM = 10, 4, 64
@@ -166,6 +169,22 @@ def recall_by_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall_at_k(got, truth, K, ["probe"])
 
 
+@register(ORACLE["recall_by_probe"].replace("WITH", "WITH", 1).replace("    SELECT CAST(probe AS INTEGER)", "    , b AS (SELECT CAST(probe AS INTEGER)", 1) + """)
+    SELECT probe, recall, coalesce(recall >= lag(recall) OVER (ORDER BY probe) - 0.02, TRUE) AS monotone, probe < max(probe) OVER () OR recall >= 0.9 AS above_floor FROM b""")
+def bench_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether recall grows with the number of probed shards and reaches 0.9."""
+    return recall_gates(recall_by_probe(spark, sf_dir), "probe", "recall", 0.9).select("probe", "recall", "monotone", "above_floor")
+
+
+@register(f"SELECT {_SHARD} AS shard_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings GROUP BY 1")
+def sealed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors sealed by shard, verified against the manifest and read back."""
+    path = scratch_path(spark, "sealed")
+    write_sealed(_vectors(spark, sf_dir), path, "shard_id")
+    back = read_sealed(spark, path, "shard_id")
+    return back.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+
+
 @register("SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, len(embedding) = 64 AND abs(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) <= 0.001 AS usable FROM embeddings")
 def vector_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and norm of each vector, and whether an index would take it."""
