@@ -1,7 +1,7 @@
 """Subject areas of documents, by calibrated classifier chains over term, source and structure features.
 
 Fit, on at most `sample_rows` labelled documents (taken by hash of the id; the only bounded part):
-  1. Terms. Every spoken cue deals with one of the subjects or with none. Which one isn't known, only the labels of its document; what each term
+  1. Terms, which are words and pairs of words that follow each other. Every spoken cue deals with one of the subjects or with none. Which one isn't known, only the labels of its document; what each term
      says of the subject is found by a few rounds of expectation maximisation over the cues of all labelled documents, in any language at once.
      Terms that occur alike with all subjects, such as those of a language, say nothing and are left out.
   2. Features of a document: per subject, the share of its spoken cues that deal with it, by the cues' posteriors, and how far the share lies
@@ -35,12 +35,29 @@ SOURCES = 16
 SPEAKS, SMOOTH = (0.45, 0.55, 0.6), 1.0
 
 
+class _Plain(dict):
+    """The robust form by word, kept for words seen before; emptied at a size so that it stays bounded."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        form = self[word] = robust(word)
+        return form
+
+
+_PLAIN = _Plain()
+
+
 def _source_bucket(source: str | None) -> int:
     import xxhash
 
     return xxhash.xxh32_intdigest((source or "\0").strip().lower()) % SOURCES
 
 
+def pairs_of(forms: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(forms, forms[1:], strict=False)]
+
+
 def cue_terms(text: str | None) -> tuple[list[list[str]], int]:
     """The words of each spoken cue, and the number of all cues."""
     return [words_of(c) for c in spoken_cues(text)], len(cues(text))
@@ -113,16 +130,20 @@ def fit(documents: list[tuple[str, str | None]], labels: list[set[str]], seed: i
     seen: dict[str, int] = {}
     forms: dict[str, str] = {}
     for spoken, _ in parsed:
-        for w in {w for c in spoken for w in c}:
-            f = forms.setdefault(w, robust(w))
+        held = set()
+        for c in spoken:
+            line = [forms.setdefault(w, robust(w)) for w in c]
+            held.update(line)
+            held.update(pairs_of(line))
+        for f in held:
             seen[f] = seen.get(f, 0) + 1
-    for f in sorted(f for f, n in seen.items() if n > 2):
+    for f in sorted(f for f, n in seen.items() if n > (4 if " " in f else 2)):
         numbers[f] = len(numbers)
-    of_word = {w: numbers.get(f, -1) for w, f in forms.items()}
     terms, cue, owner = [], [], []
     for d, (spoken, _) in enumerate(parsed):
         for c in spoken:
-            of = {of_word[w] for w in c} - {-1}
+            line = [forms[w] for w in c]
+            of = {numbers.get(f, -1) for f in (*line, *pairs_of(line))} - {-1}
             terms += of
             cue += [len(owner)] * len(of)
             owner.append(d)
@@ -142,8 +163,10 @@ def fit(documents: list[tuple[str, str | None]], labels: list[set[str]], seed: i
         belongs /= np.maximum(belongs.sum(1, keepdims=True), 1e-9)
         bare = found.sum(1) == 0
         belongs[bare] = (y / np.maximum(y.sum(1, keepdims=True), 1))[owner[bare]]
-    kept = np.flatnonzero(speaking)
     names = list(numbers)
+    alone = {n for n, ok in zip(names, speaking.tolist(), strict=True) if ok and " " not in n}
+    # A pair speaks for itself only where its words don't.
+    kept = np.array([i for i in np.flatnonzero(speaking).tolist() if " " not in names[i] or not alone & set(names[i].split(" "))], np.int64)
     model = Model(subjects, {names[i]: n for n, i in enumerate(kept.tolist())}, np.log(share[kept]), np.log(usual))
     renumber = np.full(v + 1, -1, np.int64)
     renumber[kept] = np.arange(len(kept))
@@ -185,13 +208,19 @@ def fit(documents: list[tuple[str, str | None]], labels: list[set[str]], seed: i
 
 def assign(model: Model, texts: list[str | None], sources: list[str | None], least: float, forms: Terms | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Labels (document by subject) and the share of each subject's cues."""
-    forms = Terms(model.numbers) if forms is None else forms
+    forms = Terms({t: n for t, n in model.numbers.items() if " " not in t}) if forms is None else forms
+    plain = _PLAIN
+    begins = {t.split(" ")[0] for t in model.numbers if " " in t}
     terms, cue, owner, n_cues = [], [], [], []
     for d, text in enumerate(texts):
         spoken, n = cue_terms(text)
         n_cues.append(n)
         for c in spoken:
-            of = {forms[w] for w in c} - {-1}
+            of = {forms[w] for w in c}
+            for a, b in zip(c, c[1:], strict=False):
+                if (first := plain[a]) in begins:
+                    of.add(model.numbers.get(f"{first} {plain[b]}", -1))
+            of.discard(-1)
             terms += of
             cue += [len(owner)] * len(of)
             owner.append(d)
@@ -222,7 +251,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, id_column: str = "doc
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        forms = Terms(m.numbers) if m else None
+        forms = Terms({t: n for t, n in m.numbers.items() if " " not in t}) if m else None
         for batch in batches:
             if m is None or not batch.num_rows:
                 continue

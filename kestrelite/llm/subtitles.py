@@ -14,8 +14,9 @@ TAG = re.compile(r"<[^<>\n]{0,120}>|\{[^{}\n]{0,120}\}")
 SOUND = re.compile(r"\([^()]{0,200}\)|\[[^\[\]]{0,200}\]|\*[^*\n]{0,80}\*")
 SPEAKER = re.compile(r"(?m)^[ \t>-]*[A-Z][A-Z0-9.' -]{1,24}:(?=\s)")
 ADVERT = re.compile(
-    r"\b(?:sub(?:title|titre|titulo)s?\b.*\bby|sync(?:ed|hroni[sz]ed)?\b.*\bby|synced and corrected|corrected by|ripped by|encoded by|transl(?:ated|ation) by|"
-    r"downloaded from|visit|www\.|https?:|\w+\.(?:com|org|net|tv|info|example|invalid)\b|advertise your|support us|become (?:a )?vip|^\s*==.*==\s*$|\S@\w)",
+    r"\b(?:sub(?:title|titre|titulo)s?\b.*\bby|sync(?:ed|hroni[sz]ed)?\b.*\bby|corrected by|ripped by|encoded by|transl(?:ated|ation) by|downloaded from|download more|"
+    r"visit us|www\.|https?:|\w+\.(?:com|org|net|tv|info|example|invalid)\b|advertise your|support us|become (?:a )?vip|watch in hd|dot (?:com|net|org|example)\b)|"
+    r"^\s*==.*==\s*$|^\s*~.*~\s*$|\S@\w",
     re.IGNORECASE,
 )
 NOTES = re.compile(r"[♪♫#*]+|â™[ª«]")
@@ -36,7 +37,7 @@ def spoken(body: str) -> str:
     """What is spoken in a cue; empty if nothing is."""
     if "<" in body or "{" in body:
         body = TAG.sub(" ", body)
-    if "(" in body or "[" in body:
+    if "(" in body or "[" in body or "*" in body:
         body = SOUND.sub(" ", body)
     if ":" in body:
         body = SPEAKER.sub(" ", body)
