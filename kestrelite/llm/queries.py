@@ -96,7 +96,7 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = nearest_neighbours(table(spark, sf_dir, "docs"), "doc_id", "vector", k=10, least=0.93)
+    near = nearest_neighbours(table(spark, sf_dir, "docs"), "doc_id", "vector", k=10, least=0.93, replicas=3)
     return near.select(F.least("doc_id", "neighbour").alias("doc_a"), F.greatest("doc_id", "neighbour").alias("doc_b")).distinct()
 
 
