@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,3 +32,23 @@ def hash_embedding(dim: int) -> Callable[[Column], Column]:
 
 def embedding_info(dim: int) -> dict:
     return {"model": "hash", "dim": dim, "ready": True}
+
+
+def cached_embeddings(rows: DataFrame, id_column: str, text: Column, dim: int, cache: str, model: str = "hash") -> DataFrame:
+    """(id, vector) of `rows`, from a table of vectors by (model, text hash): texts that were embedded before aren't embedded again.
+
+    Only missing texts are embedded, each distinct text once, and added to the table. Vectors of another length, or not of length 1, are an error.
+    """
+    spark = rows.sparkSession
+    keyed = rows.select(F.col(id_column), text.alias("_text")).withColumn("text_hash", F.sha2(F.coalesce("_text", F.lit("")), 256))
+    path = f"{cache}/model={model}-{dim}"
+    try:
+        known = spark.read.parquet(path)
+    except AnalysisException:
+        known = spark.createDataFrame([], "text_hash string, vector array<float>")
+    missing = keyed.dropDuplicates(["text_hash"]).join(known.select("text_hash"), "text_hash", "left_anti")
+    missing.select("text_hash", hash_embedding(dim)(F.col("_text")).alias("vector")).write.mode("append").option("maxRecordsPerFile", 8192).parquet(path)
+    held = keyed.select(id_column, "text_hash").join(spark.read.parquet(path), "text_hash")
+    n = F.sqrt(F.aggregate("vector", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double")))
+    good = (F.size("vector") == dim) & (F.abs(n - 1) <= 1e-3)
+    return held.select(id_column, F.when(good, F.col("vector")).otherwise(F.raise_error(F.lit("a vector has the wrong length or norm"))).alias("vector"))

@@ -192,6 +192,14 @@ def build_graphs(vectors: DataFrame, dim: int, m: int = 16, ef: int = 100, seed:
     return vectors.groupBy("shard_id").applyInArrow(run, EDGES)
 
 
+def check_graph(edges: DataFrame) -> None:
+    """An error if a link leads to a row that its layer doesn't have."""
+    links = edges.select("shard_id", "layer", F.explode("neighbours").alias("row")).distinct()
+    lost = links.join(edges.select("shard_id", "layer", "row"), ["shard_id", "layer", "row"], "left_anti").take(1)
+    if lost:
+        raise ValueError(f"shard {lost[0]['shard_id']}: layer {lost[0]['layer']} links to row {lost[0]['row']}, which it doesn't have")
+
+
 def _restore(vectors: np.ndarray, edges: pa.Table, m: int) -> Graph:
     g = Graph(np.ascontiguousarray(vectors, np.float32), m)
     level = np.zeros(len(vectors), np.int64)
