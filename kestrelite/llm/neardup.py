@@ -301,7 +301,7 @@ def _hot_links(classes: DataFrame, rows: DataFrame, hot: int, threshold: float)
     return full.groupBy("column", "lo", "hi").applyInArrow(product, "a long, b long").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, id_column: str, text_columns: list[str], threshold: float = 0.8, prefix: int | None = 9, ngram: int = 3, hot: int = 512) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_column: str, text_columns: list[str], threshold: float = 0.8, prefix: int | None = 10, ngram: int = 3, hot: int = 512) -> DataFrame:
     """(doc_id, group_id, group_size) for each id that shares a group with another id; group_id is the smallest id of the group."""
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"text_{i}") for i, c in enumerate(text_columns)]).where("doc_id IS NOT NULL")
