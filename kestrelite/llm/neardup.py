@@ -10,7 +10,8 @@ connected by links. The overlap counts are entries of a sparse matrix product, d
      bound is used in full: a link leaves at most a - ceil(threshold * a) words of a record of a words unmatched, so two linked records
      share `ngram` of their first a - ceil(threshold * a) + ngram words, and no link can be lost. A shorter prefix bounds the columns.
   4. Columns are hashed to blocks; one block, a bounded share of the columns, is multiplied in one task. A column of more than `hot`
-     classes isn't multiplied there: its rows are cut into sub-blocks, and each pair of sub-blocks is one task.
+     classes isn't multiplied there: its rows are cut into sub-blocks, and each pair of sub-blocks is one task. One of `huge` classes, too many
+     for a block, is found by a sample beforehand and spread over several blocks on its way there.
   5. Pairs that can't reach the size-derived bound are discarded by a 128-bit sketch: each word flips a bit, so two sketches differ in at most
      as many bits as there are words in only one of the records. What is left is decided by exact counts over the whole sets of words.
 
@@ -149,8 +150,33 @@ def _keys_of(words: list[np.ndarray], sizes: np.ndarray, shared: np.ndarray, thr
 ENTRY = np.dtype([("key", "<u4"), ("cls", "<i8")])
 
 
-def _blocks(classes: DataFrame, blocks: int, threshold: float, prefix: int | None, ngram: int) -> DataFrame:
-    """(block, entries): the incidence matrix by blocks of columns; a few large binary rows instead of one row an entry."""
+def _huge_columns(classes: DataFrame, n: int, huge: int, threshold: float, prefix: int | None, ngram: int, sample_rows: int = 50_000) -> np.ndarray:
+    """Columns of about `huge` classes or more, too many for one block, by a bounded sample of the classes. Below `huge` classes there are none.
+
+    One that the sample misses is still handled, only in a larger task; one that it takes wrongly costs time only.
+    """
+    if n <= huge:
+        return np.empty(0, np.uint64)
+    part = min(1.0, sample_rows / n)
+    taken = classes.select("cls", "size", "shared", "words").where(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) < int((1 << 20) * part))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(w, np.uint64) for w in batch.column(3).to_pylist()]
+            keys = _keys_of(words, batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64), threshold, prefix, ngram)[1]
+            at, count = np.unique(keys, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(count)], ["key", "n"])
+
+    found = taken.mapInArrow(emit, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, int(huge * part))).select("key")
+    return np.sort(found.toArrow()["key"].to_numpy().view(np.uint64))  # at most the sample's entries over that count
+
+
+def _blocks(classes: DataFrame, blocks: int, threshold: float, prefix: int | None, ngram: int, huge: np.ndarray, salts: int) -> DataFrame:
+    """(block, entries): the incidence matrix by blocks of columns; a few large binary rows instead of one row an entry.
+
+    Entries of huge columns are spread by class over `salts` further blocks, numbered from `blocks` on.
+    """
+    held = classes.sparkSession.sparkContext.broadcast(huge)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # exact copies of a class within a task are multiplied once
@@ -172,6 +198,10 @@ def _blocks(classes: DataFrame, blocks: int, threshold: float, prefix: int | Non
             if not len(rows):
                 continue
             block = ((keys >> np.uint64(32)) % np.uint64(blocks)).astype(np.int32)
+            if len(held.value):
+                of = np.isin(keys, held.value)
+                salt = cls[fresh][rows[of]].view(np.uint64) % np.uint64(salts) + np.uint64(1)
+                block[of] += (salt * np.uint64(blocks)).astype(np.int32)
             entries = np.empty(len(rows), ENTRY)
             entries["key"], entries["cls"] = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), cls[fresh][rows]
             order = np.argsort(block, kind="stable")
@@ -188,7 +218,7 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(sorted_keys)]]))
 
 
-def _multiply(hot: int):
+def _multiply(hot: int, blocks: int):
     """Accumulate the products of one block of columns: pairs of classes that share a column; rows of a hot column come out as they are."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -198,6 +228,9 @@ def _multiply(hot: int):
         new = np.ones(len(entries), bool)
         new[1:] = (entries["key"][1:] != entries["key"][:-1]) | (entries["cls"][1:] != entries["cls"][:-1])
         entries = entries[new]
+        if block >= blocks:  # a part of the huge columns
+            flat = pa.array(entries["cls"]), pa.array(((block % blocks) << 32) + entries["key"].astype(np.int64))
+            return pa.table({"a": flat[0], "b": flat[1], "hot": pa.array(np.ones(len(entries), np.int8))})
         start, length = _runs(entries["key"])
         cls, a, b = entries["cls"], [], []
         for n in np.unique(length[(length > 1) & (length <= hot)]):
@@ -301,15 +334,17 @@ def _hot_links(classes: DataFrame, rows: DataFrame, hot: int, threshold: float)
     return full.groupBy("column", "lo", "hi").applyInArrow(product, "a long, b long").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, id_column: str, text_columns: list[str], threshold: float = 0.8, prefix: int | None = 10, ngram: int = 3, hot: int = 512) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_column: str, text_columns: list[str], threshold: float = 0.8, prefix: int | None = 10, ngram: int = 3, hot: int = 512, huge: int = 1_000_000) -> DataFrame:
     """(doc_id, group_id, group_size) for each id that shares a group with another id; group_id is the smallest id of the group."""
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"text_{i}") for i, c in enumerate(text_columns)]).where("doc_id IS NOT NULL")
     frequency = spark.sparkContext.broadcast(_document_frequency(texts))
     classes = materialize(_classes(texts, frequency), "neardup-classes")
     columns = len(_combos(prefix, ngram)) if prefix else 400
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * columns * ENTRY.itemsize // BLOCK_BYTES))
-    pairs = materialize(_blocks(classes, blocks, threshold, prefix, ngram).groupBy("block").applyInArrow(_multiply(hot), "a long, b long, hot tinyint"), "neardup-pairs")
+    n = classes.count()
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * columns * ENTRY.itemsize // BLOCK_BYTES))
+    spread = _blocks(classes, blocks, threshold, prefix, ngram, _huge_columns(classes, n, huge, threshold, prefix, ngram), max(1, -(-n // huge)) * 8)
+    pairs = materialize(spread.groupBy("block").applyInArrow(_multiply(hot, blocks), "a long, b long, hot tinyint"), "neardup-pairs")
     links = _verify(classes, pairs.where("hot = 0"), threshold)
     if pairs.where("hot = 1").limit(1).count():
         links = links.union(_hot_links(classes, pairs.where("hot = 1"), hot, threshold))

@@ -65,8 +65,9 @@ def test_against_brute_force(spark, seed, threshold):
 def test_hot_columns_are_multiplied_in_sub_blocks(spark):
     """All records share their rarest words with many others: the path for hot columns gives the same groups."""
     rows = [(i, None, " ".join(["alpha", "beta", "gamma", "delta"] + [f"u{i % 40}v{k}" for k in range(3 if i % 3 else 1)]), 1, 2, "x", "y") for i in range(60)]
-    got = {tuple(r) for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), "doc_id", ["title", "snippet"], 0.6, hot=4).collect()}
-    assert got == brute(rows, 0.6)
+    for huge in (1_000_000, 20):  # the second also spreads the largest columns over several blocks
+        got = {tuple(r) for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), "doc_id", ["title", "snippet"], 0.6, hot=4, huge=huge).collect()}
+        assert got == brute(rows, 0.6)
 
 
 def test_defined_results(spark):
