@@ -224,7 +224,6 @@ def nearest_neighbours(
     spark = rows.sparkSession
     vectors = materialize(usable_vectors(rows, id_column, vector_column, dim), "knn-vectors")
     n = vectors.count()
-    lists = spark.sparkContext.broadcast(fit_lists(vectors, dim, n, list_size, sample_rows))
     same = vectors.groupBy(F.xxhash64("vec").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1)
     stored, extra = vectors, None
     if same.limit(1).count():  # groups of copies: by a narrow window whose partial limit keeps k + 1 rows a task
@@ -236,6 +235,7 @@ def nearest_neighbours(
         asking = late.where(queries) if queries else late
         extra = asking.join(first.where(F.col("r") <= k).select("vec", F.col("doc_id").alias("neighbour"), "r"), "vec")
         extra = extra.select("doc_id", "neighbour", F.lit(1.0).alias("similarity"), F.col("r").alias("rank"))
+    lists = spark.sparkContext.broadcast(fit_lists(stored, dim, n if extra is None else stored.count(), list_size, sample_rows))
     spread = _assigned(stored, lists, dim, replicas, ratio, probes or replicas, ratio if probe_ratio is None else probe_ratio, queries)
     found = cells(spread, cell).groupBy("list", "p", "q").applyInArrow(_nearest_in_cell(dim, k, least), "doc_id long, neighbour long, similarity double")
     found = found.groupBy("doc_id", "neighbour").agg(F.max("similarity").alias("similarity"))
