@@ -206,7 +206,8 @@ def hits_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and snippets fetched for hits only, after the cut to k."""
     hits = table(spark, sf_dir, "responses").select("trace_id", "recorded_at", F.posexplode("hits").alias("p", "h"))
     hits = hits.select("trace_id", "recorded_at", (F.col("p") + 1).alias("place"), "h.doc_id", F.coalesce("h.shard_id", F.lit(0)).alias("shard_id"))
-    docs = table(spark, sf_dir, "docs").groupBy("doc_id").agg(F.min("title").alias("title"), F.min(F.substring("snippet", 1, 400)).alias("snippet"))
+    wanted = hits.select("doc_id").distinct()
+    docs = table(spark, sf_dir, "docs").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("title").alias("title"), F.min(F.substring("snippet", 1, 400)).alias("snippet"))
     return hits.join(docs, "doc_id", "left").select("trace_id", "recorded_at", "place", "doc_id", "shard_id", "title", "snippet")
 
 
