@@ -72,6 +72,19 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_events(events: DataFrame, path: str) -> None:
+    """Record events (columns of `node_events`, trace ids in hex) as a bundle that `read_events` reads: numbers as strings, zeros left out."""
+    s = lambda c: F.when(F.coalesce(c, F.lit(0)) != 0, c.cast("string"))
+    span, stats, change = F.col("span"), F.col("stats"), F.col("state_change")
+    line = F.struct(
+        F.col("node_id").alias("nodeId"), s(F.col("seq")).alias("seq"), s(F.col("t_mono_ns")).alias("tMonoNs"),
+        F.when(span.isNotNull(), F.struct(F.base64(F.unhex(span["trace_id"])).alias("traceId"), span["kind"].alias("kind"), s(span["t_start_ns"]).alias("tStartNs"), s(span["t_end_ns"]).alias("tEndNs"), F.when(span["shard_id"] != 0, span["shard_id"]).alias("shardId"), span["detail_json"].alias("detailJson"))).alias("span"),
+        F.when(stats.isNotNull(), F.struct(s(stats["rss_bytes"]).alias("rssBytes"), s(stats["doc_count"]).alias("docCount"), s(stats["p99_us"]).alias("p99Us"), stats["state"].alias("state"))).alias("stats"),
+        F.when(change.isNotNull(), F.struct(change["from_state"].alias("from"), change["to_state"].alias("to"), change["health"].alias("health"), change["reason"].alias("reason"))).alias("state"),
+    )
+    events.select(F.to_json(line)).write.mode("overwrite").text(path)
+
+
 def merge_by_scheme(before: DataFrame, new: DataFrame, scheme: str = "partitioning") -> DataFrame:
     """Results of earlier runs with those of the same scheme replaced by new ones."""
     return before.join(new.select(scheme).distinct(), scheme, "left_anti").unionByName(new, allowMissingColumns=True)

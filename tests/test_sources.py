@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kestrelite.plans.gates import recall_gates
 from kestrelite.plans.settings import SettingsError, load_settings
-from kestrelite.sources.files import longest_valid_prefix, merge_by_scheme, read_corpus, read_events
+from kestrelite.sources.files import longest_valid_prefix, merge_by_scheme, read_corpus, read_events, write_events
 from kestrelite.sources.sealed import NotSealed, is_sealed, read_sealed, write_sealed
 
 
@@ -48,6 +48,8 @@ def test_event_bundle(spark, tmp_path):
     got = {r["node_id"]: r for r in read_events(spark, f"{tmp_path}/e.ndjson").collect()}
     assert got["a"]["seq"] == 7 and got["a"]["span"]["shard_id"] == 0 and got["a"]["span"]["trace_id"] == "4e1b910b55ac844ccbb2bb07c1772c44"
     assert got["b"]["stats"]["rss_bytes"] == 5 and got["b"]["stats"]["doc_count"] == 0 and set(got) == {"a", "b"}
+    write_events(read_events(spark, f"{tmp_path}/e.ndjson"), f"{tmp_path}/again")
+    assert {r["node_id"]: r for r in read_events(spark, f"{tmp_path}/again").collect()} == got
 
 
 def test_merge_prefix_gates_settings(spark):
