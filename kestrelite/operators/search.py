@@ -67,15 +67,14 @@ def shard_hits(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> Data
     vectors: (doc_id, shard_id, vector); queries: (qid, vector).
     """
     spark = vectors.sparkSession
-    n = queries.count()
     narrow = vectors.select(F.col("doc_id").cast("long"), F.col("shard_id").cast("int"), "vector")
     asked = queries.select(F.col("qid").cast("long"), "vector")
 
     def rows(found: tuple) -> pa.Table:
         return pa.table({"qid": pa.array(found[0], pa.int64()), "shard_id": pa.array(found[1], pa.int32()), "doc_id": pa.array(found[2], pa.int64()), "score": pa.array(found[3], pa.float64())})
 
-    if n <= BLOCK:
-        table = asked.toArrow()
+    table = asked.limit(BLOCK + 1).toArrow()  # never more than one block comes to the driver
+    if table.num_rows <= BLOCK:
         at, q = _matrix(table["vector"], dim)
         held = spark.sparkContext.broadcast((table["qid"].to_numpy()[at], q))
 
@@ -86,7 +85,7 @@ def shard_hits(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> Data
                     yield from rows(_best(*held.value, batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at], v, k)).combine_chunks().to_batches()
 
         return narrow.mapInArrow(scan, HITS)
-    blocks = -(-n // BLOCK)
+    blocks = -(-queries.count() // BLOCK)
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     left = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     right = narrow.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
