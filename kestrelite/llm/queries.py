@@ -199,3 +199,22 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents each subject has in the corpus, and the mean share of their cues in thousandths."""
     areas = subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"))
     return areas.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.floor(F.avg("share") * 1000).alias("mean_share_permille"))
+
+
+ORACLE["p3_found"] = r"""
+    WITH RECURSIVE w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(snippet, '')), '[\p{L}\p{N}]+')) AS word FROM docs WHERE doc_id IS NOT NULL),
+      s AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+      p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM w a JOIN w b ON a.word = b.word AND a.doc_id < b.doc_id GROUP BY ALL),
+      l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE p.n >= 0.6 * (x.n + y.n - p.n)),
+      e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+      r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+      SELECT a AS doc_a, b AS doc_b FROM r WHERE a < b"""
+
+ORACLE["p5_found"] = """
+    WITH u AS (SELECT DISTINCT doc_id, CAST(vector AS DOUBLE[]) AS v FROM docs WHERE doc_id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      n AS (SELECT doc_id, v, sqrt(list_inner_product(v, v)) AS n FROM u WHERE list_inner_product(v, v) > 0),
+      s AS (SELECT a.doc_id AS a, b.doc_id AS b, list_inner_product(a.v, b.v) / (a.n * b.n) AS s FROM n a JOIN n b ON a.doc_id <> b.doc_id),
+      k AS (SELECT a, b FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE s >= 0.93) WHERE r <= 10)
+      SELECT DISTINCT least(a, b) AS doc_a, greatest(a, b) AS doc_b FROM k"""
+
+ORACLE["p3_groups"] = ORACLE["p3_found"].replace("SELECT a AS doc_a, b AS doc_b FROM r WHERE a < b", "SELECT a AS doc_id, min(b) AS group_id, count(*) AS group_size FROM r GROUP BY a")
