@@ -9,6 +9,8 @@ connected by links. The overlap counts are entries of a sparse matrix product, d
      combinations of `ngram` words out of its first `prefix` ones that another document can share. With `prefix=None` the size-derived
      bound is used in full: a link leaves at most a - ceil(threshold * a) words of a record of a words unmatched, so two linked records
      share `ngram` of their first a - ceil(threshold * a) + ngram words, and no link can be lost. A shorter prefix bounds the columns.
+     Combinations whose first word is in at most `STEM` documents aren't written out: the word's block gets a stem, that word and those
+     after it in the prefix, with size and sketch, and makes the combinations itself, a further word only for columns that are still large.
   4. Columns are hashed to blocks; one block, a bounded share of the columns, is multiplied in one task. A column of more than `hot`
      classes isn't multiplied there: its rows are cut into sub-blocks, and each pair of sub-blocks is one task. One of `huge` classes, too many
      for a block, is found by a sample beforehand and spread over several blocks on its way there.
@@ -37,6 +39,10 @@ from kestrelite.scratch import materialize, release
 SLOTS = 1 << 20
 #: Bytes of one block of columns, as one task holds it.
 BLOCK_BYTES = 16 << 20
+#: A word of more documents has too many stems for one block.
+STEM = 20_000
+#: Classes of a column that are paired before all `ngram` words are used.
+FEW = 64
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -124,11 +130,16 @@ def _mix(columns: np.ndarray) -> np.ndarray:
     return key
 
 
-def _keys_of(words: list[np.ndarray], sizes: np.ndarray, shared: np.ndarray, threshold: float, prefix: int | None, ngram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all incidence entries of the given classes."""
+def _prefix_of(sizes: np.ndarray, shared: np.ndarray, threshold: float, prefix: int | None, ngram: int) -> np.ndarray:
+    bound = np.minimum(sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + ngram, shared)
+    return bound if prefix is None else np.minimum(bound, prefix)
+
+
+def _keys_of(words: list[np.ndarray], sizes: np.ndarray, shared: np.ndarray, threshold: float, prefix: int | None, ngram: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all incidence entries of the given classes, without combinations that begin in the first `skip` words of a class."""
     rows, keys = [], []
-    bound = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + ngram
-    take = np.minimum(bound, shared) if prefix is None else np.minimum(np.minimum(bound, shared), prefix)
+    skip = np.zeros(len(sizes), np.int64) if skip is None else skip
+    take = _prefix_of(sizes, shared, threshold, prefix, ngram) - skip
     #: Records of two or three words can be linked by fewer words than `ngram`.
     for k, which in ((ngram, take >= ngram), (2, (sizes <= 3) & (ngram > 2)), (1, (sizes <= 2) & (ngram > 1))):
         for n in np.unique(take[which] if k == ngram else shared[which]):
@@ -139,7 +150,7 @@ def _keys_of(words: list[np.ndarray], sizes: np.ndarray, shared: np.ndarray, thr
             step = max(1, 4_000_000 // len(combo))
             for i in range(0, len(at), step):
                 part = at[i : i + step]
-                head = np.stack([words[r][: int(n)] for r in part])
+                head = np.stack([words[r][(at_word := int(skip[r]) if k == ngram else 0) : at_word + int(n)] for r in part])
                 keys.append(_mix(head[:, combo].reshape(-1, k)))
                 rows.append(np.repeat(part, len(combo)))
     if not rows:
@@ -148,6 +159,40 @@ def _keys_of(words: list[np.ndarray], sizes: np.ndarray, shared: np.ndarray, thr
 
 
 ENTRY = np.dtype([("key", "<u4"), ("cls", "<i8")])
+#: One of the first words of a class; `n` words after it follow elsewhere.
+HEAD = np.dtype([("cls", "<i8"), ("s0", "<i8"), ("s1", "<i8"), ("size", "<i4"), ("word", "<u4"), ("n", "<i4")])
+
+
+def _stems(cls: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, words: list[np.ndarray], take: np.ndarray, skip: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(heads, positions of the words after each in the tail): stems of the first `skip` words of each class. The tail is its words up to `take`."""
+    count = np.minimum(skip, np.maximum(take - ngram + 1, 0))
+    row = np.repeat(np.arange(len(cls)), count)
+    i = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    begin = (np.cumsum(take) - take)[row] + i
+    tail = np.concatenate([w[:n] for w, n in zip(words, take.tolist(), strict=True)]).astype(np.uint32)  # the lower half of a hash
+    heads = np.empty(len(row), HEAD)
+    heads["cls"], heads["s0"], heads["s1"], heads["size"] = cls[row], sketch[row, 0], sketch[row, 1], sizes[row]
+    heads["word"], heads["n"] = tail[begin] if len(row) else 0, take[row] - i - 1
+    return heads, tail[_ranges(begin + 1, heads["n"])] if len(row) else tail[:0]
+
+
+def _packed(heads: np.ndarray, tail: np.ndarray) -> tuple[bytes, bytes]:
+    """Bytes of a place together, of which many are 0 throughout, and 24 bits a word of the tail: one taken for another costs a candidate only."""
+    return heads.view(np.uint8).reshape(-1, HEAD.itemsize).T.tobytes(), tail.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(heads: list[bytes], tails: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    place = [np.frombuffer(h, np.uint8).reshape(HEAD.itemsize, -1).T for h in heads]
+    three = np.frombuffer(b"".join(tails), np.uint8).reshape(-1, 3)
+    tail = np.zeros((len(three), 4), np.uint8)
+    tail[:, :3] = three
+    return np.ascontiguousarray(np.concatenate(place)).view(HEAD).ravel(), tail.view("<u4").ravel()
+
+
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each range, one after another."""
+    n = n.astype(np.int64)
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def _huge_columns(classes: DataFrame, n: int, huge: int, threshold: float, prefix: int | None, ngram: int, sample_rows: int = 50_000) -> np.ndarray:
@@ -171,10 +216,11 @@ def _huge_columns(classes: DataFrame, n: int, huge: int, threshold: float, prefi
     return np.sort(found.toArrow()["key"].to_numpy().view(np.uint64))  # at most the sample's entries over that count
 
 
-def _blocks(classes: DataFrame, blocks: int, threshold: float, prefix: int | None, ngram: int, huge: np.ndarray, salts: int) -> DataFrame:
-    """(block, entries): the incidence matrix by blocks of columns; a few large binary rows instead of one row an entry.
+def _blocks(classes: DataFrame, blocks: int, threshold: float, prefix: int | None, ngram: int, huge: np.ndarray, salts: int, frequency, stem: int) -> DataFrame:
+    """(block, entries, tail): the incidence matrix by blocks of columns; a few large binary rows instead of one row an entry.
 
-    Entries of huge columns are spread by class over `salts` further blocks, numbered from `blocks` on.
+    Entries of huge columns are spread by class over `salts` further blocks, numbered from `blocks` on. Words of at most `stem` documents
+    have stems, in blocks below 0, whose tail holds the words after each.
     """
     held = classes.sparkSession.sparkContext.broadcast(huge)
 
@@ -194,7 +240,24 @@ def _blocks(classes: DataFrame, blocks: int, threshold: float, prefix: int | Non
             size, shared = batch.column(1).to_numpy()[fresh].astype(np.int64), batch.column(2).to_numpy()[fresh].astype(np.int64)
             column = batch.column(3)
             words = [np.frombuffer(column[i].as_py(), np.uint64) for i in fresh]
-            rows, keys = _keys_of(words, size, shared, threshold, prefix, ngram)
+            skip = np.zeros(len(size), np.int64)
+            if ngram > 1:
+                take = np.maximum(_prefix_of(size, shared, threshold, prefix, ngram), 0)
+                rare = frequency.value[(np.concatenate([w[:n] for w, n in zip(words, take.tolist(), strict=True)]) % np.uint64(SLOTS)).astype(np.int64)] <= stem
+                skip = np.bincount(np.repeat(np.arange(len(size)), take)[rare], minlength=len(size))
+                sketch = np.stack([batch.column(4).to_numpy()[fresh], batch.column(5).to_numpy()[fresh]], 1)
+                heads, tail = _stems(cls[fresh], sketch, size, words, take, skip, ngram)
+                if len(heads):
+                    block = (_mix(heads["word"].astype(np.uint64)[:, None]) >> np.uint64(32)) % np.uint64(blocks)
+                    order = np.argsort(block, kind="stable")
+                    begin = np.cumsum(heads["n"], dtype=np.int64) - heads["n"]
+                    heads, block, begin = heads[order], block[order], begin[order]
+                    tail = tail[_ranges(begin, heads["n"])]
+                    cut = np.flatnonzero(np.diff(block)) + 1
+                    ends = np.cumsum(heads["n"], dtype=np.int64)[cut - 1]
+                    packed = list(zip(*map(_packed, np.split(heads, cut), np.split(tail, ends)), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(-1 - block[np.concatenate([[0], cut])].astype(np.int32), pa.int32()), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], ["block", "entries", "tail"])
+            rows, keys = _keys_of(words, size, shared, threshold, prefix, ngram, skip)
             if not len(rows):
                 continue
             block = ((keys >> np.uint64(32)) % np.uint64(blocks)).astype(np.int32)
@@ -208,9 +271,9 @@ def _blocks(classes: DataFrame, blocks: int, threshold: float, prefix: int | Non
             entries, block = entries[order], block[order]
             cut = np.flatnonzero(np.diff(block)) + 1
             parts = np.split(entries, cut)
-            yield pa.RecordBatch.from_arrays([pa.array(block[np.concatenate([[0], cut])]), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(block[np.concatenate([[0], cut])]), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([b""] * len(parts), pa.binary())], ["block", "entries", "tail"])
 
-    return classes.select("cls", "size", "shared", "words").mapInArrow(emit, "block int, entries binary")
+    return classes.select("cls", "size", "shared", "words", "s0", "s1").mapInArrow(emit, "block int, entries binary, tail binary")
 
 
 def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,10 +281,58 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(sorted_keys)]]))
 
 
-def _multiply(hot: int, blocks: int):
+def _pairs_in(start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of both ends of all pairs within runs, in bounded parts."""
+    for n in np.unique(length):
+        i, j = np.triu_indices(int(n), 1)
+        begin = start[length == n]
+        step = max(1, 2_000_000 // max(1, len(i)))
+        for k in range(0, len(begin), step):
+            s = begin[k : k + step, None]
+            yield (s + i).ravel(), (s + j).ravel()
+
+
+def _multiply_stems(table: pa.Table, hot: int, threshold: float, ngram: int) -> pa.Table:
+    """The same for a block of stems, whose pairs are discarded by size and sketch at once. A column grows by a word while it is large."""
+    heads, tail = _unpacked(table["entries"].to_pylist(), table["tail"].to_pylist())
+    begin = np.cumsum(heads["n"], dtype=np.int64) - heads["n"]
+    order = np.lexsort((heads["cls"], heads["word"]))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(heads["cls"][order]) != 0) | (np.diff(heads["word"][order].astype(np.int64)) != 0)
+    heads, begin = heads[order[new]], begin[order[new]]
+    cls, s0, s1, size, end = heads["cls"].copy(), heads["s0"].astype(np.uint64), heads["s1"].astype(np.uint64), heads["size"].astype(np.int64), begin + heads["n"]
+    share, pairs, rows = (1 - threshold) / (1 + threshold), [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
+    row, key, after = np.arange(len(heads)), heads["word"].astype(np.uint64), begin
+    for depth in range(2, ngram + 1):
+        n = end[row] - after
+        at = _ranges(after, n)
+        row, key = np.repeat(row, n), _mix(np.stack([np.repeat(key, n), tail[at].astype(np.uint64)], 1))
+        order = np.argsort(key)
+        row, key, after = row[order], key[order], at[order] + 1
+        start, length = _runs(key) if len(key) else (np.empty(0, np.int64), np.empty(0, np.int64))
+        most = hot if depth == ngram else min(FEW, hot)
+        of = (length > 1) & (length <= most)
+        for i, j in _pairs_in(start[of], length[of]):
+            i, j = row[i], row[j]
+            ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j]) <= share * (size[i] + size[j]) + 1e-9
+            a, b = cls[i[ok]], cls[j[ok]]
+            pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
+        large = np.repeat(length > most, length)
+        row, key, after = row[large], key[large], after[large]
+    rows.append(np.stack([cls[row], key.view(np.int64)], 1))
+    found, rows = np.unique(np.concatenate(pairs), axis=0), np.concatenate(rows)
+    both = np.concatenate([found, rows])
+    return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "hot": pa.array(np.repeat([0, 1], [len(found), len(rows)]).astype(np.int8))})
+
+
+def _multiply(hot: int, blocks: int, threshold: float, ngram: int):
     """Accumulate the products of one block of columns: pairs of classes that share a column; rows of a hot column come out as they are."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table["block"][0].as_py() < 0:
+            return _multiply_stems(table, hot, threshold, ngram)
         entries = np.frombuffer(b"".join(table["entries"].to_pylist()), ENTRY)
         block = int(table["block"][0].as_py())
         entries = entries[np.lexsort((entries["cls"], entries["key"]))]
@@ -334,7 +445,7 @@ def _hot_links(classes: DataFrame, rows: DataFrame, hot: int, threshold: float)
     return full.groupBy("column", "lo", "hi").applyInArrow(product, "a long, b long").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, id_column: str, text_columns: list[str], threshold: float = 0.8, prefix: int | None = 10, ngram: int = 3, hot: int = 512, huge: int = 1_000_000) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_column: str, text_columns: list[str], threshold: float = 0.8, prefix: int | None = None, ngram: int = 3, hot: int = 512, huge: int = 1_000_000) -> DataFrame:
     """(doc_id, group_id, group_size) for each id that shares a group with another id; group_id is the smallest id of the group."""
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"text_{i}") for i, c in enumerate(text_columns)]).where("doc_id IS NOT NULL")
@@ -343,8 +454,8 @@ def near_duplicate_groups(docs: DataFrame, id_column: str, text_columns: list[st
     columns = len(_combos(prefix, ngram)) if prefix else 400
     n = classes.count()
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * columns * ENTRY.itemsize // BLOCK_BYTES))
-    spread = _blocks(classes, blocks, threshold, prefix, ngram, _huge_columns(classes, n, huge, threshold, prefix, ngram), max(1, -(-n // huge)) * 8)
-    pairs = materialize(spread.groupBy("block").applyInArrow(_multiply(hot, blocks), "a long, b long, hot tinyint"), "neardup-pairs")
+    spread = _blocks(classes, blocks, threshold, prefix, ngram, _huge_columns(classes, n, huge, threshold, prefix, ngram), max(1, -(-n // huge)) * 8, frequency, min(STEM, huge))
+    pairs = materialize(spread.groupBy("block").applyInArrow(_multiply(hot, blocks, threshold, ngram), "a long, b long, hot tinyint"), "neardup-pairs")
     links = _verify(classes, pairs.where("hot = 0"), threshold)
     if pairs.where("hot = 1").limit(1).count():
         links = links.union(_hot_links(classes, pairs.where("hot = 1"), hot, threshold))

@@ -82,3 +82,26 @@ def test_defined_results(spark):
 
 def test_empty(spark):
     assert near_duplicate_groups(spark.createDataFrame([], SCHEMA), "doc_id", ["title", "snippet"]).count() == 0
+
+
+def test_links_between_records_of_different_sizes(spark):
+    """A record of 31 words contains another's 19; its 12 further words are the rarest. Of 60 and 48 words, 12 of one and none of the other."""
+    rows = []
+    for i, (small, large) in enumerate([(19, 31), (48, 60), (36, 60)]):
+        text = [f"s{i}x{k}" for k in range(small)]
+        more = [f"m{i}x{k}" for k in range(large - small)]
+        rows += [(10 * i, None, " ".join(text), 1, 2, "x", "y"), (10 * i + 1, None, " ".join(text + more), 1, 2, "x", "y")]
+        # Each further word occurs once elsewhere, each shared word in three further records.
+        rows += [(1000 + 100 * i + k, None, f"{w} f{i}a{k} f{i}b{k}", 1, 2, "x", "y") for k, w in enumerate(more)]
+        rows += [(2000 + 1000 * i + 100 * c + k, None, f"{w} g{i}a{c}k{k} g{i}b{c}k{k}", 1, 2, "x", "y") for c in range(3) for k, w in enumerate(text)]
+    got = {tuple(r) for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), "doc_id", ["title", "snippet"], 0.6).collect()}
+    assert got == brute(rows, 0.6) == {(10 * i + k, 10 * i, 2) for i in range(3) for k in range(2)}
+
+
+@pytest.mark.parametrize("stem", [0, 6])
+def test_words_with_and_without_stems(spark, monkeypatch, stem):
+    """Words of more than STEM documents have their combinations written out, also within one record."""
+    monkeypatch.setattr("kestrelite.llm.neardup.STEM", stem)
+    rows = corpus(3)
+    got = {tuple(r) for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), "doc_id", ["title", "snippet"], 0.6).collect()}
+    assert got == brute(rows, 0.6)
