@@ -16,10 +16,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelite.operators.search import _matrix
+from kestrelite.operators.search import BLOCK, _matrix
 
 #: Kinds of trace records.
 ENTRY, VISIT, ACCEPT, RESULT = 0, 1, 2, 4
@@ -217,15 +218,27 @@ def _restore(vectors: np.ndarray, edges: pa.Table, m: int) -> Graph:
 TRACED = "qid long, shard_id int, doc_id long, score double, rank int, visited int, node array<int>, parent array<int>, dist array<float>, meta array<int>"
 
 
-def search_graphs(vectors: DataFrame, edges: DataFrame, queries: list[tuple[int, list[float]]], dim: int, k: int = 10, ef: int = 100, m: int = 16, traced: bool = False) -> DataFrame:
-    """The k hits of each query in each shard. `queries` is one bounded block; `visited` counts distances evaluated.
+def search_graphs(vectors: DataFrame, edges: DataFrame, queries: list[tuple[int, list[float]]] | DataFrame, dim: int, k: int = 10, ef: int = 100, m: int = 16, traced: bool = False) -> DataFrame:
+    """The k hits of each query in each shard; `visited` counts distances evaluated.
+
+    `queries`: (qid, vector), of any number, or a list that is one bounded block. More than BLOCK are cut into blocks by hash, and each shard's
+    graph meets each block in one task; a walk is the same either way.
 
     With `traced`, the first hit of each (query, shard) carries the walk: node, parent, distance and packed layer and kind of each record.
     """
-    held = vectors.sparkSession.sparkContext.broadcast(([q for q, _ in queries], np.array([v for _, v in queries], np.float64).reshape(len(queries), dim)))
-
-    def run(v: pa.Table, e: pa.Table) -> pa.Table:
-        qids, qs = held.value
+    spark = vectors.sparkSession
+    if isinstance(queries, DataFrame):
+        asked = queries.select(F.col("qid").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
+        table = asked.limit(BLOCK + 1).toArrow()  # never more than one block comes to the driver
+        one = table.num_rows <= BLOCK
+        if one:
+            at, q = _matrix(table["vector"], dim)
+            held = spark.sparkContext.broadcast((table["qid"].to_numpy()[at].tolist(), q))
+    else:
+        one = True
+        held = spark.sparkContext.broadcast(([q for q, _ in queries], np.array([v for _, v in queries], np.float64).reshape(len(queries), dim)))
+
+    def walk(v: pa.Table, e: pa.Table, qids: list[int], qs: np.ndarray) -> pa.Table:
         ids, x = _ordered(v, dim)
         g = _restore(x, e, m)
         shard = int(v["shard_id"][0].as_py()) if v.num_rows else -1
@@ -243,7 +256,22 @@ def search_graphs(vectors: DataFrame, edges: DataFrame, queries: list[tuple[int,
         names = ("qid", "shard_id", "doc_id", "score", "rank", "visited", "node", "parent", "dist", "meta")
         return pa.table({n: pa.array(x, t) for n, x, t in zip(names, c, kinds, strict=True)})
 
-    return vectors.groupBy("shard_id").cogroup(edges.groupBy("shard_id")).applyInArrow(run, TRACED)
+    if one:
+        return vectors.groupBy("shard_id").cogroup(edges.groupBy("shard_id")).applyInArrow(lambda v, e: walk(v, e, *held.value), TRACED)
+    blocks = -(-asked.count() // BLOCK)
+    # Vectors and edges of a shard come as one side; what has a layer is an edge list.
+    both = vectors.select("shard_id", "doc_id", "vector").unionByName(edges.select("shard_id", "layer", "row", "neighbours"), allowMissingColumns=True)
+    graph = both.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    shards = vectors.select(F.col("shard_id").alias("shard")).distinct()
+    sent = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).crossJoin(F.broadcast(shards)).select(F.col("shard").alias("shard_id"), "block", "qid", "vector")
+
+    def pair(g: pa.Table, q: pa.Table) -> pa.Table:
+        edge = pc.is_valid(g["layer"])
+        at, qs = _matrix(q["vector"], dim)
+        v = g.filter(pc.invert(edge)) if len(at) else g.slice(0, 0)
+        return walk(v, g.filter(edge), q["qid"].to_numpy()[at].tolist(), qs)
+
+    return graph.groupBy("shard_id", "block").cogroup(sent.groupBy("shard_id", "block")).applyInArrow(pair, TRACED)
 
 
 def hops(traced: DataFrame) -> DataFrame:

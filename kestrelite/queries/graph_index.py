@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kestrelite.functions.scalars import shard_of
 from kestrelite.operators.graph_index import RESULT, VISIT, build_graphs, hops, inspector_buffers, projections, search_graphs, walk_digest
-from kestrelite.operators.search import BLOCK, merge_top_k
+from kestrelite.operators.search import merge_top_k
 from kestrelite.queries.search import _ALL, DIM, K
 from kestrelite.scratch import materialize
 from kestrelite.sources.tables import table
@@ -35,13 +35,9 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("doc_id"), shard_of(F.col("vec_id"), shards).alias("shard_id"), F.col("embedding").alias("vector"))
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
-    """One block of queries: those whose id is divisible by 100, a fixed number at most."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").orderBy("vec_id")
-    rows = e.select("vec_id", "embedding").take(BLOCK + 1)
-    if len(rows) > BLOCK:
-        raise ValueError(f"more than {BLOCK} queries: send them in blocks")
-    return [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in rows]
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries: those whose id is divisible by 100."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
 def _walked(spark: SparkSession, sf_dir: str, ef: int, traced: bool) -> DataFrame:

@@ -49,3 +49,25 @@ def test_projection(spark, corpus):
     xy = np.array([(r["x"], r["y"]) for r in p if r["shard_id"] == 0])
     assert np.abs(xy).max(0) == pytest.approx([1, 1]) and xy[:, 0].std() >= xy[:, 1].std() * 0.5
     assert [(r["x"], r["y"]) for r in p if r["shard_id"] == 1] == [(0.0, 0.0)]
+
+
+def test_more_queries_than_a_block(spark, corpus, monkeypatch):
+    """Each query walks as it does in one block, traces included; a query without a full vector has no hits."""
+    df = spark.createDataFrame([(i, i % 3, corpus[i].tolist()) for i in range(150)], "doc_id long, shard_id int, vector array<float>")
+    edges = build_graphs(df, 24)
+    q = spark.createDataFrame([(i, corpus[i].tolist()) for i in range(300, 325)] + [(999, None)], "qid long, vector array<float>")
+    one = sorted(map(str, search_graphs(df, edges, q, 24, traced=True).collect()))
+    monkeypatch.setattr("kestrelite.operators.graph_index.BLOCK", 4)
+    assert sorted(map(str, search_graphs(df, edges, q, 24, traced=True).collect())) == one and len(one) == 25 * 3 * 10
+
+
+def test_registered_queries_with_more_than_a_block(spark, monkeypatch, tmp_path):
+    from kestrelite.queries.graph_index import QUERIES
+
+    x = np.random.default_rng(2).standard_normal((900, 64))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    names = ("hnsw_search", "hnsw_search_wide", "hnsw_trace_stats", "inspector_view")
+    one = {n: sorted(map(str, QUERIES[n](spark, str(tmp_path)).collect())) for n in names}
+    for at in ("operators", "queries"):
+        monkeypatch.setattr(f"kestrelite.{at}.graph_index.BLOCK", 4, raising=False)
+    assert {n: sorted(map(str, QUERIES[n](spark, str(tmp_path)).collect())) for n in names} == one and all(one.values())
