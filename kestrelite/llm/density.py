@@ -6,9 +6,8 @@
      More than `core` copies of one vector are one node, whose vectors it has from the start and whose own distance is 0.
   2. Borůvka rounds: each node of fewer than `smallest` vectors hooks along its lightest edge. A group below that size is no cluster, so
      all that the hierarchy needs of it is how many vectors it brings at which distance, and the hooked node's vectors keep the distance
-     at which they joined. After about log2(smallest) rounds only nodes of `smallest` vectors or more are left; `smallest` is at least
-     rows / 10,000, so there are at most 10,000 of them, whatever the number of rows.
-  3. Condensed hierarchy over these nodes (on the driver, by their bounded number), stability of each cluster, selection by largest stability.
+     at which they joined. After about log2(smallest) rounds only nodes of `smallest` vectors or more are left, at most rows / smallest.
+  3. Condensed hierarchy over these nodes (on the driver, whose memory grows with them; `smallest` doesn't follow the rows), stability of each cluster, selection by largest stability.
   4. Members are the vectors that joined a selected cluster before it joined another; of these, only such stay whose similarity with the
      cluster's mean is at least `inside`. The most persistent members, those that joined at the shortest distance, are the exemplars.
 
@@ -26,12 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrelite.llm.knn import _assigned, cells, fit_lists, unit, unpack, usable_vectors
+from kestrelite.llm.knn import _assigned, cells, fit_lists, list_chunks, unit, unpack, usable_vectors
 from kestrelite.scratch import materialize, release
 
 STEPS = 128
-#: Nodes that may be left for the hierarchy on the driver.
-NODES = 10_000
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -57,12 +54,13 @@ def _list_forest(dim: int, core: int):
     def run(table: pa.Table) -> pa.Table:
         ids, first = np.unique(table["doc_id"].to_numpy(), return_index=True)
         x = unit(unpack(table["vec"], dim))[first].astype(np.float32)
-        heavy = table["heavy"].to_numpy()[first]
+        heavy, whole = table["heavy"].to_numpy()[first], table["reach"].to_numpy()[first]
         n = len(ids)
         reach, k = np.empty(n, np.float32), min(core, n - 1)
         for lo in range(0, n, 1024):
             sim = x[lo : lo + 1024] @ x.T
             reach[lo : lo + 1024] = -np.partition(-sim, k, axis=1)[:, k]  # the k-th besides itself
+        reach = np.where(np.isnan(whole), reach, whole).astype(np.float32)
         reach[heavy] = 1
         best, to, left = np.full(n, -9, np.float32), np.zeros(n, np.int64), np.ones(n, bool)
         a, b, w, now = [], [], [], 0
@@ -81,14 +79,43 @@ def _list_forest(dim: int, core: int):
     return run
 
 
+def _whole_reach(spread: DataFrame, dim: int, core: int) -> DataFrame:
+    """(list, doc_id, reach): similarity with the `core`-th neighbour in all chunks of a list, each of which is in one task with each other one."""
+
+    def best(table: pa.Table) -> pa.Table:
+        ids, first = np.unique(table["doc_id"].to_numpy(), return_index=True)
+        x, own = unit(unpack(table["vec"], dim))[first].astype(np.float32), table["own"].to_numpy()[first]
+        of, near = [], []
+        p, q = table["p"][0].as_py(), table["q"][0].as_py()
+        for a, b in {(p, q), (q, p)}:
+            at, to = np.flatnonzero(own == a), np.flatnonzero(own == b)
+            k = min(core, len(to) - (a == b))
+            for lo in range(0, len(at) if k > 0 else 0, 1024):
+                sim = x[at[lo : lo + 1024]] @ x[to].T
+                sim[at[lo : lo + 1024, None] == to[None]] = -9
+                of += ids[at[lo : lo + 1024]].tolist()
+                near += (-np.partition(-sim, k - 1, axis=1)[:, :k]).tolist()
+        return pa.table({"list": pa.array([table["list"][0].as_py()] * len(of), pa.int64()), "doc_id": pa.array(of, pa.int64()), "near": pa.array(near, pa.list_(pa.float32()))})
+
+    parts = spread.groupBy("list", "p", "q").applyInArrow(best, "list long, doc_id long, near array<float>")
+    near = parts.groupBy("list", "doc_id").agg(F.sort_array(F.flatten(F.collect_list("near")), asc=False).alias("near"))
+    return near.select("list", "doc_id", F.element_at("near", F.least(F.lit(core), F.size("near"))).alias("reach"))
+
+
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The spanning forest of a partition's edges, kept as one grows through it."""
+    """The spanning forest of a partition's edges, kept as one grows through it, by as many edges at a time as it has."""
     kept = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "w": pa.array([], pa.int32())})
+
+    def joined(more: list[pa.Table]) -> pa.Table:
+        both = pa.concat_tables([kept, *more])
+        return both.take(spanning_forest(*(both[c].to_numpy() for c in ("a", "b", "w")))).combine_chunks()
+
+    more: list[pa.Table] = []
     for batch in batches:
-        both = pa.concat_tables([kept, pa.Table.from_batches([batch]).cast(kept.schema)])
-        a, b, w = (both[c].to_numpy() for c in ("a", "b", "w"))
-        kept = both.take(spanning_forest(a, b, w))
-    yield from kept.combine_chunks().to_batches()
+        more.append(pa.Table.from_batches([batch]).cast(kept.schema))
+        if sum(map(len, more)) >= max(len(kept), 10_000):
+            kept, more = joined(more), []
+    yield from (joined(more) if more else kept).to_batches()
 
 
 EDGE = "a long, b long, w int"
@@ -219,7 +246,7 @@ def condense(edges: list[tuple[int, int, int]], mass: dict[int, dict[int, int]],
 
 
 def _means(vectors: DataFrame, members: DataFrame, dim: int) -> dict[int, np.ndarray]:
-    """Mean direction by cluster; one row a cluster comes back, and there are at most NODES clusters."""
+    """Mean direction by cluster; one row a cluster comes back, and there are at most as many clusters as nodes of the hierarchy."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -244,7 +271,6 @@ def density_clusters(
     spark = rows.sparkSession
     vectors = materialize(usable_vectors(rows, id_column, vector_column, dim), "density-vectors")
     n = vectors.count()
-    smallest = max(smallest, -(-n // NODES))
     nodes, placed, heavy = vectors, vectors.select("doc_id", F.col("doc_id").alias("node"), F.lit(0).alias("step")), None
     marks = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2")]
     copies = vectors.groupBy(*marks).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > core).drop("n")
@@ -255,18 +281,26 @@ def density_clusters(
         heavy = tagged.where("doc_id = first").select("doc_id", F.lit(True).alias("heavy"))
     lists = spark.sparkContext.broadcast(fit_lists(nodes, dim, n if heavy is None else nodes.count(), list_size, sample_rows))
     spread = _assigned(nodes, lists, dim, 2, 0.1, 0, 0.1, "false").where("posted")
-    spread = cells(spread.withColumn("asks", F.lit(False)), cell)
+    chunks = materialize(list_chunks(spread, cell), "density-lists")
+    spread = cells(spread.withColumn("asks", F.lit(False)), cell, chunks)
     # Of a list in chunks each pair of chunks is a task; (p, q) and (q, p) hold the same vectors.
-    spread = spread.select("list", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "doc_id", "vec")
+    spread = spread.select(F.col("list").cast("long").alias("list"), F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.col("p").alias("own"), "doc_id", "vec")
+    if chunks.where("n > 2").limit(1).count():  # a pair of chunks is then not the whole list
+        spread = materialize(spread, "density-spread")
+        large = chunks.where("n > 2").select(F.col("list").cast("long").alias("list"))
+        spread = spread.join(_whole_reach(spread.join(F.broadcast(large), "list", "left_semi"), dim, core), ["list", "doc_id"], "left")
+    else:
+        spread = spread.withColumn("reach", F.lit(None).cast("float"))
+    spread = spread.drop("own")
     spread = spread.withColumn("heavy", F.lit(False)) if heavy is None else spread.join(heavy, "doc_id", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     forest = spread.groupBy("list", "p", "q").applyInArrow(_list_forest(dim, core), EDGE)
     edges = materialize(forest.mapInArrow(_thin, EDGE), "density-edges")
     edges, placed = _absorb(edges, placed, smallest)
-    left = [tuple(map(int, e)) for e in edges.mapInArrow(_thin, EDGE).coalesce(1).mapInArrow(_thin, EDGE).collect()]  # fewer than NODES
+    left = [tuple(map(int, e)) for e in edges.mapInArrow(_thin, EDGE).coalesce(1).mapInArrow(_thin, EDGE).collect()]  # fewer than nodes
     sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= smallest)
     mass: dict[int, dict[int, int]] = defaultdict(dict)
     for row in placed.join(sizes.select("node"), "node", "left_semi").groupBy("node", "step").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
-        mass[row["node"]][row["step"]] = row["n"]  # up to NODES nodes, each with the steps of its own vectors
+        mass[row["node"]][row["step"]] = row["n"]  # up to rows / smallest nodes, each with the steps of its own vectors
     chosen = condense([e for e in left if e[0] in mass and e[1] in mass], dict(mass), smallest)
     nodes = [(node, i, step, c["end"]) for i, c in enumerate(chosen) for node, step in c["nodes"].items() if step < c["end"]]
     nodes = spark.createDataFrame(nodes, "node long, cluster long, entered int, end int")

@@ -166,9 +166,14 @@ def _assigned(vectors: DataFrame, lists, dim: int, replicas: int, ratio: float,
     return narrow.mapInArrow(spread, "list int, posted boolean, asks boolean, doc_id long, vec binary")
 
 
-def cells(assigned: DataFrame, cell: int) -> DataFrame:
+def list_chunks(assigned: DataFrame, cell: int) -> DataFrame:
+    """(list, n): chunks of each list; one row per centroid."""
+    return assigned.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("n"))
+
+
+def cells(assigned: DataFrame, cell: int, n: DataFrame | None = None) -> DataFrame:
     """`assigned` with `p` and `q`: a list of up to `cell` rows is one cell; a longer one is cut into chunks, with a cell for each pair of chunks."""
-    n = assigned.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("n"))  # one row per centroid
+    n = list_chunks(assigned, cell) if n is None else n
     cut = assigned.join(F.broadcast(n), "list").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
     whole = cut.where("n = 1").select("list", F.lit(0).alias("p"), F.lit(0).alias("q"), "posted", "asks", "doc_id", "vec")
     parts = cut.where("n > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))

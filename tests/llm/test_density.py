@@ -62,3 +62,23 @@ def test_empty(spark):
     assert members.count() == 0 and means == {}
     anchors = spark.createDataFrame([(1, [3.0] + [0.0] * 15)], "anchor_id int, vector array<float>")
     assert place(anchors, "anchor_id", "vector", means, 0.5, 16).count() == 0
+
+
+def test_smallest_does_not_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr("kestrelite.llm.density.NODES", 2, raising=False)
+    x, truth = blobs(4, per=40)
+    rows = [(int(i), [float(v) for v in x[i]], "c", "a", "b", "c") for i in range(len(x))]
+    members, _ = density_clusters(spark.createDataFrame(rows, SCHEMA), "doc_id", "vector", dim=16, core=5, smallest=20, inside=0.5, list_size=100)
+    sides = {}
+    for r in members.collect():
+        sides.setdefault(r["cluster"], set()).add(truth[r["doc_id"]])
+    assert {frozenset(v) for v in sides.values()} >= {frozenset([i]) for i in range(3)}
+
+
+def test_core_distances_do_not_follow_the_chunks(spark):
+    x, _ = blobs(5, per=60)
+    rows = [(int(i), [float(v) for v in x[i]], "c", "a", "b", "c") for i in range(len(x))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [density_clusters(df, "doc_id", "vector", dim=16, core=8, smallest=20, inside=0.5, list_size=100, cell=cell)[0] for cell in (4096, 24)]
+    one, cut = ({r["doc_id"]: (r["cluster"], r["step"]) for r in g.collect()} for g in got)
+    assert one and one == cut
