@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kestrelite.operators.embed import hash_embedding
 from kestrelite.operators.graph_index import search_graphs
-from kestrelite.operators.search import BLOCK, coverage, merge_top_k, plan_probes, shard_hits
+from kestrelite.operators.search import coverage, merge_top_k, plan_probes, shard_hits
 from kestrelite.plans.ingest import open_store
 from kestrelite.scratch import materialize
 
@@ -36,9 +36,8 @@ def run_queries(spark: SparkSession, store: str, queries: DataFrame, k: int = 0,
     health = shards.select("shard_id", (~F.col("shard_id").isin(*(down or [-1]))).alias("answers"))
     answered = plan.where("probed").join(F.broadcast(health.where("answers")), "shard_id", "left_semi").select("qid", "shard_id")
     vectors = sealed.select("doc_id", "shard_id", "vector")
-    if meta["index_type"] == "hnsw" and asked.count() <= BLOCK:
-        few = [(r["qid"], [float(x) for x in r["vector"]]) for r in asked.collect()]  # one block at most
-        found = search_graphs(vectors, spark.read.parquet(f"{store}/edges"), few, meta["dim"], k, ef, meta["m"]).select("qid", "shard_id", "doc_id", "score")
+    if meta["index_type"] == "hnsw":
+        found = search_graphs(vectors, spark.read.parquet(f"{store}/edges"), asked, meta["dim"], k, ef, meta["m"]).select("qid", "shard_id", "doc_id", "score")
     else:
         found = shard_hits(vectors, asked, k, meta["dim"])
     hits = merge_top_k(found.join(answered, ["qid", "shard_id"]), k)

@@ -39,3 +39,14 @@ def test_store_end_to_end(spark, tmp_path, partitioning, index):
         assert r["probed"] == 2 and r["answered"] == 2 - (r["missing_shards"] == "0")
     assert all(h["shard_id"] != 0 for h in part["hits"].collect())
     spark.read.parquet(f"{store}/cache/model=hash-16").count() == 120
+
+
+def test_a_large_batch_is_searched_by_graph(spark, tmp_path, monkeypatch):
+    store = f"file://{tmp_path}/store"
+    ingest(raw(spark), store, Settings(16, 3, 1, "hash", "hnsw"))
+    q = spark.createDataFrame([(i, f"Title {i} and more") for i in range(7)], "qid long, text string")
+    one = sorted(map(str, run_queries(spark, store, q, k=3, ef=5)["hits"].collect()))
+    for at in ("plans.query", "operators.graph_index"):
+        monkeypatch.setattr(f"kestrelite.{at}.BLOCK", 3, raising=False)
+    monkeypatch.setattr("kestrelite.plans.query.shard_hits", None)
+    assert sorted(map(str, run_queries(spark, store, q, k=3, ef=5)["hits"].collect())) == one and len(one) == 21
