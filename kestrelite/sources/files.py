@@ -67,7 +67,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return e.where("nodeId IS NOT NULL").select(
         F.col("nodeId").alias("node_id"), n("seq").alias("seq"), n("tMonoNs").alias("t_mono_ns"),
         F.when(F.col("span").isNotNull(), F.struct(F.lower(F.hex(F.unbase64("span.traceId"))).alias("trace_id"), F.col("span.kind").alias("kind"), n("span.tStartNs").alias("t_start_ns"), n("span.tEndNs").alias("t_end_ns"), F.coalesce("span.shardId", F.lit(0)).alias("shard_id"), F.col("span.detailJson").alias("detail_json"))).alias("span"),
-        F.when(F.col("stats").isNotNull(), F.struct(F.coalesce(n("stats.rssBytes"), F.lit(0)).alias("rss_bytes"), F.coalesce(n("stats.docCount"), F.lit(0)).alias("doc_count"), F.coalesce(n("stats.p99Us"), F.lit(0)).alias("p99_us"), F.col("stats.state").alias("state"))).alias("stats"),
+        F.when(F.col("stats").isNotNull(), F.struct(F.coalesce(n("stats.rssBytes"), F.lit(0)).alias("rss_bytes"), F.coalesce(n("stats.docCount"), F.lit(0)).alias("doc_count"), F.coalesce("stats.qps1s", F.lit(0.0).cast("float")).alias("qps_1s"), F.coalesce(n("stats.p50Us"), F.lit(0)).alias("p50_us"), F.coalesce(n("stats.p99Us"), F.lit(0)).alias("p99_us"), F.coalesce(n("stats.primarySeq"), F.lit(0)).alias("primary_seq"), F.coalesce(n("stats.appliedSeq"), F.lit(0)).alias("applied_seq"), F.col("stats.state").alias("state"), F.coalesce(n("stats.edgeCount"), F.lit(0)).alias("edge_count"))).alias("stats"),
         F.when(F.col("state").isNotNull(), F.struct(F.col("state.from").alias("from_state"), F.col("state.to").alias("to_state"), F.col("state.health").alias("health"), F.col("state.reason").alias("reason"))).alias("state_change"),
     )
 
@@ -79,7 +79,7 @@ def write_events(events: DataFrame, path: str) -> None:
     line = F.struct(
         F.col("node_id").alias("nodeId"), s(F.col("seq")).alias("seq"), s(F.col("t_mono_ns")).alias("tMonoNs"),
         F.when(span.isNotNull(), F.struct(F.base64(F.unhex(span["trace_id"])).alias("traceId"), span["kind"].alias("kind"), s(span["t_start_ns"]).alias("tStartNs"), s(span["t_end_ns"]).alias("tEndNs"), F.when(span["shard_id"] != 0, span["shard_id"]).alias("shardId"), span["detail_json"].alias("detailJson"))).alias("span"),
-        F.when(stats.isNotNull(), F.struct(s(stats["rss_bytes"]).alias("rssBytes"), s(stats["doc_count"]).alias("docCount"), s(stats["p99_us"]).alias("p99Us"), stats["state"].alias("state"))).alias("stats"),
+        F.when(stats.isNotNull(), F.struct(s(stats["rss_bytes"]).alias("rssBytes"), s(stats["doc_count"]).alias("docCount"), F.when(stats["qps_1s"] != 0, stats["qps_1s"]).alias("qps1s"), s(stats["p50_us"]).alias("p50Us"), s(stats["p99_us"]).alias("p99Us"), s(stats["primary_seq"]).alias("primarySeq"), s(stats["applied_seq"]).alias("appliedSeq"), stats["state"].alias("state"), s(stats["edge_count"]).alias("edgeCount"))).alias("stats"),
         F.when(change.isNotNull(), F.struct(change["from_state"].alias("from"), change["to_state"].alias("to"), change["health"].alias("health"), change["reason"].alias("reason"))).alias("state"),
     )
     events.select(F.to_json(line)).write.mode("overwrite").text(path)

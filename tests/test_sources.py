@@ -52,6 +52,17 @@ def test_event_bundle(spark, tmp_path):
     assert {r["node_id"]: r for r in read_events(spark, f"{tmp_path}/again").collect()} == got
 
 
+def test_event_bundle_keeps_all_stats(spark, tmp_path):
+    stats = {"rssBytes": "5", "docCount": "6", "qps1s": 2.5, "p50Us": "7", "p99Us": "8", "primarySeq": "9", "appliedSeq": "4", "state": "S", "edgeCount": "3"}
+    (tmp_path / "e.ndjson").write_text("\n".join(json.dumps({"nodeId": n, "seq": "1", "stats": s}) for n, s in (("a", stats), ("b", {"rssBytes": "1"}))))
+    write_events(read_events(spark, f"{tmp_path}/e.ndjson"), f"{tmp_path}/again")
+    for path in ("e.ndjson", "again"):
+        e = read_events(spark, f"{tmp_path}/{path}")
+        assert e.select("stats.*").dtypes == [("rss_bytes", "bigint"), ("doc_count", "bigint"), ("qps_1s", "float"), ("p50_us", "bigint"), ("p99_us", "bigint"), ("primary_seq", "bigint"), ("applied_seq", "bigint"), ("state", "string"), ("edge_count", "bigint")]
+        got = {r["node_id"]: tuple(r["stats"]) for r in e.collect()}
+        assert got == {"a": (5, 6, 2.5, 7, 8, 9, 4, "S", 3), "b": (1, 0, 0.0, 0, 0, 0, 0, None, 0)}
+
+
 def test_merge_prefix_gates_settings(spark):
     old = spark.createDataFrame([("hash", 1), ("semantic", 2)], "partitioning string, r int")
     assert sorted(map(tuple, merge_by_scheme(old, spark.createDataFrame([("hash", 9)], old.schema)).collect())) == [("hash", 9), ("semantic", 2)]
