@@ -88,7 +88,8 @@ def partition_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _balanced(spark, sf_dir).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") > 0).alias("spilled"))
 
 
-_BUCKET = "CASE WHEN starts_with(c, 'cs.') THEN 'cs' WHEN starts_with(c, 'math.') THEN 'math' WHEN " + " OR ".join(f"starts_with(c, '{p}')" for p in ("physics.", "astro-ph", "cond-mat", "gr-qc", "hep-", "math-ph", "nlin.", "nucl-", "quant-ph")) + " THEN 'physics' WHEN starts_with(c, 'q-bio') THEN 'q-bio' ELSE 'other' END"
+_BUCKET = """CASE WHEN c LIKE 'cs.%' THEN 'cs' WHEN c LIKE 'math.%' THEN 'math' WHEN c LIKE 'q-bio%' THEN 'q-bio'
+    WHEN regexp_matches(c, '^(hep-|astro-ph|cond-mat|gr-qc|nucl-|quant-ph|physics|math-ph|nlin)') THEN 'physics' ELSE 'other' END"""
 
 
 @register(f"""WITH d AS (SELECT shard_id, coalesce(regexp_extract(category, '^\\s*(\\S+)', 1), '') AS c FROM docs), b AS (SELECT shard_id, {_BUCKET} AS bucket, count(*) AS n FROM d GROUP BY ALL),
