@@ -1,12 +1,14 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 An executor can be lost at any time, so nothing here relies on an executor's own disk: lineage is cut by a Parquet table below
-`spark.checkpoint.dir`, which every executor reads. Only where that setting is absent (tests) a folder of our own is made.
+`spark.checkpoint.dir`, which every executor reads. Only a local session (one machine, as in tests) without that setting gets a folder of its own;
+on a cluster its absence is an error, as a folder of one machine would be lost with it.
 """
 
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,13 +18,18 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; in a session without one, a temporary folder that is then set as the checkpoint folder."""
+    """The folder in `spark.checkpoint.dir`; in a local session without one, a temporary folder that is then set as the checkpoint folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="kestrelite-")
+        folder = tempfile.mkdtemp(prefix="kestrelite-")
+        atexit.register(shutil.rmtree, folder, True)
+        _OWN[app] = "file://" + folder
         spark.sparkContext.setCheckpointDir(_OWN[app])
     return _OWN[app]
 
