@@ -1,14 +1,18 @@
 """Held-out test items that occur, whole or in part, in the spoken lines of a large corpus.
 
-The items are few; their BM25 inverted index, with the largest impact of each term in each block of items, goes to every task. Every passage of
-every document, windows of `window` words that overlap by half, is a query. Block-max WAND: a block of items is skipped if the largest
-impacts of the passage's terms there add up to less than the least threshold in the block; in the other blocks items are scored in full, and
-all at or above their threshold are retrieved. An item's threshold is the least score that a passage with enough of its words can have.
+Items come in sets of at most `SET` (one set, for a usual test suite); a set's BM25 inverted index goes to every task: per term its postings, the
+items that have it in order with their impacts, cut into blocks of `BLOCK` items with the largest impact of each. Every passage of every document
+is a query: windows of words that overlap by half. Block-max WAND: postings are walked in order of item; the pivot is the first item at which the
+largest impacts of the terms met so far reach the least threshold; if the blocks' largest impacts don't reach it, the walk goes on after the block,
+else the item is scored; all items at or above their threshold are retrieved. An item's threshold is the least score that a passage with enough
+of its words can have, found exactly (least total impact of terms with that many occurrences), less `slack` for words too damaged to be known.
+Windows are as long as the items need: items are indexed by the length of the longest passage that the alignment below accepts, in powers of two,
+and half a window is the longest such length, so no accepted passage lies across windows.
 A retrieved item is verified by alignment: the longest chain of its words in the document in the item's order, in which at most
 `gap` - 1 words of either side are passed over between two matches, must hold at least `share` of the item's words.
 
-Words are compared in a form that damage leaves alone: lower case; characters beyond ASCII, which wrong encodings spoil, and question marks, which
-stand for them, left out; characters that recognition mixes up made one. A word that still isn't known counts as the one term of the items within
+Words are compared in a form that damage leaves alone: lower case; Latin letters beyond ASCII, which wrong encodings spoil, and question marks, which
+stand for them, left out (letters of other scripts stay; where a script has no blanks, each sign is a word); characters that recognition mixes up made one. A word that still isn't known counts as the one term of the items within
 one edit (two from nine characters on), if there is one. Hesitations and bare numbers are no words.
 
 Defined results: null or empty texts hold nothing; null ids are left out; repeated rows of a document or item give one row; an item without words is
@@ -19,8 +23,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +39,26 @@ from kestrelite.llm.subtitles import spoken_cues
 CONFUSED_PAIRS = (("rn", "m"), ("cl", "d"), ("vv", "w"))
 CONFUSED = str.maketrans({"0": "o", "1": "l", "i": "l", "j": "l", "8": "b", "5": "s", "6": "b", "9": "g", "q": "g", "e": "c", "t": "f", "h": "b", "u": "ll", "2": "z"})
 HESITATIONS = frozenset(("uh", "um", "eh", "er", "hm", "mm", "well", "mmm"))
-WORD = re.compile(r"[a-z0-9]+")
+#: Scripts other than Latin, and of these the ones written without blanks.
+SIGNS = r"\u3040-\u30ff\u3400-\u9fff\u0e00-\u0eff\u1780-\u17ff\u1000-\u109f"
+OTHER = r"\u0370-\u0dff\u0f00-\u0fff\u10a0-\u177f\u1800-\u1dff\u1f00-\u1fff\u2c80-\u2dff\uac00-\ud7a3\ufb1d-\ufdff\ufe70-\ufeff"
+FOREIGN, LATIN = re.compile(f"[{SIGNS}{OTHER}]"), re.compile(f"[^\\x00-\\x7f{SIGNS}{OTHER}]")
+WORD = re.compile(f"[a-z0-9]+|[{SIGNS}]|[{OTHER}]+")
 #: Words with an apostrophe or hyphen inside are one word.
 JOINT = re.compile(r"(?<=[a-z0-9])['-](?=[a-z0-9])")
 K1, B = 1.2, 0.75
 BLOCK = 16
+#: Items of one index: what a task holds of them is bounded, and larger test sets are searched set by set.
+SET = 20_000
 
 
 def words_of(text: str) -> list[str]:
-    """The words of spoken text, in lower-case ASCII, without hesitations and bare numbers."""
-    plain = text.encode("ascii", "ignore").decode().replace("?", "").lower()
+    """The words of spoken text, in lower case without Latin letters beyond ASCII, hesitations and bare numbers."""
+    if text.isascii() or not FOREIGN.search(text):
+        plain = text.encode("ascii", "ignore").decode()
+    else:
+        plain = LATIN.sub("", text)
+    plain = plain.replace("?", "").lower()
     return [w for w in WORD.findall(JOINT.sub("", plain)) if w not in HESITATIONS and not w.isdigit()]
 
 
@@ -102,40 +118,99 @@ class Terms(dict):
         return found
 
 
+def _least_score(impacts: list[float], counts: list[int], need: int) -> float:
+    """The least total impact of terms that occur at least `need` times together."""
+    least = np.full(need + 1, np.inf)
+    least[0] = 0
+    for impact, count in zip(impacts, counts, strict=True):
+        least = np.minimum(least, least[np.maximum(np.arange(need + 1) - count, 0)] + impact)
+    return float(least[need])
+
+
+class _Part:
+    """Inverted index of the items that share a window: postings with block maxima, and the walk through them."""
+
+    def __init__(self, half: int, members: list[tuple[int, float, dict[int, float]]]):
+        """members: (item, threshold, impact by term), in order of item."""
+        self.half, self.items = half, [k for k, _, _ in members]
+        self.threshold = [t for _, t, _ in members]
+        self.least = min(self.threshold)
+        self.block_least = [min(self.threshold[lo : lo + BLOCK]) for lo in range(0, len(members), BLOCK)]
+        self.postings: dict[int, tuple[list[int], list[float]]] = {}
+        for place, (_, _, impact) in enumerate(members):
+            for t, x in impact.items():
+                at, score = self.postings.setdefault(t, ([], []))
+                at.append(place)
+                score.append(x)
+        self.top = {t: max(score) for t, (_, score) in self.postings.items()}
+        self.block_top: dict[int, dict[int, float]] = {}
+        for t, (at, score) in self.postings.items():
+            of = self.block_top[t] = {}
+            for p, x in zip(at, score, strict=True):
+                of[p // BLOCK] = max(of.get(p // BLOCK, 0.0), x)
+
+    def walk(self, terms: list[int]) -> list[int]:
+        """The items whose score for a passage with these terms reaches their threshold."""
+        postings, end, out = self.postings, len(self.items), []
+        cursors = [[postings[t][0][0], 0, t] for t in terms if t in postings]  # place, position in the postings, term
+        while cursors:
+            cursors.sort()
+            reach, pivot = 0.0, -1
+            for n, c in enumerate(cursors):
+                reach += self.top[c[2]]
+                if reach >= self.least:
+                    pivot = c[0]
+                    break
+            if pivot < 0:
+                return out
+            while n + 1 < len(cursors) and cursors[n + 1][0] == pivot:
+                n += 1
+            block = pivot // BLOCK
+            if sum(self.block_top[c[2]].get(block, 0.0) for c in cursors[: n + 1]) < self.block_least[block]:
+                to = min((block + 1) * BLOCK, cursors[n + 1][0] if n + 1 < len(cursors) else end)
+            else:
+                score = 0.0
+                for c in cursors[: n + 1]:
+                    at, impact = postings[c[2]]
+                    i = bisect_left(at, pivot, c[1])
+                    if i < len(at) and at[i] == pivot:
+                        score += impact[i]
+                if score >= self.threshold[pivot]:
+                    out.append(self.items[pivot])
+                to = pivot + 1
+            for c in cursors[: n + 1]:
+                at = postings[c[2]][0]
+                c[1] = bisect_left(at, to, c[1])
+                c[0] = at[c[1]] if c[1] < len(at) else end
+            cursors = [c for c in cursors if c[0] < end]
+        return out
+
+
 class Index:
-    """Inverted index of the items with block maxima."""
+    """The inverted indexes of a set of items, one a length of window, and what verification needs."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float, slack: float = 0.2):
+    def __init__(self, items: list[tuple[int, str]], share: float, slack: float = 0.2, gap: int = 4):
         held = [(i, [robust(w) for w in words_of(t or "")]) for i, t in sorted(set(items))]
         held = [(i, w) for i, w in held if w]
         self.ids = [i for i, _ in held]
         self.words = [w for _, w in held]
-        self.need = [math.ceil(share * len(w) - 1e-9) for w in self.words]
+        self.need = [max(1, math.ceil(share * len(w) - 1e-9)) for w in self.words]
+        self.gap = gap
         names = sorted({t for w in self.words for t in w})
         self.vocabulary = {t: k for k, t in enumerate(names)}
         n, average = len(held), sum(map(len, self.words)) / max(1, len(held))
         seen = Counter(t for w in self.words for t in set(w))
-        self.impact = np.zeros((len(names), -(-n // BLOCK) * BLOCK), np.float32)
-        self.threshold = np.full(self.impact.shape[1], np.inf, np.float32)
+        parts: dict[int, list] = defaultdict(list)
         for k, w in enumerate(self.words):
+            tf = Counter(w)
             each = {}
-            for t, tf in Counter(w).items():
+            for t, f in tf.items():
                 idf = math.log(1 + (n - seen[t] + 0.5) / (seen[t] + 0.5))
-                each[t] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / average))
-                self.impact[self.vocabulary[t], k] = each[t]
-            # The least that `need` words can add up to: those of least impact; less a part for words too damaged to be known.
-            light, left, total = sorted(each, key=each.get), self.need[k], 0.0
-            tf = Counter(w)
-            for t in light:
-                if left <= 0:
-                    break
-                total += each[t]
-                left -= tf[t]
-            self.threshold[k] = total * (1 - slack)
-        blocks = self.impact.shape[1] // BLOCK
-        self.block_max = self.impact.reshape(len(names), blocks, BLOCK).max(2) if n else np.zeros((len(names), 0), np.float32)
-        self.block_least = self.threshold.reshape(blocks, BLOCK).min(1) if n else np.empty(0, np.float32)
-        self.top = self.block_max.max(1) if n else np.zeros(len(names), np.float32)
+                each[t] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / average))
+            least = _least_score(list(each.values()), [tf[t] for t in each], self.need[k]) * (1 - slack)
+            span = (self.need[k] - 1) * gap + 1
+            parts[(span - 1).bit_length()].append((span, k, least, {self.vocabulary[t]: x for t, x in each.items()}))
+        self.parts = [_Part(max(8, *(m[0] for m in of)), [m[1:] for m in of]) for _, of in sorted(parts.items())]
         self.places = []
         for w in self.words:
             at: dict[int, list[int]] = defaultdict(list)
@@ -143,35 +218,33 @@ class Index:
                 at[self.vocabulary[t]].append(p)
             self.places.append(dict(at))
 
-    def retrieve(self, terms: np.ndarray, starts: np.ndarray, window: int) -> list[tuple[int, int]]:
+    def retrieve(self, terms: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
         """(document, item) pairs that some passage of the document retrieves; `terms` of all documents, which begin at `starts`."""
-        if not len(terms) or not self.ids:
-            return []
-        half, lengths = window // 2, np.diff(np.append(starts, len(terms)))
-        document = np.repeat(np.arange(len(starts)), lengths)
-        at = np.arange(len(terms)) - np.repeat(starts, lengths)
         known = np.flatnonzero(terms >= 0)
-        if not len(known):
+        if not len(known) or not self.ids:
             return []
-        # A word at place p is in the passages p // half and p // half - 1 of its document.
-        passage = np.concatenate([at[known] // half, np.maximum(at[known] // half - 1, 0)])
-        code = np.unique((np.tile(document[known], 2) * (1 << 20) + passage) * len(self.vocabulary) + np.tile(terms[known], 2))
-        term, where = code % len(self.vocabulary), code // len(self.vocabulary)
-        begin = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
-        hopeful = np.add.reduceat(self.top[term], begin) >= self.block_least.min()
+        lengths = np.diff(np.append(starts, len(terms)))
+        document = np.repeat(np.arange(len(starts)), lengths)[known]
+        at = (np.arange(len(terms)) - np.repeat(starts, lengths))[known]
         out: set[tuple[int, int]] = set()
-        ends = np.append(begin[1:], len(term))
-        for lo, hi in zip(begin[hopeful], ends[hopeful], strict=True):
-            t = term[lo:hi]
-            for block in np.flatnonzero(self.block_max[t].sum(0) >= self.block_least):
-                score = self.impact[t, block * BLOCK : (block + 1) * BLOCK].sum(0)
-                for k in np.flatnonzero(score >= self.threshold[block * BLOCK : (block + 1) * BLOCK]):
-                    out.add((int(where[lo] >> 20), int(block * BLOCK + k)))
+        for part in self.parts:
+            top = np.zeros(len(self.vocabulary))
+            top[list(part.top)] = list(part.top.values())
+            # A word at place p is in the passages p // half and p // half - 1 of its document.
+            passage = np.concatenate([at // part.half, np.maximum(at // part.half - 1, 0)])
+            code = np.unique((np.tile(document, 2) * (1 << 24) + passage) * len(self.vocabulary) + np.tile(terms[known], 2))
+            term, where = code % len(self.vocabulary), code // len(self.vocabulary)
+            begin = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
+            hopeful = np.add.reduceat(top[term], begin) >= part.least
+            ends = np.append(begin[1:], len(term))
+            for lo, hi in zip(begin[hopeful].tolist(), ends[hopeful].tolist(), strict=True):
+                d = int(where[lo] >> 24)
+                out.update((d, k) for k in part.walk(term[lo:hi].tolist()))
         return sorted(out)
 
-    def holds(self, terms: list[int], item: int, gap: int) -> bool:
+    def holds(self, terms: list[int], item: int) -> bool:
         """Whether a passage of the document has enough of the item's words in order."""
-        places, need = self.places[item], self.need[item]
+        places, need, gap = self.places[item], self.need[item], self.gap
         recent: list[tuple[int, int, int]] = []  # (place in document, place in item, length of the chain that ends there)
         best = 0
         for j, t in enumerate(terms):
@@ -194,13 +267,26 @@ class Index:
         return False
 
 
-def leaked_items(documents: DataFrame, id_column: str, text_column: str, items: list[tuple[int, str]], share: float = 0.55, window: int = 192, gap: int = 4) -> DataFrame:
-    """(item_id, doc_id) of all documents that contain enough of an item; `items` is the held-out test set, which fits any task."""
-    spark = documents.sparkSession
-    held = spark.sparkContext.broadcast((items, share))
+def _items_of(items: DataFrame, id_column: str, text_column: str) -> Iterator[list[tuple[int, str]]]:
+    """The test items in sets of about SET at most."""
+    held = items.select(F.col(f"`{id_column}`").cast("int").alias("item_id"), F.col(f"`{text_column}`").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    sets = max(1, -(-held.count() // SET))
+    for k in range(sets):
+        yield [(r["item_id"], r["text"]) for r in held.where(F.pmod(F.xxhash64("item_id"), F.lit(sets)) == k).collect()]  # one bounded set
+
+
+def leaked_items(documents: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str = "item_id", item_text: str = "text", share: float = 0.55, gap: int = 4) -> DataFrame:
+    """(item_id, doc_id) of all documents that contain enough of an item of `items`, the held-out test set."""
+    narrow = documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = [_search_set(narrow, of, share, gap) for of in _items_of(items, item_id, item_text)]
+    return reduce(DataFrame.union, found).distinct()
+
+
+def _search_set(narrow: DataFrame, items: list[tuple[int, str]], share: float, gap: int) -> DataFrame:
+    held = narrow.sparkSession.sparkContext.broadcast(Index(items, share, gap=gap))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*held.value)
+        index = held.value
         terms = Terms(index.vocabulary)
         for batch in batches:
             ids, texts, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
@@ -212,8 +298,7 @@ def leaked_items(documents: DataFrame, id_column: str, text_column: str, items:
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.empty(0, np.int64)
             full = lengths > 0  # documents without words have no passage
             numbers = np.flatnonzero(full)
-            found = [(index.ids[k], ids[numbers[d]]) for d, k in index.retrieve(flat, starts[full], window) if index.holds(lines[numbers[d]], k, gap)]
+            found = [(index.ids[k], ids[numbers[d]]) for d, k in index.retrieve(flat, starts[full]) if index.holds(lines[numbers[d]], k)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([d for _, d in found], pa.int64())], ["item_id", "doc_id"])
 
-    narrow = documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return narrow.mapInArrow(search, "item_id int, doc_id long").distinct()
+    return narrow.mapInArrow(search, "item_id int, doc_id long")

@@ -1,13 +1,15 @@
 """Texts put into containers of a fixed number of tokens, by lexical retrieval packing.
 
 Texts are measured in tokens of a public tokenizer. One longer than a container fills containers of its own; what is left of it, if anything, is an
-item like the shorter texts, which are never split. Items are spread over shards of about `shard_items` by hash. Each shard has a BM25 inverted
-index of its items (document frequencies are those of all documents, by a table of 2^20 counters). The largest unused item is the seed of the
+item like the shorter texts, which are never split. Items are spread over shards of about `shard_items` by hash of id, text and, for repeated rows,
+the number of the copy; so containers are the same however the table is partitioned. Each shard has a BM25 inverted index of its items (document
+frequencies are those of all documents, by a table of 2^20 counters); nearest means nearest in the shard. The largest unused item is the seed of the
 next container; the index returns the unused items nearest to it, which fill the container in that order as they fit. Then the last one is
-exchanged for the unused item that leaves least room, if that leaves less, and the room is filled with the largest items that fit.
+exchanged for the unused item that leaves least room, if that leaves less, and the room is filled with the largest items that fit. `placed` says
+which of these put a piece where it is: whole (a container of its own), seed, index, fit.
 
 Defined results: texts without tokens (null, empty) take no place; each row is a text, also if its id or text repeats, and null ids are kept; ties of
-score or size go to the first in order of (id, tokens); empty tables give empty results; texts are read whole.
+score or size go to the first in order of (id, tokens, terms); empty tables give empty results; texts are read whole.
 """
 
 from __future__ import annotations
@@ -112,46 +114,49 @@ class _ShardIndex:
         return np.bincount(self.items[at], self.impact[at], self.count)
 
 
-def fill(sizes: np.ndarray, capacity: int, scores) -> list[list[int]]:
-    """Items (by position) of each container; `scores(seed)` gives each item's nearness to the seed."""
+WHOLE, SEED, INDEX, FIT = "whole", "seed", "index", "fit"
+
+
+def fill(sizes: np.ndarray, capacity: int, scores) -> list[list[tuple[int, str]]]:
+    """Items (by position, with what placed them) of each container; `scores(seed)` gives each item's nearness to the seed."""
     unused = np.ones(len(sizes), bool)
     out = []
     for seed in np.argsort(-sizes, kind="stable").tolist():
         if not unused[seed]:
             continue
         unused[seed] = False
-        taken, room = [seed], capacity - int(sizes[seed])
+        taken, room = [(seed, SEED)], capacity - int(sizes[seed])
         fits = np.flatnonzero(unused & (sizes <= room))
         if len(fits):
             near = scores(seed)[fits]
             for i in fits[np.argsort(-near, kind="stable")].tolist():
                 if sizes[i] <= room:
-                    taken.append(i)
+                    taken.append((i, INDEX))
                     unused[i] = False
                     room -= int(sizes[i])
                     if room < 8:
                         break
             if room and len(taken) > 1:  # another last item, if it leaves less room
-                last = taken[-1]
+                last = taken[-1][0]
                 may = np.flatnonzero(unused & (sizes <= room + sizes[last]) & (sizes > sizes[last]))
                 if len(may):
                     best = int(may[sizes[may].argmax()])
                     unused[last], unused[best] = True, False
                     room += int(sizes[last] - sizes[best])
-                    taken[-1] = best
+                    taken[-1] = (best, FIT)
             while room:
                 may = np.flatnonzero(unused & (sizes <= room))
                 if not len(may):
                     break
                 best = int(may[sizes[may].argmax()])
                 unused[best] = False
-                taken.append(best)
+                taken.append((best, FIT))
                 room -= int(sizes[best])
         out.append(taken)
     return out
 
 
-OUT = "container_id long, position int, doc_id long, start_token int, tokens int"
+OUT = "container_id long, position int, doc_id long, start_token int, tokens int, placed string"
 
 
 def _pack_shard(capacity: int, df, documents: int):
@@ -159,30 +164,42 @@ def _pack_shard(capacity: int, df, documents: int):
         shard = int(table["shard"][0].as_py())
         ids = table["doc_id"].to_pandas().to_numpy(dtype=object)
         tokens = table["tokens"].to_numpy().astype(np.int64)
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None or ids[i] != ids[i], ids[i] if ids[i] == ids[i] and ids[i] is not None else 0, tokens[i]))
-        ids, tokens = ids[order], tokens[order]
         column = table["terms"].to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None or ids[i] != ids[i], ids[i] if ids[i] == ids[i] and ids[i] is not None else 0, tokens[i], column[i]))
+        ids, tokens = ids[order], tokens[order]
         whole, rest = tokens // capacity, tokens % capacity
         rows: list[tuple] = []
         number = 0
         for i in np.flatnonzero(whole).tolist():
             for k in range(int(whole[i])):
-                rows.append((number, 0, ids[i], k * capacity, capacity))
+                rows.append((number, 0, ids[i], k * capacity, capacity, WHOLE))
                 number += 1
         items = np.flatnonzero(rest)
         index = _ShardIndex([np.frombuffer(column[order[i]], TERM) for i in items.tolist()], df.value, documents)
         for taken in fill(rest[items], capacity, index.scores):
-            for position, t in enumerate(taken):
+            for position, (t, how) in enumerate(taken):
                 i = int(items[t])
-                rows.append((number, position, ids[i], int(whole[i]) * capacity, int(rest[i])))
+                rows.append((number, position, ids[i], int(whole[i]) * capacity, int(rest[i]), how))
             number += 1
-        c = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        c = list(zip(*rows, strict=True)) if rows else [[]] * 6
         doc = [None if d is None or d != d else int(d) for d in c[2]]
-        return pa.table({"container_id": pa.array([(shard << 32) | n for n in c[0]], pa.int64()), "position": pa.array(c[1], pa.int32()), "doc_id": pa.array(doc, pa.int64()), "start_token": pa.array(c[3], pa.int32()), "tokens": pa.array(c[4], pa.int32())})
+        return pa.table({"container_id": pa.array([(shard << 32) | n for n in c[0]], pa.int64()), "position": pa.array(c[1], pa.int32()), "doc_id": pa.array(doc, pa.int64()), "start_token": pa.array(c[3], pa.int32()), "tokens": pa.array(c[4], pa.int32()), "placed": pa.array(c[5], pa.string())})
 
     return run
 
 
+def _copies(measured: DataFrame) -> DataFrame:
+    """`measured` with `copy`, which numbers rows that are alike, so that each of them can go its own way. Only repeated rows are shuffled, once a kind."""
+    h = F.xxhash64("doc_id", "tokens", "terms")
+    again = measured.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    if not again.limit(1).count():
+        return measured.withColumn("copy", F.lit(0).cast("long"))
+    again, keyed = materialize(again, "packing-repeats"), measured.withColumn("h", h)
+    once = keyed.join(again, "h", "left_anti").select("doc_id", "tokens", "terms", F.lit(0).cast("long").alias("copy"))
+    kinds = keyed.join(again, "h", "left_semi").groupBy("doc_id", "tokens", "terms").agg(F.count(F.lit(1)).alias("n"))
+    return once.union(kinds.select("doc_id", "tokens", "terms", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")))
+
+
 def pack_texts(documents: DataFrame, id_column: str, text_column: str, capacity: int = 2048, tokenizer: str = TOKENIZER, shard_items: int = 2000) -> DataFrame:
     """(container_id, position, doc_id, start_token, tokens): each text, or the piece of it that begins at start_token, and its container."""
     spark = documents.sparkSession
@@ -191,6 +208,5 @@ def pack_texts(documents: DataFrame, id_column: str, text_column: str, capacity:
     n = measured.count()
     df = spark.sparkContext.broadcast(_frequencies(measured))
     shards = max(1, round(n / shard_items))
-    # The terms' hash spreads repeated ids, of which one could have a third of all rows.
-    spread = measured.withColumn("shard", F.pmod(F.xxhash64("doc_id", "terms", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    spread = _copies(measured).withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens", "terms", "copy"), F.lit(shards)).cast("int"))
     return spread.groupBy("shard").applyInArrow(_pack_shard(capacity, df, n), OUT)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,12 @@ from kestrelite.llm.growing_sample import BITS, STEP, growing_sample
 from kestrelite.llm.knn import nearest_neighbours
 from kestrelite.llm.leakage import leaked_items
 from kestrelite.llm.neardup import group_pairs, near_duplicate_groups
-from kestrelite.llm.packing import pack_texts
+from kestrelite.llm.packing import FIT, INDEX, SEED, WHOLE, pack_texts
 from kestrelite.llm.percentiles import combine, radix_histogram, radix_select
 from kestrelite.llm.quotas import draw_samples, target_report
 from kestrelite.llm.subjects import subject_areas
 from kestrelite.operators.redelivery import normalised_node
-from kestrelite.scratch import materialize
+from kestrelite.scratch import materialize, shared_dir
 from kestrelite.sources.tables import table
 
 QUERIES: dict = {}
@@ -84,6 +86,15 @@ ORACLE["p1_batch_and_day_percentiles"] = f"""
     FROM o, (SELECT unnest([500, 900, 950, 990]) AS p) WHERE k = greatest(1, (n * p + 999) // 1000)"""
 
 
+#: The same bounds by arithmetic: a double of exponent e has steps of 2^(e - 12) in its first 24 bits, and of 2^(e - 52) in all of them.
+ORACLE["p1_node_day_percentiles"] = ORACLE["p1_batch_and_day_percentiles"].split("         v AS (")[0].rstrip().rstrip(",") + """,
+         o AS (SELECT *, row_number() OVER (PARTITION BY source, node_id, day ORDER BY us) AS k, count(*) OVER (PARTITION BY source, node_id, day) AS n FROM w),
+         x AS (SELECT source, node_id, day, CAST(p AS INTEGER) AS permille, n, CAST(us AS DOUBLE) AS v, floor(log2(greatest(us, 1))) AS e
+               FROM o, (SELECT unnest([500, 900, 950, 990]) AS p) WHERE k = greatest(1, (n * p + 999) // 1000))
+    SELECT source, node_id, day, permille, n, CASE WHEN v = 0 THEN 0.0 ELSE floor(v / pow(2.0, e - 12)) * pow(2.0, e - 12) END AS low,
+           CASE WHEN v = 0 THEN 1099511627775 * pow(2.0, -1074) ELSE (floor(v / pow(2.0, e - 12)) + 1) * pow(2.0, e - 12) - pow(2.0, e - 52) END AS high FROM x"""
+
+
 @_register
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pairs(near_duplicate_groups(table(spark, sf_dir, "docs"), "doc_id", ["title", "snippet"], threshold=0.6))
@@ -119,6 +130,12 @@ def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(density_clusters(docs, "doc_id", "vector")[0], docs, "doc_id", "category")
 
 
+@_register
+def p4_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All draws by swap repair: (draw_id, doc_id, category). What p4_found lists follows from counts alone, before any sample is drawn."""
+    return draw_samples(table(spark, sf_dir, "docs"), "doc_id", "category", table(spark, sf_dir, "sample_targets"))
+
+
 @_register
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = target_report(table(spark, sf_dir, "docs"), "doc_id", "category", table(spark, sf_dir, "sample_targets"))
@@ -127,12 +144,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return target_report(table(spark, sf_dir, "docs"), "doc_id", "category", table(spark, sf_dir, "sample_targets"))
-
-
-@_register
-def p4_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return draw_samples(table(spark, sf_dir, "docs"), "doc_id", "category", table(spark, sf_dir, "sample_targets"))
+    """Per target: what its share of the sample is, what it needs with its minimum, what there is, and whether that is enough."""
+    report = target_report(table(spark, sf_dir, "docs"), "doc_id", "category", table(spark, sf_dir, "sample_targets"))
+    return report.select("draw_id", "category", "wanted", "need", "have", "met")
 
 
 ORACLE["p4_found"] = r"""
@@ -142,13 +156,25 @@ ORACLE["p4_found"] = r"""
     SELECT draw_id, s.category AS category FROM sample_targets s CROSS JOIN t LEFT JOIN h ON h.category = lower(trim(s.category, chr(32) || chr(9)))
     WHERE coalesce(have, 0) < greatest(min_docs, (total * sample_percent // 100) * target_permille // 1000)"""
 
+ORACLE["p4_report"] = r"""
+    WITH d AS (SELECT doc_id, min(nullif(lower(regexp_extract(category, '^[\s,;|/]*([^\s,;|/]+)', 1)), '')) AS category
+               FROM docs WHERE doc_id IS NOT NULL GROUP BY doc_id),
+         h AS (SELECT category, count(*) AS have FROM d GROUP BY category), t AS (SELECT count(*) AS total FROM d),
+         r AS (SELECT draw_id, s.category AS category, (total * sample_percent // 100) * target_permille // 1000 AS wanted, min_docs, coalesce(have, 0) AS have
+               FROM sample_targets s CROSS JOIN t LEFT JOIN h ON h.category = lower(trim(s.category, chr(32) || chr(9))))
+    SELECT draw_id, category, wanted, greatest(wanted, CAST(min_docs AS BIGINT)) AS need, have, have >= greatest(wanted, CAST(min_docs AS BIGINT)) AS met FROM r"""
+
 GROWING_PERMILLE, GROWING_SHIFT = 50, 271_828_182_845
 
 
 @_register
 def p7_growing_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One doc in twenty, the same in every run; docs that are inserted later add to it and take nothing away."""
-    return growing_sample(table(spark, sf_dir, "docs"), "doc_id", "inserted_at", GROWING_PERMILLE, GROWING_SHIFT)
+    """One doc in twenty, the same in every run; docs that are inserted later add to it and take nothing away.
+
+    The numbers of the docs of `sf_dir` are kept in a register in the shared folder, which this query reads and extends. Its SQL is that of a first run.
+    """
+    register = f"{shared_dir(spark)}/kestrelite-registers/docs-{hashlib.md5(sf_dir.rstrip('/').encode()).hexdigest()}"
+    return growing_sample(table(spark, sf_dir, "docs"), "doc_id", "inserted_at", GROWING_PERMILLE, GROWING_SHIFT, register)
 
 
 ORACLE["p7_growing_sample"] = f"""
@@ -158,8 +184,7 @@ ORACLE["p7_growing_sample"] = f"""
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "eval_items").where("item_id IS NOT NULL").select("item_id", "text").collect()]  # the fixed test set
-    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", items)
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"))
 
 
 CONTAINER = 2048
@@ -172,10 +197,26 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def p8_room_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many containers there are, how many tokens they hold, and the room left over in thousandths."""
+    """How many containers there are, how many tokens they hold, the room left over in thousandths, and what placed the tokens, also in thousandths."""
     packed = pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", CONTAINER)
-    total = packed.agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
-    return total.select("containers", "tokens", F.expr(f"1000 - tokens * 1000 div (containers * {CONTAINER})").alias("room_permille"))
+    by = [F.sum(F.when(F.col("placed") == how, F.col("tokens")).otherwise(0)).alias(how) for how in (WHOLE, SEED, INDEX, FIT)]
+    total = packed.agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"), *by)
+    return total.select("containers", "tokens", F.expr(f"1000 - tokens * 1000 div (containers * {CONTAINER})").alias("room_permille"), *[F.expr(f"{how} * 1000 div tokens").alias(f"{how}_permille") for how in (WHOLE, SEED, INDEX, FIT)])
+
+
+@_register
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per doc, whether its tokens are in containers once and without a gap, and how many there are; and how many containers are too full, which is 0."""
+    packed = materialize(pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", CONTAINER), "packed")
+    over = packed.groupBy("container_id").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), (F.max("position") + 1).alias("places"))
+    over = over.agg(F.count_if((F.col("n") > CONTAINER) | (F.col("pieces") != F.col("places"))).alias("wrong_containers"))  # one row
+    each = packed.groupBy("doc_id").agg(F.min("start_token").alias("first"), F.max(F.col("start_token") + F.col("tokens")).alias("last"), F.sum("tokens").alias("tokens"))
+    each = each.select("doc_id", ((F.col("first") == 0) & (F.col("last") == F.col("tokens"))).alias("whole"))
+    return each.join(F.broadcast(over))
+
+
+#: Ids are unique in documents, so each has its tokens from 0 to their number in one run.
+ORACLE["p8_invariants"] = "SELECT doc_id, TRUE AS whole, CAST(0 AS BIGINT) AS wrong_containers FROM documents WHERE length(text) > 0"
 
 
 @_register

@@ -5,13 +5,13 @@ Fit, on at most `sample_rows` labelled documents (taken by hash of the id; the o
      says of the subject is found by a few rounds of expectation maximisation over the cues of all labelled documents, in any language at once.
      Terms that occur alike with all subjects, such as those of a language, say nothing and are left out.
   2. Features of a document: per subject, the share of its spoken cues that deal with it, by the cues' posteriors, and how far the share lies
-     above a quarter, gently and as a step; its source, hashed; its structure (number of cues, words a cue, part without speech).
+     above each of a row of evenly spaced knots, so that a link can turn at any share (where it turns is fitted); its source, hashed; its
+     structure (number of cues, words a cue, part without speech).
   3. A chain of logistic classifiers, most frequent subject first, each with the labels before it as features: co-occurrence is modelled there.
      Labelled documents all have a subject; each is therefore also used with some of its cues left out, and with only those of no subject, its
-     labels then being those of its own that still have a quarter of the cues.
+     labels then being those of its own that still have `least` of the cues, which is what the problem calls dealing with a subject.
   4. Calibration: each link's scores on documents that it wasn't fitted on are scaled to probabilities (Platt).
-Then every document is labelled in one pass: the label combination of highest joint probability, by beam search along the chain; of these labels
-those with at least `least` of the spoken cues stay.
+Then every document is labelled in one pass: the label combination of highest joint probability, by beam search along the chain.
 
 Defined results: null or empty texts, and texts without speech, have no row; null ids are left out; repeated rows of a document give one row a
 subject; null sources are a source of their own; without any labelled document the result is empty; texts are read whole.
@@ -31,6 +31,8 @@ from kestrelite.llm.leakage import Terms, robust, words_of
 from kestrelite.llm.subtitles import cues, spoken_cues
 
 SOURCES = 16
+#: Shares at which a link's dependence on a share can change.
+KNOTS = np.arange(0, 0.6, 0.05)
 #: A term speaks for a subject from that share of its cues on; its cues count as so many more of the subjects' usual shares.
 SPEAKS, SMOOTH = (0.45, 0.55, 0.6), 1.0
 
@@ -60,7 +62,8 @@ def pairs_of(forms: list[str]) -> list[str]:
 
 def cue_terms(text: str | None) -> tuple[list[list[str]], int]:
     """The words of each spoken cue, and the number of all cues."""
-    return [words_of(c) for c in spoken_cues(text)], len(cues(text))
+    spoken = [words_of(c) for c in spoken_cues(text)]
+    return spoken, max(len(cues(text)), len(spoken))
 
 
 @dataclass
@@ -86,8 +89,8 @@ class Model:
         hashed = np.zeros((len(source), SOURCES))
         hashed[np.arange(len(source)), source] = 1
         shape = np.stack([np.log1p(n_cues) / 5, n_words / np.maximum(n_spoken, 1) / 10, 1 - n_spoken / np.maximum(n_cues, 1)], 1)
-        above, step = np.clip((share - 0.25) * 10, -1.5, 1.5), np.tanh((share - 0.25 + 1e-3) * 50) * 2
-        return np.concatenate([share, above, step, hashed * 0.1, shape, np.ones((len(source), 1))], 1)
+        above = np.clip((share[:, :, None] - KNOTS) / (KNOTS[1] - KNOTS[0]), 0, 1).reshape(len(share), -1)
+        return np.concatenate([share, above, hashed * 0.1, shape, np.ones((len(source), 1))], 1)
 
     def decode(self, x: np.ndarray, beam: int = 6) -> np.ndarray:
         """The label combination of highest joint probability of each row."""
@@ -119,7 +122,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 1
     return w
 
 
-def fit(documents: list[tuple[str, str | None]], labels: list[set[str]], seed: int = 0) -> Model | None:
+def fit(documents: list[tuple[str, str | None]], labels: list[set[str]], least: float = 0.25, seed: int = 0) -> Model | None:
     """The model of labelled documents (text, source)."""
     subjects = sorted({s for y in labels for s in y})
     if not subjects:
@@ -152,10 +155,10 @@ def fit(documents: list[tuple[str, str | None]], labels: list[set[str]], seed: i
     usual = (y / np.maximum(y.sum(1, keepdims=True), 1))[owner].sum(0) + 1.0
     usual /= usual.sum()
     belongs, v = (y / np.maximum(y.sum(1, keepdims=True), 1))[owner], len(numbers)
-    for least in SPEAKS:
+    for speaks in SPEAKS:
         count = np.stack([np.bincount(terms, belongs[cue, s], v) for s in range(k)], 1).reshape(v, k)
         share = (count + SMOOTH * usual) / (count.sum(1, keepdims=True) + SMOOTH)
-        speaking = share.max(1) >= least
+        speaking = share.max(1) >= speaks
         model = Model(subjects, numbers, np.log(share), np.log(usual))
         found = model.posteriors(np.where(speaking[terms], terms, -1), cue, len(owner))
         # Among the document's labels the cue's own terms decide; a cue may deal with a subject that the document isn't labelled with.
@@ -189,7 +192,7 @@ def fit(documents: list[tuple[str, str | None]], labels: list[set[str]], seed: i
         gone = (own.sum(1) > 0.5) & (random.random(len(owner)) < drop)
         x2, share2, spoken2 = example(~gone)
         parts.append(x2)
-        targets.append(y * (share2 >= 0.25))
+        targets.append(y * (share2 >= least))
         groups.append(np.arange(len(y)))
     x, y, group = np.concatenate(parts), np.concatenate(targets), np.concatenate(groups)
     model.order = sorted(range(k), key=lambda s: -y[:, s].sum())
@@ -206,7 +209,7 @@ def fit(documents: list[tuple[str, str | None]], labels: list[set[str]], seed: i
     return model
 
 
-def assign(model: Model, texts: list[str | None], sources: list[str | None], least: float, forms: Terms | None = None) -> tuple[np.ndarray, np.ndarray]:
+def assign(model: Model, texts: list[str | None], sources: list[str | None], forms: Terms | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Labels (document by subject) and the share of each subject's cues."""
     forms = Terms({t: n for t, n in model.numbers.items() if " " not in t}) if forms is None else forms
     plain = _PLAIN
@@ -230,7 +233,7 @@ def assign(model: Model, texts: list[str | None], sources: list[str | None], lea
     share = np.stack([np.bincount(owner, p[:, s], len(texts)) for s in range(len(model.subjects))], 1) / np.maximum(spoken, 1)[:, None]
     words = np.bincount(owner, np.bincount(cue, minlength=len(owner)), len(texts)) if len(owner) else np.zeros(len(texts))
     x = model.features(share, np.array([_source_bucket(s) for s in sources]), np.array(n_cues, float), spoken, words)
-    return model.decode(x) & (share >= least) & (spoken > 0)[:, None], share
+    return model.decode(x) & (spoken > 0)[:, None], share
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, id_column: str, text_column: str, source_column: str, sample_rows: int) -> tuple[list, list]:
@@ -247,7 +250,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, id_column: str, tex
 def subject_areas(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", least: float = 0.25, sample_rows: int = 3000) -> DataFrame:
     """(doc_id, subject, share) of every document that has a subject."""
     spark = documents.sparkSession
-    model = spark.sparkContext.broadcast(fit(*labelled_sample(documents, labels, id_column, text_column, source_column, sample_rows)))
+    model = spark.sparkContext.broadcast(fit(*labelled_sample(documents, labels, id_column, text_column, source_column, sample_rows), least))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -255,7 +258,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, id_column: str = "doc
         for batch in batches:
             if m is None or not batch.num_rows:
                 continue
-            chosen, share = assign(m, batch.column(1).to_pylist(), batch.column(2).to_pylist(), least, forms)
+            chosen, share = assign(m, batch.column(1).to_pylist(), batch.column(2).to_pylist(), forms)
             d, s = np.nonzero(chosen)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array([m.subjects[i] for i in s], pa.string()), pa.array(share[d, s])], ["doc_id", "subject", "share"])
 

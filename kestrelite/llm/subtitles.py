@@ -1,7 +1,8 @@
 """Spoken lines of subtitle files, whatever their format: what the text operators read.
 
 Cues begin at a timing line (with or without a number before it) or at a pair of frame numbers in braces. Formatting tags, sound descriptions
-in brackets, note signs, speaker names and adverts are no speech.
+in brackets, note signs, speaker names and lines that are adverts are no speech. A text without any cue is plain text: each line of it with a
+letter is one cue, and nothing but markup is taken out of it.
 """
 
 from __future__ import annotations
@@ -45,11 +46,20 @@ def spoken(body: str) -> str:
     return "" if HUMMING.fullmatch(line) else line
 
 
+def _without_adverts(text: str) -> str:
+    return "\n".join(line for line in text.split("\n") if not ADVERT.search(line)).strip()
+
+
 def spoken_cues(text: str | None) -> list[str]:
-    """The spoken text of each cue that has any and is no advert."""
-    out = []
-    for body in cues(text):
+    """The spoken text of each cue that has any besides adverts."""
+    bodies, out = cues(text), []
+    if len(bodies) == 1 and bodies[0] is not None and not CUE.search(text.replace("\r\n", "\n").replace("\r", "\n")):
+        lines = (TAG.sub(" ", line).strip() for line in bodies[0].split("\n"))
+        return [line for line in lines if any(c.isalpha() for c in line)]
+    for body in bodies:
         line = spoken(body)
-        if line and any(c.isalpha() for c in line) and not ADVERT.search(line):
+        if line and ADVERT.search(line):
+            line = _without_adverts(line)
+        if line and any(c.isalpha() for c in line):
             out.append(line)
     return out

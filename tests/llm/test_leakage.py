@@ -24,9 +24,13 @@ def parts(text, size=5):
 TALK = ["Good morning, everyone.", "You never listen to me.", "Come on, hurry up!", "Nobody told me, Kemium."]
 
 
+def tests(spark, items=ITEMS):
+    return spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id int, text string, doc_id string, words int")
+
+
 def found(spark, texts):
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in texts], SCHEMA)
-    return {(r["item_id"], r["doc_id"]) for r in leaked_items(df, "doc_id", "text", ITEMS).collect()}
+    return {(r["item_id"], r["doc_id"]) for r in leaked_items(df, "doc_id", "text", tests(spark)).collect()}
 
 
 def test_whole_noisy_damaged_and_partial(spark):
@@ -59,13 +63,69 @@ def test_threshold_never_loses_a_passage():
 
     terms = [[index.vocabulary.get(robust(w), -1) for w in d] for d in docs]
     starts = np.concatenate([[0], np.cumsum([len(t) for t in terms])[:-1]])
-    got = set(index.retrieve(np.array([t for d in terms for t in d]), starts, 192))
-    need = {(d, k) for d in range(len(docs)) for k in range(len(items)) if index.holds(terms[d], k, 4)}
+    got = set(index.retrieve(np.array([t for d in terms for t in d]), starts))
+    need = {(d, k) for d in range(len(docs)) for k in range(len(items)) if index.holds(terms[d], k)}
     assert need and need <= got
 
 
+def test_the_walk_retrieves_what_scoring_everything_would():
+    """Block-max pivoting leaves out no item at or above its threshold and adds none below, for items of any length."""
+    rng = random.Random(2)
+    vocabulary = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 8, 20, 60])))) for i in range(120)]
+    index = Index(items, 0.55)
+    assert len(index.parts) > 2
+    for part in index.parts:
+        for _ in range(50):
+            terms = sorted(rng.sample(range(len(index.vocabulary)), rng.randint(1, 40)))
+            score = dict.fromkeys(range(len(part.items)), 0.0)
+            for t in terms:
+                for place, x in zip(*part.postings.get(t, ([], [])), strict=True):
+                    score[place] += x
+            want = [part.items[p] for p, x in score.items() if x >= part.threshold[p] + 1e-9]
+            loose = [part.items[p] for p, x in score.items() if x >= part.threshold[p] - 1e-9]
+            got = part.walk(terms)
+            assert set(want) <= set(got) <= set(loose) and len(got) == len(set(got))
+
+
+def test_least_scores_are_exact():
+    from itertools import combinations
+
+    from kestrelite.llm.leakage import _least_score
+
+    rng = random.Random(3)
+    for _ in range(50):
+        n = rng.randint(1, 8)
+        impacts, counts = [rng.random() for _ in range(n)], [rng.randint(1, 4) for _ in range(n)]
+        need = rng.randint(1, sum(counts))
+        want = min(sum(impacts[i] for i in c) for k in range(1, n + 1) for c in combinations(range(n), k) if sum(counts[i] for i in c) >= need)
+        assert abs(_least_score(impacts, counts, need) - want) < 1e-9
+
+
+def test_long_items_and_plain_texts(spark):
+    rng = random.Random(4)
+    long = " ".join(f"{rng.choice('bcdfgklmnprs')}{rng.choice('aou')}{rng.choice('bdgmnps')}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600))
+    items = [*ITEMS, (9, long)]
+    texts = [(1, long), (2, "Read on at www.nasa.gov or write to a@b.org:\n" + ITEM), (3, subtitles(parts(long, 7))), (4, subtitles(TALK + ["Download more at www.x.example\n" + ITEM]))]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in texts], SCHEMA)
+    got = {(r["item_id"], r["doc_id"]) for r in leaked_items(df, "doc_id", "text", tests(spark, items)).collect()}
+    assert got == {(9, 1), (1, 2), (9, 3), (1, 4)}
+
+
+def test_other_scripts(spark):
+    russian, chinese = "Сорок пустых одеял стояли под медным мостом и никто не знал зачем", "四十条空被子站在铜桥下面没有人知道为什么"
+    df = spark.createDataFrame([(1, subtitles(TALK + parts(russian)), "", ""), (2, subtitles([chinese])[:-2], "", ""), (3, subtitles(TALK), "", "")], SCHEMA)
+    got = {(r["item_id"], r["doc_id"]) for r in leaked_items(df, "doc_id", "text", tests(spark, [(1, russian), (2, chinese)])).collect()}
+    assert got == {(1, 1), (2, 2)}
+
+
+def test_items_in_several_sets(spark, monkeypatch):
+    monkeypatch.setattr("kestrelite.llm.leakage.SET", 1)
+    assert found(spark, [(1, subtitles(parts(ITEM))), (2, subtitles(parts(OTHER)))]) == {(1, 1), (2, 2)}
+
+
 def test_words_and_empty(spark):
     assert words_of("L'été, thirty-one 12 uh ?a") == ["lt", "thirtyone", "a"]
     assert robust("modern") == robust("modem") and robust("Iist".lower()) == robust("list")
-    assert leaked_items(spark.createDataFrame([], SCHEMA), "doc_id", "text", ITEMS).count() == 0
-    assert leaked_items(spark.createDataFrame([(1, ITEM, "", "")], SCHEMA), "doc_id", "text", []).count() == 0
+    assert leaked_items(spark.createDataFrame([], SCHEMA), "doc_id", "text", tests(spark)).count() == 0
+    assert leaked_items(spark.createDataFrame([(1, ITEM, "", "")], SCHEMA), "doc_id", "text", tests(spark, [])).count() == 0

@@ -34,10 +34,21 @@ def test_every_text_is_in_containers_once(spark):
     assert sum(room.values()) / (256 * len(room)) > 0.93
 
 
+def test_containers_do_not_depend_on_the_partitioning(spark):
+    rng = random.Random(1)
+    rows = [(i % 150, " ".join(rng.choice(["red", "green", "blue", "grey", "pink"]) for _ in range(rng.randint(1, 40))), 1, 2, "x") for i in range(200)]
+    rows += [(7, "the same row", 1, 2, "x")] * 300 + [(None, "no id", 1, 2, "x")] * 5
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [sorted(map(str, pack_texts(df.repartition(n), "doc_id", "text", 64, shard_items=60).collect())) for n in (2, 7)]
+    assert got[0] == got[1] and len(got[0]) >= len(rows)
+    spread = {r["container_id"] >> 32 for r in pack_texts(df, "doc_id", "text", 64, shard_items=60).where("doc_id = 7").collect()}
+    assert len(spread) > 4  # copies of one row are in all shards
+
+
 def test_fill_prefers_near_items():
     sizes = np.array([60, 40, 40, 40])
     near = {0: np.array([0.0, 1.0, 5.0, 2.0])}
-    assert fill(sizes, 100, lambda seed: near.get(seed, np.zeros(4)))[0] == [0, 2]
+    assert fill(sizes, 100, lambda seed: near.get(seed, np.zeros(4)))[0] == [(0, "seed"), (2, "index")]
 
 
 def test_empty(spark):

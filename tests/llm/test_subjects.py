@@ -46,4 +46,6 @@ def test_spoken_cues():
     text = "1\r\n00:00:01,000 --> 00:00:02,000\r\n<i>JOHN: Hello there.</i>\r\n\r\n00:00:03.000 --> 00:00:04.000\n[MUSIC]\n\n3\n00:00:05,000 --> 00:00:06,000\n♪ la la ♪\n\n4\n00:00:07,000 --> 00:00:08,000\nSynced and corrected by x\n"
     assert spoken_cues(text) == ["Hello there."]
     assert spoken_cues("{1}{20}One|two\n{21}{40}*sighs*\n{41}{60}== x team ==\n") == ["One two"]
+    assert spoken_cues("1\n00:00:01,000 --> 00:00:02,000\nSee you\nwww.x.example\n") == ["See you"]
+    assert spoken_cues("Read www.nasa.gov (really)\n\n12\n<b>More</b>") == ["Read www.nasa.gov (really)", "More"]
     assert spoken_cues(None) == [] and spoken_cues("plain text") == ["plain text"]
