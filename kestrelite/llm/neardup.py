@@ -1,21 +1,25 @@
 """Groups of records that share most of their words.
 
 Two records are linked if the distinct words in both are at least `threshold` of the distinct words in either; a group is everything
-connected by links. The overlap counts are entries of a sparse matrix product, documents by word n-grams, computed in blocks:
+connected by links. The overlap counts are entries of a sparse matrix product, documents by words (n-grams of one word), computed in blocks of columns:
 
   1. A table of 2^20 counters holds how many documents have a word (by hash, so a counter is never too low and its size is fixed).
   2. Documents with the same set of words become one class; only classes are multiplied.
-  3. Each class has its words in order of rarity, words of no other document last. Its columns in the incidence matrix are the
-     combinations of `ngram` words out of its first `prefix` ones that another document can share. With `prefix=None` the size-derived
-     bound is used in full: a link leaves at most a - ceil(threshold * a) words of a record of a words unmatched, so two linked records
-     share `ngram` of their first a - ceil(threshold * a) + ngram words, and no link can be lost. A shorter prefix bounds the columns.
-     Combinations whose first word is in at most `STEM` documents aren't written out: the word's block gets a stem, that word and those
-     after it in the prefix, with size and sketch, and makes the combinations itself, a further word only for columns that are still large.
-  4. Columns are hashed to blocks; one block, a bounded share of the columns, is multiplied in one task. A column of more than `hot`
-     classes isn't multiplied there: its rows are cut into sub-blocks, and each pair of sub-blocks is one task. One of `huge` classes, too many
-     for a block, is found by a sample beforehand and spread over several blocks on its way there.
-  5. Pairs that can't reach the size-derived bound are discarded by a 128-bit sketch: each word flips a bit, so two sketches differ in at most
-     as many bits as there are words in only one of the records. What is left is decided by exact counts over the whole sets of words.
+  3. Each class has its words in order of rarity, words of no other document last. Only its prefix is multiplied, by the size-derived bound in
+     full: a link leaves at most a - ceil(threshold * a) words of a record of a words unmatched, so two linked records share `ngram` of their
+     first a - ceil(threshold * a) + ngram words, and no link can be lost. A shorter prefix is a parameter.
+  4. A column, that is a word, goes to a block by hash, and a block, a bounded share of the columns, is multiplied in one task. What a class has
+     in a column is a stem: the word and the words after it in the prefix, with size and sketch. Two stems of a column that have another word in
+     common, or two where that word has many classes, are one entry of the product; entries that sizes or the 128-bit sketch (each word flips a
+     bit, so two sketches differ in at most as many bits as there are words in only one record) rule out are discarded at once.
+  5. For the other entries the overlap count is accumulated: all words that both stems have. In the column of the first shared word that is the
+     whole overlap of the prefixes, and beyond it only words after a prefix can be shared; a pair whose count plus those can't reach
+     threshold / (1 + threshold) of both sizes together is discarded.
+  6. Words of more than `STEM` documents have too many stems for a block. Their columns are combinations of `ngram` words of the prefix, written
+     out; pairs that share one are discarded by the sketch. A column of more than `hot` classes isn't multiplied in its block: its rows are cut
+     into sub-blocks, and each pair of sub-blocks is one dense product in a task. One of `huge` classes, too many for a block, is found by a
+     sample beforehand and spread over several blocks on its way there.
+  7. What is left is decided by exact counts over the whole sets of words.
 
 Defined results
   * A null text counts as empty; a record without any word is in no group; a null id is left out.
@@ -159,11 +163,13 @@ def _keys_of(words: list[np.ndarray], sizes: np.ndarray, shared: np.ndarray, thr
 
 
 ENTRY = np.dtype([("key", "<u4"), ("cls", "<i8")])
-#: One of the first words of a class; `n` words after it follow elsewhere.
-HEAD = np.dtype([("cls", "<i8"), ("s0", "<i8"), ("s1", "<i8"), ("size", "<i4"), ("word", "<u4"), ("n", "<i4")])
+#: One of the first words of a class; `n` words after it follow elsewhere, and `rest` words that others may have come after the prefix.
+HEAD = np.dtype([("cls", "<i8"), ("s0", "<i8"), ("s1", "<i8"), ("size", "<i4"), ("rest", "<i4"), ("word", "<u4"), ("n", "<i4")])
+#: What comes out of a block: pairs that the sketch hasn't seen yet, rows of a hot column, pairs that sketch and overlap count allow.
+PLAIN, HOT, COUNTED = 0, 1, 2
 
 
-def _stems(cls: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, words: list[np.ndarray], take: np.ndarray, skip: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
+def _stems(cls: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, shared: np.ndarray, words: list[np.ndarray], take: np.ndarray, skip: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
     """(heads, positions of the words after each in the tail): stems of the first `skip` words of each class. The tail is its words up to `take`."""
     count = np.minimum(skip, np.maximum(take - ngram + 1, 0))
     row = np.repeat(np.arange(len(cls)), count)
@@ -172,7 +178,7 @@ def _stems(cls: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, words: list[n
     tail = np.concatenate([w[:n] for w, n in zip(words, take.tolist(), strict=True)]).astype(np.uint32)  # the lower half of a hash
     heads = np.empty(len(row), HEAD)
     heads["cls"], heads["s0"], heads["s1"], heads["size"] = cls[row], sketch[row, 0], sketch[row, 1], sizes[row]
-    heads["word"], heads["n"] = tail[begin] if len(row) else 0, take[row] - i - 1
+    heads["word"], heads["n"], heads["rest"] = tail[begin] if len(row) else 0, take[row] - i - 1, (shared - take)[row]
     return heads, tail[_ranges(begin + 1, heads["n"])] if len(row) else tail[:0]
 
 
@@ -246,7 +252,7 @@ def _blocks(classes: DataFrame, blocks: int, threshold: float, prefix: int | Non
                 rare = frequency.value[(np.concatenate([w[:n] for w, n in zip(words, take.tolist(), strict=True)]) % np.uint64(SLOTS)).astype(np.int64)] <= stem
                 skip = np.bincount(np.repeat(np.arange(len(size)), take)[rare], minlength=len(size))
                 sketch = np.stack([batch.column(4).to_numpy()[fresh], batch.column(5).to_numpy()[fresh]], 1)
-                heads, tail = _stems(cls[fresh], sketch, size, words, take, skip, ngram)
+                heads, tail = _stems(cls[fresh], sketch, size, shared, words, take, skip, ngram)
                 if len(heads):
                     block = (_mix(heads["word"].astype(np.uint64)[:, None]) >> np.uint64(32)) % np.uint64(blocks)
                     order = np.argsort(block, kind="stable")
@@ -292,8 +298,21 @@ def _pairs_in(start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarra
             yield (s + i).ravel(), (s + j).ravel()
 
 
+def _overlaps(i: np.ndarray, j: np.ndarray, begin: np.ndarray, end: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """How many words the tails of the stems i and j have in common, pair by pair; words that collide can only make it more."""
+    out = np.zeros(len(i), np.int64)
+    for lo in range(0, len(i), 100_000):
+        a, b = i[lo : lo + 100_000], j[lo : lo + 100_000]
+        pair = np.arange(len(a), dtype=np.uint64) << np.uint64(32)
+        codes = [np.repeat(pair, end[x] - begin[x]) | tail[_ranges(begin[x], end[x] - begin[x])].astype(np.uint64) for x in (a, b)]
+        both = np.sort(np.concatenate(codes))
+        met = both[1:][both[1:] == both[:-1]]
+        out[lo : lo + len(a)] = np.bincount((met >> np.uint64(32)).astype(np.int64), minlength=len(a))
+    return out
+
+
 def _multiply_stems(table: pa.Table, hot: int, threshold: float, ngram: int) -> pa.Table:
-    """The same for a block of stems, whose pairs are discarded by size and sketch at once. A column grows by a word while it is large."""
+    """The product of a block of stems: pairs that sizes, sketch and accumulated overlap allow. A column grows by a word while it is large."""
     heads, tail = _unpacked(table["entries"].to_pylist(), table["tail"].to_pylist())
     begin = np.cumsum(heads["n"], dtype=np.int64) - heads["n"]
     order = np.lexsort((heads["cls"], heads["word"]))
@@ -301,7 +320,7 @@ def _multiply_stems(table: pa.Table, hot: int, threshold: float, ngram: int) ->
     new[1:] = (np.diff(heads["cls"][order]) != 0) | (np.diff(heads["word"][order].astype(np.int64)) != 0)
     heads, begin = heads[order[new]], begin[order[new]]
     cls, s0, s1, size, end = heads["cls"].copy(), heads["s0"].astype(np.uint64), heads["s1"].astype(np.uint64), heads["size"].astype(np.int64), begin + heads["n"]
-    share, pairs, rows = (1 - threshold) / (1 + threshold), [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
+    share, entries, rows = (1 - threshold) / (1 + threshold), [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
     row, key, after = np.arange(len(heads)), heads["word"].astype(np.uint64), begin
     for depth in range(2, ngram + 1):
         n = end[row] - after
@@ -317,14 +336,19 @@ def _multiply_stems(table: pa.Table, hot: int, threshold: float, ngram: int) ->
             ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
             i, j = i[ok], j[ok]
             ok = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j]) <= share * (size[i] + size[j]) + 1e-9
-            a, b = cls[i[ok]], cls[j[ok]]
-            pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
+            i, j = i[ok], j[ok]
+            entries.append(np.unique(np.minimum(i, j) * len(heads) + np.maximum(i, j)))
         large = np.repeat(length > most, length)
         row, key, after = row[large], key[large], after[large]
     rows.append(np.stack([cls[row], key.view(np.int64)], 1))
-    found, rows = np.unique(np.concatenate(pairs), axis=0), np.concatenate(rows)
+    code = np.unique(np.concatenate(entries))
+    i, j = code // max(len(heads), 1), code % max(len(heads), 1)
+    least = threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9
+    enough = 1 + _overlaps(i, j, begin, end, tail) + np.maximum(heads["rest"][i], heads["rest"][j]) >= least
+    a, b = cls[i[enough]], cls[j[enough]]
+    found, rows = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0), np.concatenate(rows)
     both = np.concatenate([found, rows])
-    return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "hot": pa.array(np.repeat([0, 1], [len(found), len(rows)]).astype(np.int8))})
+    return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "kind": pa.array(np.repeat([COUNTED, HOT], [len(found), len(rows)]).astype(np.int8))})
 
 
 def _multiply(hot: int, blocks: int, threshold: float, ngram: int):
@@ -341,7 +365,7 @@ def _multiply(hot: int, blocks: int, threshold: float, ngram: int):
         entries = entries[new]
         if block >= blocks:  # a part of the huge columns
             flat = pa.array(entries["cls"]), pa.array(((block % blocks) << 32) + entries["key"].astype(np.int64))
-            return pa.table({"a": flat[0], "b": flat[1], "hot": pa.array(np.ones(len(entries), np.int8))})
+            return pa.table({"a": flat[0], "b": flat[1], "kind": pa.array(np.full(len(entries), HOT, np.int8))})
         start, length = _runs(entries["key"])
         cls, a, b = entries["cls"], [], []
         for n in np.unique(length[(length > 1) & (length <= hot)]):
@@ -355,13 +379,13 @@ def _multiply(hot: int, blocks: int, threshold: float, ngram: int):
                 b.append(pair.max(1))
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
             a, b = [pairs[:, 0]], [pairs[:, 1]]
-        kind = [np.zeros(sum(map(len, a)), np.int8)]
+        kind = [np.full(sum(map(len, a)), PLAIN, np.int8)]
         for s, n in zip(start[length > hot], length[length > hot], strict=True):
             a.append(cls[s : s + n])
             b.append(np.full(n, (block << 32) | int(entries["key"][s]), np.int64))
-            kind.append(np.ones(n, np.int8))
+            kind.append(np.full(n, HOT, np.int8))
         flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)]
-        return pa.table({"a": pa.array(flat[0], pa.int64()), "b": pa.array(flat[1], pa.int64()), "hot": pa.array(np.concatenate(kind), pa.int8())})
+        return pa.table({"a": pa.array(flat[0], pa.int64()), "b": pa.array(flat[1], pa.int64()), "kind": pa.array(np.concatenate(kind), pa.int8())})
 
     return run
 
@@ -374,39 +398,35 @@ def _linked(n_both: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshol
     return n_both >= threshold * (size_a + size_b - n_both) - 1e-9
 
 
-def _may_hold(classes: DataFrame, pairs: DataFrame, bits: int = 1 << 22) -> DataFrame:
-    """The classes that may occur in `pairs`, by a bitmap of fixed size: only those go on to the join that follows."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            at = np.unique(np.concatenate([batch.column(i).to_numpy() for i in range(2)]).view(np.uint64) % np.uint64(bits)).astype(np.int64)
-            np.bitwise_or.at(seen, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
-        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], ["seen"])
-
-    seen = np.zeros(bits // 8, np.uint8)
-    for row in pairs.select("a", "b").coalesce(16).mapInArrow(mark, "seen binary").toLocalIterator():
-        seen |= np.frombuffer(row["seen"], np.uint8)
+def _may_hold(classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """The classes that may occur in the `n` pairs, by a bitmap of 32 bits a pair, of 1 to 16 MB: only those go on to the join that follows."""
+    bits = 1 << min(27, max(23, (n * 32).bit_length()))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).select(F.pmod(F.xxhash64("end"), F.lit(bits)).alias("slot"))
+    marked = ends.groupBy(F.shiftright("slot", 6).cast("int").alias("word"))
+    found = marked.agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(slot, 64) as int))")).alias("set")).toArrow()  # at most bits / 64 rows
+    seen = np.zeros(bits // 64, np.int64)
+    seen[found["word"].to_numpy()] = found["set"].to_numpy()
     held = classes.sparkSession.sparkContext.broadcast(seen)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = (batch.column(0).to_numpy().view(np.uint64) % np.uint64(bits)).astype(np.int64)
-            yield batch.filter(pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            at = batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], ["cls", "size", "words"]).filter(pa.array((held.value[at >> 6] >> (at & 63)) & 1 == 1))
 
-    rows = classes.select("cls", "size", "words")
-    return rows.mapInArrow(keep, rows.schema)
+    return classes.select("cls", "size", "words", F.pmod(F.xxhash64("cls"), F.lit(bits)).alias("slot")).mapInArrow(keep, "cls long, size int, words binary")
 
 
 def _verify(classes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that are linked, by exact counts."""
-    brief = classes.select("cls", "size", "s0", "s1").dropDuplicates(["cls"])
-    of = lambda x: brief.select(F.col("cls").alias(x), F.col("size").alias(f"n_{x}"), F.col("s0").alias(f"s0_{x}"), F.col("s1").alias(f"s1_{x}"))
-    apart = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
-    most = F.lit((1 - threshold) / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) + F.lit(1e-9)
-    sketched = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").where(apart <= most).select("a", "b")
-    pairs = materialize(sketched, "neardup-sketched")
-    one = _may_hold(classes, pairs).dropDuplicates(["cls"])
+    plain, counted = pairs.where(F.col("kind") == PLAIN).select("a", "b"), pairs.where(F.col("kind") == COUNTED).select("a", "b")
+    if plain.limit(1).count():
+        brief = classes.select("cls", "size", "s0", "s1").dropDuplicates(["cls"])
+        of = lambda x: brief.select(F.col("cls").alias(x), F.col("size").alias(f"n_{x}"), F.col("s0").alias(f"s0_{x}"), F.col("s1").alias(f"s1_{x}"))
+        apart = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
+        most = F.lit((1 - threshold) / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) + F.lit(1e-9)
+        counted = counted.union(plain.distinct().join(of("a"), "a").join(of("b"), "b").where(apart <= most).select("a", "b"))
+    pairs = materialize(counted.distinct(), "neardup-counted")
+    one = _may_hold(classes, pairs, pairs.count()).dropDuplicates(["cls"])
     side = lambda x: one.select(F.col("cls").alias(x), F.col("size").alias(f"size_{x}"), F.col("words").alias(f"words_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b") - F.lit(1e-9))
@@ -455,10 +475,13 @@ def near_duplicate_groups(docs: DataFrame, id_column: str, text_columns: list[st
     n = classes.count()
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * columns * ENTRY.itemsize // BLOCK_BYTES))
     spread = _blocks(classes, blocks, threshold, prefix, ngram, _huge_columns(classes, n, huge, threshold, prefix, ngram), max(1, -(-n // huge)) * 8, frequency, min(STEM, huge))
-    pairs = materialize(spread.groupBy("block").applyInArrow(_multiply(hot, blocks, threshold, ngram), "a long, b long, hot tinyint"), "neardup-pairs")
-    links = _verify(classes, pairs.where("hot = 0"), threshold)
-    if pairs.where("hot = 1").limit(1).count():
-        links = links.union(_hot_links(classes, pairs.where("hot = 1"), hot, threshold))
+    # As many partitions as there are blocks, so that what a task reads doesn't grow with the table.
+    spread = spread.repartition(2 * blocks, "block")
+    pairs = materialize(spread.groupBy("block").applyInArrow(_multiply(hot, blocks, threshold, ngram), "a long, b long, kind tinyint"), "neardup-pairs")
+    links = _verify(classes, pairs, threshold)
+    of_hot = pairs.where(F.col("kind") == HOT)
+    if of_hot.limit(1).count():
+        links = links.union(_hot_links(classes, of_hot, hot, threshold))
     members = classes.select("doc_id", "cls").distinct()
     # An id inserted with different words ties its classes together.
     several = members.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")

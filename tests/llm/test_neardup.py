@@ -98,6 +98,28 @@ def test_links_between_records_of_different_sizes(spark):
     assert got == brute(rows, 0.6) == {(10 * i + k, 10 * i, 2) for i in range(3) for k in range(2)}
 
 
+def test_a_link_at_the_threshold_exactly(spark):
+    """Two records of 40 words with 30 in common: similarity 0.6. Their ten own words are rarer than the shared ones."""
+    text = [f"s{k}" for k in range(30)]
+    rows = [(i, None, " ".join(text + [f"o{i}x{k}" for k in range(10)]), 1, 2, "x", "y") for i in (1, 2)]
+    rows += [(100 + 20 * i + k, None, f"o{i}x{k} f{i}a{k} f{i}b{k}", 1, 2, "x", "y") for i in (1, 2) for k in range(10)]
+    rows += [(1000 + 50 * c + k, None, f"{w} g{c}k{k} h{c}k{k}", 1, 2, "x", "y") for c in range(3) for k, w in enumerate(text)]
+    got = {tuple(r) for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), "doc_id", ["title", "snippet"], 0.6).collect()}
+    assert got == brute(rows, 0.6) == {(1, 1, 2), (2, 1, 2)}
+
+
+def test_counts_discard_only_what_cannot_be_linked(spark):
+    """Records drawn from few topics overlap in many words, mostly too few to be linked."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(150):
+        topic = [f"t{rng.randrange(3)}w{k}" for k in range(40)]
+        rows.append((i, None, " ".join(rng.sample(topic, rng.randint(18, 34)) + [f"z{rng.randrange(30)}" for _ in range(4)]), 1, 2, "x", "y"))
+    for threshold in (0.6, 0.7):
+        got = {tuple(r) for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), "doc_id", ["title", "snippet"], threshold).collect()}
+        assert got == brute(rows, threshold)
+
+
 @pytest.mark.parametrize("stem", [0, 6])
 def test_words_with_and_without_stems(spark, monkeypatch, stem):
     """Words of more than STEM documents have their combinations written out, also within one record."""
