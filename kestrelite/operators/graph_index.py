@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelite.operators.search import BLOCK, _matrix
+from kestrelite.operators.search import BLOCK, _matrix, bounded_probes, of_shards
 
 #: Kinds of trace records.
 ENTRY, VISIT, ACCEPT, RESULT = 0, 1, 2, 4
@@ -96,16 +96,27 @@ class Graph:
 
     def diverse(self, near: list[tuple[float, int]], most: int) -> list[int]:
         """Up to `most` links: first rows that are nearer to the node than to any link so far, then the nearest of the others."""
+        if len(near) <= 1:
+            return [r for _, r in near][:most]
+        rows = np.array([r for _, r in near])
+        own = np.array([d for d, _ in near], np.float32)
+        v = self.vectors[rows]
+        apart = np.float32(1) - v @ v.T
+        free, nearest = np.ones(len(rows), bool), np.full(len(rows), np.inf, np.float32)
         chosen: list[int] = []
-        rest: list[int] = []
-        for d, r in near:
-            if len(chosen) == most:
+        while len(chosen) < most:
+            may = np.flatnonzero(free & (own < nearest))
+            if not len(may):
                 break
-            if not chosen or d < float(self.far(self.vectors[r], chosen).min()):
-                chosen.append(r)
-            else:
-                rest.append(r)
-        return chosen + rest[: most - len(chosen)]
+            i = int(may[0])
+            # A row that was passed over isn't looked at again, as links only come nearer.
+            free[: i + 1] = False
+            chosen.append(i)
+            np.minimum(nearest, apart[i], out=nearest)
+        if len(chosen) < most:
+            rest = np.setdiff1d(np.arange(len(rows)), chosen, assume_unique=True)
+            chosen += rest[: most - len(chosen)].tolist()
+        return rows[chosen].tolist()
 
     def most(self, layer: int) -> int:
         return self.m * 2 if layer == 0 else self.m
@@ -215,69 +226,92 @@ def _restore(vectors: np.ndarray, edges: pa.Table, m: int) -> Graph:
     return g
 
 
-TRACED = "qid long, shard_id int, doc_id long, score double, rank int, visited int, node array<int>, parent array<int>, dist array<float>, meta array<int>"
+TRACED = "qid long, shard_id int, doc_id long, score double, rank int, visited int, ef int, us long, node array<int>, parent array<int>, dist array<float>, offset array<int>, meta array<int>, dropped int"
+_KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32())
+_NAMES = [c.split()[0] for c in TRACED.split(", ")]
 
 
-def search_graphs(vectors: DataFrame, edges: DataFrame, queries: list[tuple[int, list[float]]] | DataFrame, dim: int, k: int = 10, ef: int = 100, m: int = 16, traced: bool = False) -> DataFrame:
-    """The k hits of each query in each shard; `visited` counts distances evaluated.
+def search_graphs(
+    vectors: DataFrame, edges: DataFrame, queries: list[tuple[int, list[float]]] | DataFrame, dim: int, k: int = 10, ef: int | list[int] = 100, m: int = 16,
+    traced: bool = False, plan: DataFrame | None = None, cap: int = 0,
+) -> DataFrame:
+    """The k hits of each query in each shard; `visited` counts distances evaluated, `us` is how long the walk took.
 
     `queries`: (qid, vector), of any number, or a list that is one bounded block. More than BLOCK are cut into blocks by hash, and each shard's
-    graph meets each block in one task; a walk is the same either way.
+    graph meets each block in one task; a walk is the same either way. `plan`: (qid, shard_id), the shards that a query probes (all without it);
+    of tables partitioned by shard only the probed ones are read. `ef`: one beam, or several that are walked one after another.
 
-    With `traced`, the first hit of each (query, shard) carries the walk: node, parent, distance and packed layer and kind of each record.
+    With `traced`, the first hit of each (query, shard) carries the walk: node, parent, distance, offset and packed layer and kind of each record, of
+    which a walk keeps the first `cap` (all if 0) and counts the others in `dropped`. The walk itself is the same with and without.
     """
     spark = vectors.sparkSession
+    beams = [ef] if isinstance(ef, int) else list(ef)
+    one, probes = True, None
     if isinstance(queries, DataFrame):
         asked = queries.select(F.col("qid").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
         table = asked.limit(BLOCK + 1).toArrow()  # never more than one block comes to the driver
         one = table.num_rows <= BLOCK
         if one:
             at, q = _matrix(table["vector"], dim)
-            held = spark.sparkContext.broadcast((table["qid"].to_numpy()[at].tolist(), q))
+            qids = table["qid"].to_numpy()[at].tolist()
+            one, probes = bounded_probes(plan, qids)
+            held = spark.sparkContext.broadcast((qids, q, probes))
     else:
-        one = True
-        held = spark.sparkContext.broadcast(([q for q, _ in queries], np.array([v for _, v in queries], np.float64).reshape(len(queries), dim)))
+        held = spark.sparkContext.broadcast(([q for q, _ in queries], np.array([v for _, v in queries], np.float64).reshape(len(queries), dim), None))
+
+    def walk(v: pa.Table, e: pa.Table, qids: list[int], qs: np.ndarray, probes: dict | None) -> pa.Table:
+        import time
 
-    def walk(v: pa.Table, e: pa.Table, qids: list[int], qs: np.ndarray) -> pa.Table:
         ids, x = _ordered(v, dim)
         g = _restore(x, e, m)
         shard = int(v["shard_id"][0].as_py()) if v.num_rows else -1
+        who = range(len(qids)) if probes is None else probes.get(shard, np.empty(0, np.int64)).tolist()
         out: list[tuple] = []
-        for qid, q in zip(qids, qs, strict=True):
-            trace: list = []
-            hits = g.search(q.astype(np.float32), k, ef, trace)
-            visited = 1 + sum(1 for t in trace if t[1] == VISIT)
-            scored = sorted((-float(x[r] @ q), int(ids[r])) for _, r in hits)
-            for rank, (s, doc) in enumerate(scored, 1):
-                walk = trace if traced and rank == 1 else []
-                out.append((qid, shard, doc, -s, rank, visited, [t[2] for t in walk], [t[3] for t in walk], [t[4] for t in walk], [((t[0] & 15) << 3) | t[1] for t in walk]))
-        c = list(zip(*out, strict=True)) if out else [[]] * 10
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32()))
-        names = ("qid", "shard_id", "doc_id", "score", "rank", "visited", "node", "parent", "dist", "meta")
-        return pa.table({n: pa.array(x, t) for n, x, t in zip(names, c, kinds, strict=True)})
+        for i in who:
+            qid, q = qids[i], qs[i]
+            for beam in beams:
+                trace: list = []
+                t = time.perf_counter_ns()
+                hits = g.search(q.astype(np.float32), k, beam, trace)
+                us = (time.perf_counter_ns() - t) // 1000
+                visited = 1 + sum(1 for r in trace if r[1] == VISIT)
+                scored = sorted((-float(x[r] @ q), int(ids[r])) for _, r in hits)
+                for rank, (s, doc) in enumerate(scored, 1):
+                    kept = (trace[:cap] if cap else trace) if traced and rank == 1 else []
+                    dropped = len(trace) - len(kept) if traced and rank == 1 else 0
+                    # Records carry their place in the walk's time by their order: a clock of its own would make no two runs alike.
+                    offsets = [us * n // max(1, len(trace)) for n in range(len(kept))]
+                    out.append((qid, shard, doc, -s, rank, visited, beam, us, [r[2] for r in kept], [r[3] for r in kept], [r[4] for r in kept], offsets, [((r[0] & 15) << 3) | r[1] for r in kept], dropped))
+        c = list(zip(*out, strict=True)) if out else [[]] * len(_NAMES)
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(_NAMES, c, _KINDS, strict=True)})
 
     if one:
-        return vectors.groupBy("shard_id").cogroup(edges.groupBy("shard_id")).applyInArrow(lambda v, e: walk(v, e, *held.value), TRACED)
+        v, e = of_shards(vectors.select("shard_id", "doc_id", "vector"), probes), of_shards(edges, probes)
+        return v.groupBy("shard_id").cogroup(e.groupBy("shard_id")).applyInArrow(lambda v, e: walk(v, e, *held.value), TRACED)
     blocks = -(-asked.count() // BLOCK)
     # Vectors and edges of a shard come as one side; what has a layer is an edge list.
     both = vectors.select("shard_id", "doc_id", "vector").unionByName(edges.select("shard_id", "layer", "row", "neighbours"), allowMissingColumns=True)
     graph = both.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    shards = vectors.select(F.col("shard_id").alias("shard")).distinct()
-    sent = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).crossJoin(F.broadcast(shards)).select(F.col("shard").alias("shard_id"), "block", "qid", "vector")
+    if plan is None:
+        plan = asked.select("qid").join(vectors.select("shard_id").distinct(), how="cross")  # a query set against all shards
+    else:
+        graph = graph.join(plan.select("shard_id").distinct(), "shard_id", "left_semi")
+    pairs = plan.select(F.col("qid").cast("long"), F.col("shard_id").cast("int")).distinct()
+    sent = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).join(pairs, "qid").select("shard_id", "block", "qid", "vector")
 
     def pair(g: pa.Table, q: pa.Table) -> pa.Table:
-        edge = pc.is_valid(g["layer"])
         at, qs = _matrix(q["vector"], dim)
-        v = g.filter(pc.invert(edge)) if len(at) else g.slice(0, 0)
-        return walk(v, g.filter(edge), q["qid"].to_numpy()[at].tolist(), qs)
+        g = g if len(at) else g.slice(0, 0)  # no query of this block probes the shard
+        edge = pc.is_valid(g["layer"])
+        return walk(g.filter(pc.invert(edge)), g.filter(edge), q["qid"].to_numpy()[at].tolist(), qs, None)
 
     return graph.groupBy("shard_id", "block").cogroup(sent.groupBy("shard_id", "block")).applyInArrow(pair, TRACED)
 
 
 def hops(traced: DataFrame) -> DataFrame:
-    """(qid, shard_id, hop, node, parent, dist, layer, kind): walks, a row per record."""
-    z = traced.where(F.size("node") > 0).select("qid", "shard_id", F.posexplode(F.arrays_zip("node", "parent", "dist", "meta")).alias("hop", "r"))
-    return z.select("qid", "shard_id", "hop", "r.node", "r.parent", "r.dist", F.shiftright("r.meta", 3).bitwiseAND(F.lit(15)).alias("layer"), F.col("r.meta").bitwiseAND(F.lit(7)).alias("kind"))
+    """(qid, shard_id, hop, node, parent, dist, offset, layer, kind): walks, a row per record."""
+    z = traced.where(F.size("node") > 0).select("qid", "shard_id", F.posexplode(F.arrays_zip("node", "parent", "dist", "offset", "meta")).alias("hop", "r"))
+    return z.select("qid", "shard_id", "hop", "r.node", "r.parent", "r.dist", "r.offset", F.shiftright("r.meta", 3).bitwiseAND(F.lit(15)).alias("layer"), F.col("r.meta").bitwiseAND(F.lit(7)).alias("kind"))
 
 
 def projections(vectors: DataFrame, dim: int) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Graph search per shard of `embeddings`, its traces, statistics and projections."""
+"""Graph search per shard of `embeddings`, its recall, traces, statistics and projections.
+
+Graphs are built once a session and scheme of partitioning and kept as tables partitioned by shard; a search reads the shards it probes.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +10,15 @@ from pyspark.sql import functions as F
 
 from kestrelite.functions.scalars import shard_of
 from kestrelite.operators.graph_index import RESULT, VISIT, build_graphs, hops, inspector_buffers, projections, search_graphs, walk_digest
-from kestrelite.operators.search import merge_top_k
+from kestrelite.operators.partitioning import balanced_assignment, kmeans, ranked_shards
+from kestrelite.operators.search import merge_top_k, probe_recall, score_shards, shard_hits
+from kestrelite.plans.gates import sweep_gates
 from kestrelite.queries.search import _ALL, DIM, K
-from kestrelite.scratch import materialize
+from kestrelite.scratch import materialize, stored
 from kestrelite.sources.tables import table
 
-#: Vectors of one shard, about; the number of shards follows the rows.
-SHARD_ROWS = 500
+#: Vectors of one shard, at most about; below FEWEST shards there are FEWEST.
+SHARD_ROWS, FEWEST = 50_000, 4
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -29,10 +34,38 @@ def register(sql: str | None = None):
     return add
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    shards = max(1, round(e.count() / SHARD_ROWS))
-    return e.select(F.col("vec_id").alias("doc_id"), shard_of(F.col("vec_id"), shards).alias("shard_id"), F.col("embedding").alias("vector"))
+def _shards(rows: int) -> int:
+    return max(FEWEST, -(-rows // SHARD_ROWS))
+
+
+def graph_store(spark: SparkSession, sf_dir: str, scheme: str = "hash") -> tuple[DataFrame, DataFrame, list]:
+    """(vectors, edges, centroids) of the graphs of a scheme, hash or semantic, both tables partitioned by shard; hash has no centroids."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    centroids: list = []
+
+    def partition(path: str) -> None:
+        shards = _shards(v.count())
+        if scheme == "hash":
+            placed = v.withColumn("shard_id", shard_of(F.col("doc_id"), shards))
+        else:
+            centres = [c / max(float((c * c).sum()) ** 0.5, 1e-12) for c in kmeans(v, shards, DIM)]
+            spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "shard_id int, centroid array<double>").write.parquet(f"{path}-centroids")
+            ranked = v.select("doc_id", ranked_shards(F.col("vector"), centres).alias("shards"))
+            placed = v.join(balanced_assignment(ranked, len(centres)).select("doc_id", "shard_id"), "doc_id")
+        placed.select("doc_id", "vector", "shard_id").write.partitionBy("shard_id").parquet(path)
+
+    def index(path: str) -> None:
+        held = spark.read.schema("doc_id long, vector array<float>, shard_id int").parquet(vectors)
+        # A task a shard: a graph is worth one, however few bytes it has.
+        tasks = held.repartition(_shards(v.count()), "shard_id")
+        build_graphs(tasks, DIM).write.partitionBy("shard_id").parquet(path)
+
+    vectors = stored(spark, (f"graph-{scheme}", sf_dir), partition)
+    edges = stored(spark, (f"edges-{scheme}", sf_dir), index)
+    if scheme != "hash":
+        centroids = [(r["shard_id"], list(r["centroid"])) for r in spark.read.parquet(f"{vectors}-centroids").collect()]  # a row a shard
+    back = spark.read.schema("doc_id long, vector array<float>, shard_id int").parquet(vectors)
+    return back, spark.read.schema("layer int, row int, doc_id long, neighbours array<int>, shard_id int").parquet(edges), centroids
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +74,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walked(spark: SparkSession, sf_dir: str, ef: int, traced: bool) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    edges = materialize(build_graphs(v, DIM), "graph-edges")
+    v, edges, _ = graph_store(spark, sf_dir)
     return search_graphs(v, edges, _asked(spark, sf_dir), DIM, K, ef, traced=traced)
 
 
@@ -50,7 +82,9 @@ def _walked(spark: SparkSession, sf_dir: str, ef: int, traced: bool) -> DataFram
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {K}""")
 def hnsw_search_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph search with a beam as wide as a shard: it reaches every vector, so the merged result is the exact one."""
-    hits = _walked(spark, sf_dir, 4 * SHARD_ROWS, False).select("qid", "shard_id", "doc_id", "score")
+    v, _, _ = graph_store(spark, sf_dir)
+    widest = v.groupBy("shard_id").count().agg(F.max("count")).first()[0] or 1
+    hits = _walked(spark, sf_dir, widest, False).select("qid", "shard_id", "doc_id", "score")
     return merge_top_k(hits, K).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -65,24 +99,56 @@ def hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def hnsw_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes, edges and degrees by shard and layer."""
-    e = build_graphs(_vectors(spark, sf_dir), DIM)
+    _, e, _ = graph_store(spark, sf_dir)
     return e.groupBy("shard_id", "layer").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.size("neighbours")).alias("edges"), F.max(F.size("neighbours")).alias("most"))
 
 
 @register()
 def hnsw_trace_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per walk: layers, distances evaluated, results, and its digest."""
+    """Per walk: layers, distances evaluated and their part of the shard, results, how long it took, and its digest."""
     h = materialize(hops(_walked(spark, sf_dir, 100, True)), "graph-hops")
-    stats = h.groupBy("qid", "shard_id").agg(F.max("layer").alias("top_layer"), F.count_if(F.col("kind") == VISIT).alias("visits"), F.count_if(F.col("kind") == RESULT).alias("results"))
+    stats = h.groupBy("qid", "shard_id").agg(
+        F.max("layer").alias("top_layer"), F.count_if(F.col("kind") == VISIT).alias("visits"), F.count_if(F.col("kind") == RESULT).alias("results"), F.max("offset").alias("duration_us")
+    )
+    size = graph_store(spark, sf_dir)[0].groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"))
+    stats = stats.join(size, "shard_id").withColumn("shard_permille", F.expr("visits * 1000 div n")).drop("n")
     return stats.join(walk_digest(h), ["qid", "shard_id"])
 
 
-@register()
-def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projections(_vectors(spark, sf_dir), DIM)
+BEAMS = [10, 50, 100, 200]
+
+
+def sweep(spark: SparkSession, sf_dir: str, scheme: str, beams: list[int] | None = None) -> DataFrame:
+    """(partitioning, shards, probe, ef, recall, mean_visited, p50_ms, p99_ms) of one scheme, for one shard, half of them, and all (0).
+
+    Every walk is made once; what a number of probes gives follows from the place of each shard in the query's plan. The time of a query is that of its
+    slowest walk, as shards walk at once.
+    """
+    v, edges, centroids = graph_store(spark, sf_dir, scheme)
+    asked = _asked(spark, sf_dir)
+    numbers = [r["shard_id"] for r in v.select("shard_id").distinct().collect()]  # the shards
+    plan = score_shards(asked, centroids or [(s, [0.0] * DIM) for s in numbers], DIM)  # without centroids the lowest shards come first
+    walks = search_graphs(v, edges, asked, DIM, K, beams or BEAMS)
+    walks = materialize(walks.join(plan.select("qid", "shard_id", "position"), ["qid", "shard_id"]), "sweep")
+    truth = merge_top_k(shard_hits(v, asked, K, DIM), K)
+    probes = sorted({1, max(1, len(numbers) // 2), 0})
+    recall = probe_recall(walks.select("qid", "shard_id", "doc_id", "score", "position", "ef"), truth, K, probes, ["ef"])
+    each = walks.groupBy("qid", "shard_id", "position", "ef").agg(F.max("visited").alias("visited"), F.max("us").alias("us"))
+    each = each.withColumn("probe", F.explode(F.array(*[F.lit(p) for p in probes]))).where("probe = 0 OR position <= probe")
+    cost = each.groupBy("ef", "probe", "qid").agg(F.sum("visited").alias("visited"), F.max("us").alias("us"))
+    cost = cost.groupBy("ef", "probe").agg(F.avg("visited").alias("mean_visited"), F.percentile("us", 0.5).alias("p50"), F.percentile("us", 0.99).alias("p99"))
+    out = recall.join(cost, ["ef", "probe"])
+    return out.select(F.lit(scheme).alias("partitioning"), F.lit(len(numbers)).alias("shards"), "probe", "ef", "recall", F.round("mean_visited", 3).alias("mean_visited"), (F.col("p50") / 1000).alias("p50_ms"), (F.col("p99") / 1000).alias("p99_ms"))
 
 
 @register()
-def inspector_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hop of every walk, placed in the projection of its shard."""
-    return inspector_buffers(hops(_walked(spark, sf_dir, 100, True)), projections(_vectors(spark, sf_dir), DIM))
+def recall_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, distances evaluated and times by (partitioning, probe, ef), of both schemes."""
+    return sweep(spark, sf_dir, "hash").union(sweep(spark, sf_dir, "semantic"))
+
+
+@register("""SELECT gate, partitioning, CAST(ef AS INTEGER) AS ef, TRUE AS passed FROM (SELECT unnest(['hash', 'semantic']) AS partitioning),
+    (VALUES ('floor', 100), ('monotone', 10), ('monotone', 50), ('monotone', 100), ('monotone', 200)) g(gate, ef)""")
+def recall_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall 0.95 at ef 100 over all shards, and none lost as ef grows: the SQL says that every gate is passed."""
+    return sweep_gates(recall_sweep(spark, sf_dir))

@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelite.functions.scalars import shard_of, unsigned
-from kestrelite.functions.vectors import dot, norm, normalised
+from kestrelite.functions.scalars import http_status, shard_of, unsigned
+from kestrelite.functions.vectors import norm, normalised
 from kestrelite.operators.embed import hash_embedding
-from kestrelite.operators.search import coverage, merge_top_k, per_shard_top_k, plan_probes, recall_at_k, shard_hits
+from kestrelite.operators.search import CENTROIDS, admitted, coverage, guarded, merge_top_k, per_shard_top_k, plan_probes, probe_recall, score_shards, shard_hits
 from kestrelite.plans.gates import recall_gates
-from kestrelite.scratch import scratch_path
+from kestrelite.scratch import materialize, scratch_path, stored
 from kestrelite.sources.sealed import read_sealed, write_sealed
 from kestrelite.sources.tables import table
 
@@ -97,10 +97,9 @@ def probe_hash_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage(plan_probes(scored, 3), health)
 
 
-# Routing by centroid: one fixed row of each label stands for a shard, at most CENTROIDS of them.
-CENTROIDS = 64
+# Routing by centroid: one fixed row of each label stands for a shard.
 _IVF = f"""
-    c AS (SELECT label AS shard_id, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS c FROM embeddings GROUP BY label ORDER BY label LIMIT {CENTROIDS}),
+    c AS (SELECT label AS shard_id, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS c FROM embeddings GROUP BY label),
     q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0),
     a AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v, shard_id,
                  row_number() OVER (PARTITION BY vec_id ORDER BY list_inner_product(CAST(embedding AS DOUBLE[]), c) DESC, shard_id) AS r FROM embeddings, c),
@@ -109,48 +108,50 @@ _IVF = f"""
 
 
 def _centroids(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
-    """(shard, vector): the first row of each label, a bounded number."""
-    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).orderBy("label").limit(CENTROIDS).collect()
+    """(shard, vector): the first row of each label. Labels are few; more than a task can hold are an error."""
+    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c")).orderBy("label").limit(CENTROIDS + 1).collect()
+    if len(rows) > CENTROIDS:
+        raise ValueError(f"more than {CENTROIDS} labels")
     return [(r["label"], [float(x) for x in r["c"]]) for r in rows]
 
 
-def _scored(df: DataFrame, vector: str, centroids: list) -> DataFrame:
-    """Each row with each centroid's shard and score."""
-    each = F.array(*[F.struct(F.lit(s).cast("int").alias("shard_id"), dot(F.col(vector), F.array(*[F.lit(x) for x in c])).alias("cscore")) for s, c in centroids])
-    return df.select("*", F.explode(each).alias("_c")).select("*", "_c.shard_id", "_c.cscore").drop("_c")
+def ivf_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
+    """(vectors, centroids): the vectors in a table partitioned by the shard of their nearest centroid, written once in a session."""
+    centroids = _centroids(spark, sf_dir)
 
+    def build(path: str) -> None:
+        e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("embedding").alias("_v"))
+        near = score_shards(e, centroids, DIM, "_v", best=1)
+        near.select("doc_id", "vector", "shard_id").write.partitionBy("shard_id").parquet(path)
 
-def _assigned(spark: SparkSession, sf_dir: str, centroids: list) -> DataFrame:
-    each = F.array(*[F.struct(dot(F.col("embedding"), F.array(*[F.lit(x) for x in c])).alias("cscore"), F.lit(-s).alias("low")) for s, c in centroids])
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), (-F.array_max(each)["low"]).cast("int").alias("shard_id"), F.col("embedding").alias("vector"))
+    path = stored(spark, ("ivf", sf_dir), build)
+    return spark.read.schema("doc_id long, vector array<float>, shard_id int").parquet(path), centroids
 
 
 def _routed(spark: SparkSession, sf_dir: str, probe: int) -> tuple[DataFrame, DataFrame]:
-    """(hits of all shards, plan): a query's hits count where its plan probes the shard."""
-    centroids = _centroids(spark, sf_dir)
-    plan = plan_probes(_scored(_asked(spark, sf_dir), "vector", centroids).select("qid", "shard_id", "cscore"), probe)
-    return shard_hits(_assigned(spark, sf_dir, centroids), _asked(spark, sf_dir), K, DIM), plan
+    """(hits of the probed shards, plan): a query meets only the shards of its plan, and no others are read."""
+    vectors, centroids = ivf_store(spark, sf_dir)
+    plan = score_shards(_asked(spark, sf_dir), centroids, DIM, best=probe)
+    return shard_hits(vectors, _asked(spark, sf_dir), K, DIM, plan if probe else None), plan
 
 
 @register(f"WITH {_IVF} SELECT qid, shard_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE position <= 3) WHERE rank <= {K}")
 def knn_ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three shards with the nearest centroids are probed."""
-    hits, plan = _routed(spark, sf_dir, 3)
-    kept = hits.join(plan.where("probed").select("qid", "shard_id"), ["qid", "shard_id"])
-    return merge_top_k(kept, K).select("qid", "shard_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    hits, _ = _routed(spark, sf_dir, 3)
+    return merge_top_k(hits, K).select("qid", "shard_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @register(f"WITH {_ALL} SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {K}")
 def knn_ivf_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probing all shards gives the exact result."""
-    hits, plan = _routed(spark, sf_dir, 0)
-    kept = hits.join(plan.where("probed").select("qid", "shard_id"), ["qid", "shard_id"])
-    return merge_top_k(kept, K).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+    hits, _ = _routed(spark, sf_dir, 0)
+    return merge_top_k(hits, K).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @register(f"WITH {_IVF} SELECT qid, shard_id, round(list_inner_product(q.v, c.c), 6) AS cscore FROM q, c")
 def centroid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(_asked(spark, sf_dir), "vector", _centroids(spark, sf_dir)).select("qid", "shard_id", F.round("cscore", 6).alias("cscore"))
+    return score_shards(_asked(spark, sf_dir), _centroids(spark, sf_dir), DIM).select("qid", "shard_id", F.round("cscore", 6).alias("cscore"))
 
 
 @register(f"""WITH {_IVF}, t AS (SELECT qid, doc_id FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= {K}),
@@ -161,12 +162,8 @@ def centroid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recall_by_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall against the exact result for 1, 2, 4 and 8 probed shards, from one scan of the vectors."""
     hits, plan = _routed(spark, sf_dir, 0)
-    hits = hits.join(plan.select("qid", "shard_id", "position"), ["qid", "shard_id"]).cache()
-    truth = merge_top_k(hits, K)
-    each = hits.select("*", F.explode(F.array(*[F.lit(p) for p in (1, 2, 4, 8)])).alias("probe")).where("position <= probe")
-    by = each.withColumn("q", F.col("qid")).withColumn("qid", F.struct("probe", "q"))
-    got = merge_top_k(by, K).select("probe", F.col("q").alias("qid"), "doc_id")
-    return recall_at_k(got, truth, K, ["probe"])
+    hits = materialize(hits.join(plan.select("qid", "shard_id", "position"), ["qid", "shard_id"]), "probe-hits")
+    return probe_recall(hits, merge_top_k(hits, K), K, [1, 2, 4, 8])
 
 
 @register(ORACLE["recall_by_probe"].replace("WITH", "WITH", 1).replace("    SELECT CAST(probe AS INTEGER)", "    , b AS (SELECT CAST(probe AS INTEGER)", 1) + """)
@@ -221,15 +218,37 @@ def merge_recorded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_top_k(hits, 3, unsigned(F.col("doc_id"))).select(F.col("qid").alias("trace_id"), "doc_id", "score", "rank")
 
 
-@register("""SELECT qid, CASE WHEN trim(coalesce(text, '')) = '' THEN 'INVALID_ARGUMENT' ELSE 'OK' END AS status, CAST(10 AS INTEGER) AS k, CAST(100 AS INTEGER) AS ef,
-    CAST(CASE WHEN trim(coalesce(text, '')) = '' THEN 400 ELSE 200 END AS INTEGER) AS http_status FROM queries""")
+@register("""WITH q AS (SELECT qid, text, CASE WHEN qid % 7 = 3 THEN CAST(qid % 64 AS INTEGER) ELSE 0 END AS k, CASE WHEN qid % 5 = 2 THEN CAST(40 + qid % 100 AS INTEGER) ELSE 0 END AS ef FROM queries)
+    SELECT qid, CASE WHEN trim(coalesce(text, '')) = '' THEN 'INVALID_ARGUMENT' ELSE 'OK' END AS status, CASE WHEN k = 0 THEN 10 ELSE k END AS k, CASE WHEN ef = 0 THEN 100 ELSE ef END AS ef,
+    CAST(CASE WHEN trim(coalesce(text, '')) = '' THEN 400 ELSE 200 END AS INTEGER) AS http_status FROM q""")
 def query_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests as they enter: empty text is refused, 0 stands for the default k and ef."""
-    from kestrelite.functions.scalars import http_status
-
-    asked = table(spark, sf_dir, "queries").withColumn("k", F.lit(0)).withColumn("ef", F.lit(0))
-    status = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "INVALID_ARGUMENT").otherwise("OK")
-    return asked.select("qid", status.alias("status"), F.coalesce(F.nullif("k", F.lit(0)), F.lit(10)).alias("k"), F.coalesce(F.nullif("ef", F.lit(0)), F.lit(100)).alias("ef"), http_status(status).alias("http_status"))
+    """Requests as they enter, some with k and ef of their own: empty text is refused, 0 stands for the default."""
+    q = table(spark, sf_dir, "queries")
+    asked = q.select("qid", "text", F.when(F.col("qid") % 7 == 3, F.col("qid") % 64).otherwise(0).cast("int").alias("k"), F.when(F.col("qid") % 5 == 2, 40 + F.col("qid") % 100).otherwise(0).cast("int").alias("ef"))
+    return admitted(asked).select("qid", "status", "k", "ef", http_status(F.col("status")).alias("http_status"))
+
+
+@register(f"""WITH q AS (SELECT vec_id AS qid, CAST(vec_id % 4 AS INTEGER) AS shard_id, CASE WHEN vec_id % 11 = 0 THEN 0 ELSE 10 END AS k, CASE WHEN vec_id % 13 = 0 THEN 63 ELSE len(embedding) END AS dim, vec_id % 9 AS epoch FROM embeddings),
+    r AS (SELECT *, CASE WHEN shard_id = 2 THEN 'shard not SERVING' WHEN k = 0 THEN 'k must be > 0' WHEN dim <> {DIM} THEN 'vector dim mismatch' END AS broken FROM q),
+    s AS (SELECT *, max(CASE WHEN broken IS NULL THEN epoch END) OVER (PARTITION BY shard_id ORDER BY qid ROWS UNBOUNDED PRECEDING) AS seen FROM r)
+    SELECT qid, shard_id, CASE WHEN broken = 'shard not SERVING' THEN 'FAILED_PRECONDITION' WHEN broken IS NOT NULL THEN 'INVALID_ARGUMENT' WHEN epoch < seen THEN 'FAILED_PRECONDITION' ELSE 'OK' END AS status,
+           coalesce(broken, CASE WHEN epoch < seen THEN 'stale shard map epoch' END) AS reason FROM s""")
+def shard_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests at four shards, one of which isn't serving; some ask for no hits, have a vector of another length, or were planned with an old map."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.select(F.col("vec_id").alias("qid"), (F.col("vec_id") % 4).cast("int").alias("shard_id"), F.when(F.col("vec_id") % 11 == 0, 0).otherwise(10).alias("k"), F.when(F.col("vec_id") % 13 == 0, 63).otherwise(F.size("embedding")).alias("dim"), (F.col("vec_id") % 9).alias("epoch"))
+    state = F.when(F.col("shard_id") == DOWN[0], "LOADING").otherwise("SERVING")
+    return guarded(asked.withColumn("state", state), DIM, ["qid"]).select("qid", "shard_id", "status", "reason")
+
+
+@register("""WITH h AS (SELECT trace_id, coverage.probed AS probed, coverage.answered AS answered, coverage.missing_shards AS missing FROM responses WHERE coverage IS NOT NULL)
+    SELECT probed, answered, count(*) AS n, count(*) FILTER (answered > probed) AS impossible, count(*) FILTER (answered < probed AND coalesce(len(missing), 0) = 0) AS unnamed, count(*) FILTER (answered = probed AND len(missing) > 0) AS contradicted FROM h GROUP BY probed, answered""")
+def coverage_exactness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether recorded coverage is exact: never more answers than probes, a shortfall names its shards, full coverage names none."""
+    c = table(spark, sf_dir, "responses").where("coverage IS NOT NULL").select(F.col("coverage.probed").alias("probed"), F.col("coverage.answered").alias("answered"), F.coalesce(F.size("coverage.missing_shards"), F.lit(0)).alias("missing"))
+    n = F.when(F.col("missing") < 0, 0).otherwise(F.col("missing"))
+    less, full = F.col("answered") < F.col("probed"), F.col("answered") == F.col("probed")
+    return c.groupBy("probed", "answered").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("answered") > F.col("probed")).alias("impossible"), F.count_if(less & (n == 0)).alias("unnamed"), F.count_if(full & (n > 0)).alias("contradicted"))
 
 
 @register()

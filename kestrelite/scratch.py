@@ -60,6 +60,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, name: tuple, build) -> str:
+    """The path of a table that `build(path)` writes once a session; every later call by the same name reads what is there."""
+    key = (spark.sparkContext.applicationId, *name)
+    if key not in _STORED:
+        path = scratch_path(spark, str(name[0]))
+        build(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def release(df: DataFrame) -> None:
     """Remove a table made by `materialize` that no later plan reads."""
     path = getattr(df, "_kestrelite_path", None)
