@@ -152,3 +152,14 @@ def recall_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recall_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall 0.95 at ef 100 over all shards, and none lost as ef grows: the SQL says that every gate is passed."""
     return sweep_gates(recall_sweep(spark, sf_dir))
+
+
+@register()
+def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections(graph_store(spark, sf_dir)[0], DIM)
+
+
+@register()
+def inspector_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hop of every walk, placed in the projection of its shard."""
+    return inspector_buffers(hops(_walked(spark, sf_dir, 100, True)), projections(graph_store(spark, sf_dir)[0], DIM))
