@@ -130,8 +130,8 @@ def _least_score(impacts: list[float], counts: list[int], need: int) -> float:
 class _Part:
     """Inverted index of the items that share a window: postings with block maxima, and the walk through them."""
 
-    def __init__(self, half: int, members: list[tuple[int, float, dict[int, float]]]):
-        """members: (item, threshold, impact by term), in order of item."""
+    def __init__(self, half: int, members: list[tuple[int, float, dict[int, float]]], terms: int):
+        """members: (item, threshold, impact by term), in order of item; `terms`: how many terms there are in all."""
         self.half, self.items = half, [k for k, _, _ in members]
         self.threshold = [t for _, t, _ in members]
         self.least = min(self.threshold)
@@ -143,6 +143,8 @@ class _Part:
                 at.append(place)
                 score.append(x)
         self.top = {t: max(score) for t, (_, score) in self.postings.items()}
+        self.reach = np.zeros(terms)
+        self.reach[list(self.top)] = list(self.top.values())
         self.block_top: dict[int, dict[int, float]] = {}
         for t, (at, score) in self.postings.items():
             of = self.block_top[t] = {}
@@ -210,7 +212,7 @@ class Index:
             least = _least_score(list(each.values()), [tf[t] for t in each], self.need[k]) * (1 - slack)
             span = (self.need[k] - 1) * gap + 1
             parts[(span - 1).bit_length()].append((span, k, least, {self.vocabulary[t]: x for t, x in each.items()}))
-        self.parts = [_Part(max(8, *(m[0] for m in of)), [m[1:] for m in of]) for _, of in sorted(parts.items())]
+        self.parts = [_Part(max(8, *(m[0] for m in of)), [m[1:] for m in of], len(names)) for _, of in sorted(parts.items())]
         self.places = []
         for w in self.words:
             at: dict[int, list[int]] = defaultdict(list)
@@ -228,18 +230,27 @@ class Index:
         at = (np.arange(len(terms)) - np.repeat(starts, lengths))[known]
         out: set[tuple[int, int]] = set()
         for part in self.parts:
-            top = np.zeros(len(self.vocabulary))
-            top[list(part.top)] = list(part.top.values())
+            of = part.reach[terms[known]] > 0
+            d, place, t = document[of], at[of] // part.half, terms[known][of]
             # A word at place p is in the passages p // half and p // half - 1 of its document.
-            passage = np.concatenate([at // part.half, np.maximum(at // part.half - 1, 0)])
-            code = np.unique((np.tile(document, 2) * (1 << 24) + passage) * len(self.vocabulary) + np.tile(terms[known], 2))
-            term, where = code % len(self.vocabulary), code // len(self.vocabulary)
-            begin = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
-            hopeful = np.add.reduceat(top[term], begin) >= part.least
+            more = place > 0
+            d, place, t = np.concatenate([d, d[more]]), np.concatenate([place, place[more] - 1]), np.concatenate([t, t[more]])
+            where = (d << 24) + place
+            # Sums of largest impacts with repeated words counted each time: enough to leave out most passages before any sort.
+            names, passage = np.unique(where, return_inverse=True)
+            hopeful = np.bincount(passage, part.reach[t], len(names)) >= part.least
+            of = hopeful[passage]
+            if not of.any():
+                continue
+            code = np.unique(passage[of] * len(self.vocabulary) + t[of])
+            term, which = code % len(self.vocabulary), code // len(self.vocabulary)
+            begin = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1])
+            good = np.add.reduceat(part.reach[term], begin) >= part.least
             ends = np.append(begin[1:], len(term))
-            for lo, hi in zip(begin[hopeful].tolist(), ends[hopeful].tolist(), strict=True):
-                d = int(where[lo] >> 24)
-                out.update((d, k) for k in part.walk(term[lo:hi].tolist()))
+            flat = term.tolist()
+            for lo, hi in zip(begin[good].tolist(), ends[good].tolist(), strict=True):
+                doc = int(names[which[lo]] >> 24)
+                out.update((doc, k) for k in part.walk(flat[lo:hi]))
         return sorted(out)
 
     def holds(self, terms: list[int], item: int) -> bool:
