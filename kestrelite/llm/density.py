@@ -7,7 +7,9 @@
   2. Borůvka rounds: each node of fewer than `smallest` vectors hooks along its lightest edge. A group below that size is no cluster, so
      all that the hierarchy needs of it is how many vectors it brings at which distance, and the hooked node's vectors keep the distance
      at which they joined. After about log2(smallest) rounds only nodes of `smallest` vectors or more are left, at most rows / smallest.
-  3. Condensed hierarchy over these nodes (on the driver, whose memory grows with them; `smallest` doesn't follow the rows), stability of each cluster, selection by largest stability.
+  3. Condensed hierarchy over these nodes, stability of each cluster, selection by largest stability. All that happens at one distance happens at
+     once and there are at most 257 distances, so the hierarchy is made by as many rounds over tables (`condense_tables`), in which a group is a
+     row; of at most `DRIVER_NODES` nodes it is made in memory (`condense`). Both give the same: stabilities are whole numbers.
   4. Members are the vectors that joined a selected cluster before it joined another; of these, only such stay whose similarity with the
      cluster's mean is at least `inside`. The most persistent members, those that joined at the shortest distance, are the exemplars.
 
@@ -19,16 +21,21 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrelite.llm.knn import _assigned, cells, fit_lists, list_chunks, unit, unpack, usable_vectors
+from kestrelite.llm.knn import _assigned, cells, fit_lists, list_chunks, parts_of, split_lists, unit, unpack, usable_vectors
+from kestrelite.operators.components import connected_components
 from kestrelite.scratch import materialize, release
 
 STEPS = 128
+TOP = 2 * STEPS + 1
+#: Nodes whose hierarchy the driver makes, and clusters whose means go to every task, at most.
+DRIVER_NODES, BROADCAST_MEANS = 50_000, 16_384
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -158,13 +165,25 @@ def _absorb(edges: DataFrame, placed: DataFrame, smallest: int) -> tuple[DataFra
             release(old)
 
 
+def _upto() -> list[int]:
+    """What a vector adds to a cluster's stability by staying from the first distance up to each one, in whole 2^-32 parts: differences of 1 / distance."""
+    total = [0]
+    for step in range(TOP):
+        d = max(step, 1)
+        total.append(total[-1] + round((1 / d - 1 / (d + 1)) * 2**32))
+    return total
+
+
+UPTO = _upto()
+
+
 def condense(edges: list[tuple[int, int, int]], mass: dict[int, dict[int, int]], smallest: int) -> list[dict]:
     """The selected clusters of the hierarchy over nodes.
 
     edges: (node, node, step); mass: by node, how many vectors it brings at which step. A cluster has `nodes`, each with the step at which it
     joined, and `end`, the step at which the cluster joined another one (the number of steps if it never did).
     """
-    top = 2 * STEPS + 1
+    top = TOP
     at_step: dict[int, list] = defaultdict(list)
     for a, b, w in edges:
         at_step[w].append((a, b))
@@ -181,7 +200,6 @@ def condense(edges: list[tuple[int, int, int]], mass: dict[int, dict[int, int]],
             parent[x] = x = parent[parent[x]]
         return x
 
-    gain = lambda step: 1 / max(step, 1) - 1 / (max(step, 1) + 1)  # noqa: E731 - what a vector adds by staying for this step
     active: set[int] = set()
     for step in range(top):
         touched = set()
@@ -207,7 +225,7 @@ def condense(edges: list[tuple[int, int, int]], mass: dict[int, dict[int, int]],
                 for m in merged:
                     clusters[cluster_of[m]]["end"] = step
                     active.discard(cluster_of[m])
-                clusters.append({"children": [cluster_of[m] for m in merged], "nodes": dict.fromkeys(nodes, step), "end": top, "stability": 0.0, "root": r})
+                clusters.append({"children": [cluster_of[m] for m in merged], "nodes": dict.fromkeys(nodes, step), "end": top, "stability": 0, "root": r})
                 cluster_of[r] = len(clusters) - 1
                 active.add(len(clusters) - 1)
             elif merged:
@@ -222,11 +240,11 @@ def condense(edges: list[tuple[int, int, int]], mass: dict[int, dict[int, int]],
             touched.add(r)
         for r in {find(r) for r in touched}:
             if cluster_of[r] is None and size[r] >= smallest:
-                clusters.append({"children": [], "nodes": dict.fromkeys(entry_nodes[r], step), "end": top, "stability": 0.0, "root": r})
+                clusters.append({"children": [], "nodes": dict.fromkeys(entry_nodes[r], step), "end": top, "stability": 0, "root": r})
                 cluster_of[r] = len(clusters) - 1
                 active.add(len(clusters) - 1)
         for c in active:
-            clusters[c]["stability"] += size[clusters[c]["root"]] * gain(step)
+            clusters[c]["stability"] += size[clusters[c]["root"]] * (UPTO[step + 1] - UPTO[step])
     chosen: list[bool] = []
     for i, c in enumerate(clusters):  # children come before parents
         below = sum(clusters[k]["stability"] for k in c["children"])
@@ -245,29 +263,102 @@ def condense(edges: list[tuple[int, int, int]], mass: dict[int, dict[int, int]],
     return selected
 
 
-def _means(vectors: DataFrame, members: DataFrame, dim: int) -> dict[int, np.ndarray]:
-    """Mean direction by cluster; one row a cluster comes back, and there are at most as many clusters as nodes of the hierarchy."""
+def condense_tables(edges: DataFrame, mass: DataFrame, smallest: int) -> DataFrame:
+    """The same by tables: (node, cluster, entered, end) of the nodes of all selected clusters. edges: (a, b, w); mass: (node, step, n).
+
+    A round takes one distance: vectors arrive, edges of that distance join groups (connected components), and each group, one row, says whether it
+    is a cluster. A cluster is named by (g, s), its group and the distance at which it was born. What a cluster has gained up to its end is
+    size x upto(end) less the sum of what came x upto(when it came), so a round touches only groups in which something happens.
+    """
+    spark = edges.sparkSession
+    big = "decimal(38,0)"
+    steps = sorted({r[0] for r in mass.select("step").distinct().collect()} | {r[0] for r in edges.select("w").distinct().collect()})  # at most TOP numbers
+    nodes = materialize(mass.select("node").distinct().select("node", F.col("node").alias("root"), F.lit(None).cast("long").alias("g"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("entered")), "condense-nodes")
+    groups = materialize(nodes.select("root", F.lit(0).cast("long").alias("size"), "g", "s", F.lit(0).cast(big).alias("gone"), F.lit(0).cast(big).alias("below"), F.lit(False).alias("parent")), "condense-groups")
+    ended: list[DataFrame] = []
+
+    def close(of: DataFrame, end: int, to_g, to_s) -> DataFrame:
+        """Clusters that end: their stability, whether they would be chosen, and the cluster that they join. What comes as they end adds nothing."""
+        own = (F.col("size") - F.coalesce("came", F.lit(0))).cast(big) * F.lit(UPTO[end]).cast(big) - F.col("gone")
+        chosen = ~F.col("parent") | ((F.col("below") <= own) & F.lit(end < TOP))
+        return of.select("g", "s", F.lit(end).alias("end"), F.when(chosen, own).otherwise(F.col("below")).cast(big).alias("best"), chosen.alias("chosen"), to_g.alias("up_g"), to_s.alias("up_s"))
+
+    for step in steps:
+        name = nodes.select("node", "root")
+        came = mass.where(F.col("step") == step).join(name, "node").groupBy("root").agg(F.sum("n").alias("came"))
+        joins = edges.where(F.col("w") == step).join(name.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(name.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        joins = materialize(joins.where("ra <> rb").select("ra", "rb"), "condense-joins")
+        pairs = connected_components(joins, "ra", "rb") if joins.limit(1).count() else joins.select(F.col("ra").alias("node"), F.col("rb").alias("component"))
+        to = materialize(pairs.select(F.col("node").alias("root"), "component"), "condense-to")
+        now = groups.join(came, "root", "left").join(to, "root", "left").withColumn("group", F.coalesce("component", "root"))
+        now = now.withColumn("size", F.col("size") + F.coalesce("came", F.lit(0)))
+        each = now.groupBy("group").agg(F.sum("size").alias("size"), F.count("g").alias("clusters"), F.max("g").alias("g1"), F.max("s").alias("s1"), F.sum(F.when(F.col("g").isNotNull(), F.col("gone"))).alias("gone1"),
+                                        F.sum(F.when(F.col("g").isNotNull(), F.col("size") - F.coalesce("came", F.lit(0)))).alias("was"), F.max(F.when(F.col("g").isNotNull(), F.col("below"))).alias("below1"), F.max("parent").alias("parent1"))
+        many, one = F.col("clusters") > 1, F.col("clusters") == 1
+        born = many | ((F.col("clusters") == 0) & (F.col("size") >= smallest))
+        each = materialize(each.select("group", "size", "clusters", many.alias("merged"), born.alias("born"), "g1", "s1", "gone1", "was", "below1", "parent1"), "condense-each")
+        over = materialize(close(now.where("g IS NOT NULL").join(each.where("merged").select("group"), "group", "left_semi"), step, F.col("group"), F.lit(step)), "condense-ended")
+        ended.append(over)
+        below = over.groupBy(F.col("up_g").alias("group")).agg(F.sum("best").cast(big).alias("below2"))
+        at = F.lit(UPTO[step]).cast(big)
+        after = each.join(below, "group", "left").select(
+            F.col("group").alias("root"), "size",
+            F.when(F.col("born"), F.col("group")).when(F.col("clusters") == 1, F.col("g1")).alias("g"), F.when(F.col("born"), F.lit(step)).when(F.col("clusters") == 1, F.col("s1")).alias("s"),
+            F.when(F.col("born"), F.col("size").cast(big) * at).when(F.col("clusters") == 1, F.col("gone1") + (F.col("size") - F.col("was")).cast(big) * at).otherwise(F.lit(0)).cast(big).alias("gone"),
+            F.when(F.col("merged"), F.col("below2")).when(F.col("clusters") == 1, F.col("below1")).otherwise(F.lit(0)).cast(big).alias("below"),
+            F.when(F.col("merged"), F.lit(True)).when(F.col("clusters") == 1, F.col("parent1")).otherwise(F.lit(False)).alias("parent"),
+        )
+        new_groups = materialize(after, "condense-groups")
+        moved = nodes.join(to, "root", "left").withColumn("root", F.coalesce("component", "root")).drop("component")
+        of = new_groups.select("root", F.col("g").alias("g2"), F.col("s").alias("s2"))
+        first = F.col("g").isNull() & F.col("g2").isNotNull()
+        new_nodes = materialize(moved.join(of, "root").select("node", "root", F.coalesce("g", "g2").alias("g"), F.coalesce("s", "s2").alias("s"), F.when(first, F.lit(step)).otherwise(F.col("entered")).alias("entered")), "condense-nodes")
+        for old in (nodes, groups, joins, to, each):
+            release(old)
+        nodes, groups = new_nodes, new_groups
+    none = F.lit(None)
+    ended.append(close(groups.where("g IS NOT NULL").withColumn("came", F.lit(0)), TOP, none.cast("long"), none.cast("int")))
+    clusters = materialize(reduce(DataFrame.union, ended), "condense-clusters")
+    # From the last clusters down: each takes the selected cluster above it, or is selected itself.
+    level = clusters.where("up_g IS NULL").select("g", "s", "end", F.when(F.col("chosen"), F.struct("g", "s", "end")).alias("sel"))
+    chosen = []
+    while True:
+        level = materialize(level, "condense-level")
+        if not level.limit(1).count():
+            break
+        chosen.append(level)
+        above = level.select(F.col("g").alias("up_g"), F.col("s").alias("up_s"), F.col("sel").alias("above"))
+        level = clusters.join(above, ["up_g", "up_s"]).select("g", "s", "end", F.coalesce("above", F.when(F.col("chosen"), F.struct("g", "s", "end"))).alias("sel"))
+    if not chosen:
+        return spark.createDataFrame([], "node long, cluster long, entered int, end int")
+    held = nodes.where("g IS NOT NULL").join(reduce(DataFrame.union, chosen).select("g", "s", "sel"), ["g", "s"]).where("sel IS NOT NULL")
+    out = held.select("node", F.col("sel.g").alias("cluster"), F.greatest("entered", "sel.s").alias("entered"), F.col("sel.end").alias("end"))
+    return out.where("entered < end")
+
+
+def _means(vectors: DataFrame, members: DataFrame, dim: int) -> DataFrame:
+    """(cluster, mean): mean direction by cluster."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
         for batch in batches:
+            total: dict[int, np.ndarray] = {}
             cluster, x = batch.column(0).to_numpy(), unit(unpack(batch.column(1), dim))
             for c in np.unique(cluster).tolist():
-                total[c] = total.get(c, 0) + x[cluster == c].sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["cluster", "total"])
+                total[c] = x[cluster == c].sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["cluster", "total"])
 
     parts = vectors.join(members.select("doc_id", "cluster"), "doc_id").select("cluster", "vec").mapInArrow(add, "cluster long, total array<double>")
-    out: dict[int, np.ndarray] = {}
-    for row in parts.toLocalIterator():
-        out[row["cluster"]] = out.get(row["cluster"], 0) + np.array(row["total"])
-    return {c: v / max(np.linalg.norm(v), 1e-12) for c, v in out.items()}
+    at = parts.select("cluster", F.posexplode("total").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("x"))
+    whole = at.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("total"))  # `dim` numbers a cluster
+    length = F.sqrt(F.aggregate("total", F.lit(0.0), lambda n, x: n + x * x))
+    return whole.select("cluster", F.transform("total", lambda x: x / F.greatest(length, F.lit(1e-12))).alias("mean"))
 
 
 def density_clusters(
     rows: DataFrame, id_column: str, vector_column: str, dim: int = 64, core: int = 10, smallest: int = 25, inside: float = 0.55,
-    list_size: int = 1000, sample_rows: int = 65_536, cell: int = 4096,
-) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """(doc_id, cluster, step, similarity) of all members, and the mean direction of each cluster."""
+    list_size: int = 1000, sample_rows: int = 65_536, cell: int = 4096, split: int = 16_384,
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cluster, step, similarity) of all members, and (cluster, mean), the mean direction of each cluster."""
     spark = rows.sparkSession
     vectors = materialize(usable_vectors(rows, id_column, vector_column, dim), "density-vectors")
     n = vectors.count()
@@ -280,7 +371,7 @@ def density_clusters(
         placed = placed.drop("node").join(tagged, "doc_id", "left").select("doc_id", F.coalesce("first", "doc_id").alias("node"), "step")
         heavy = tagged.where("doc_id = first").select("doc_id", F.lit(True).alias("heavy"))
     lists = spark.sparkContext.broadcast(fit_lists(nodes, dim, n if heavy is None else nodes.count(), list_size, sample_rows))
-    spread = _assigned(nodes, lists, dim, 2, 0.1, 0, 0.1, "false").where("posted")
+    spread = split_lists(_assigned(nodes, lists, dim, 2, 0.1, 0, 0.1, "false").where("posted"), dim, list_size, split, 2, 0.1, 0, 0.1)
     chunks = materialize(list_chunks(spread, cell), "density-lists")
     spread = cells(spread.withColumn("asks", F.lit(False)), cell, chunks)
     # Of a list in chunks each pair of chunks is a task; (p, q) and (q, p) hold the same vectors.
@@ -293,52 +384,81 @@ def density_clusters(
         spread = spread.withColumn("reach", F.lit(None).cast("float"))
     spread = spread.drop("own")
     spread = spread.withColumn("heavy", F.lit(False)) if heavy is None else spread.join(heavy, "doc_id", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    forest = spread.groupBy("list", "p", "q").applyInArrow(_list_forest(dim, core), EDGE)
+    forest = spread.repartition(parts_of(2 * n, spark), "list", "p", "q").groupBy("list", "p", "q").applyInArrow(_list_forest(dim, core), EDGE)
     edges = materialize(forest.mapInArrow(_thin, EDGE), "density-edges")
     edges, placed = _absorb(edges, placed, smallest)
-    left = [tuple(map(int, e)) for e in edges.mapInArrow(_thin, EDGE).coalesce(1).mapInArrow(_thin, EDGE).collect()]  # fewer than nodes
-    sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= smallest)
-    mass: dict[int, dict[int, int]] = defaultdict(dict)
-    for row in placed.join(sizes.select("node"), "node", "left_semi").groupBy("node", "step").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
-        mass[row["node"]][row["step"]] = row["n"]  # up to rows / smallest nodes, each with the steps of its own vectors
-    chosen = condense([e for e in left if e[0] in mass and e[1] in mass], dict(mass), smallest)
-    nodes = [(node, i, step, c["end"]) for i, c in enumerate(chosen) for node, step in c["nodes"].items() if step < c["end"]]
-    nodes = spark.createDataFrame(nodes, "node long, cluster long, entered int, end int")
-    members = placed.join(F.broadcast(nodes), "node").withColumn("step", F.greatest("step", "entered")).where("step < end").select("doc_id", "cluster", "step")
+    sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= smallest).select("node")
+    mass = materialize(placed.join(sizes, "node", "left_semi").groupBy("node", "step").agg(F.count(F.lit(1)).alias("n")), "density-mass")
+    left = edges.join(sizes.select(F.col("node").alias("a")), "a", "left_semi").join(sizes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b", "w")
+    left = materialize(left.mapInArrow(_thin, EDGE), "density-left")
+    if mass.select("node").distinct().count() <= DRIVER_NODES:
+        held: dict[int, dict[int, int]] = defaultdict(dict)
+        for row in mass.collect():  # at most DRIVER_NODES nodes, each with the steps of its own vectors
+            held[row["node"]][row["step"]] = row["n"]
+        parts = left.rdd.getNumPartitions()
+        while parts > 1:  # a tree of tasks, each of which leaves out what no spanning forest needs
+            parts = -(-parts // 8)
+            left = left.repartition(parts).mapInArrow(_thin, EDGE)
+        chosen = condense([tuple(map(int, e)) for e in left.collect()], dict(held), smallest)
+        rows = [(node, min(c["nodes"]), step, c["end"]) for c in chosen for node, step in c["nodes"].items() if step < c["end"]]
+        nodes = spark.createDataFrame(rows, "node long, cluster long, entered int, end int")
+    else:
+        nodes = materialize(condense_tables(left, mass, smallest), "density-nodes")
+    members = placed.join(nodes, "node").withColumn("step", F.greatest("step", "entered")).where("step < end").select("doc_id", "cluster", "step")
     members = materialize(members, "density-members")
-    means = spark.sparkContext.broadcast(_means(vectors, members, dim))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cluster, x = batch.column(1).to_numpy(), unit(unpack(batch.column(3), dim))
-                mean = np.stack([means.value[c] for c in cluster.tolist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.einsum("ij,ij->i", x, mean))], ["doc_id", "cluster", "step", "similarity"])
-
-    held = vectors.join(members, "doc_id").select("doc_id", "cluster", "step", "vec").mapInArrow(near, "doc_id long, cluster long, step int, similarity double")
-    held = materialize(held.where(F.col("similarity") >= inside), "density-held")
-    names = {r["cluster"]: r["name"] for r in held.groupBy("cluster").agg(F.min("doc_id").alias("name")).collect()}  # one row a cluster
-    if not names:
-        return held, {}
-    named = spark.createDataFrame(list(names.items()), "cluster long, name long")
-    out = held.join(F.broadcast(named), "cluster").select("doc_id", F.col("name").alias("cluster"), "step", "similarity")
-    return out, {names[c]: v for c, v in means.value.items() if c in names}
-
-
-def place(points: DataFrame, id_column: str, vector_column: str, means: dict[int, np.ndarray], inside: float, dim: int = 64) -> DataFrame:
-    """(id_column, cluster): the cluster whose mean is most similar, if it is at least `inside`."""
-    name, mean = np.array(list(means), np.int64), np.stack(list(means.values())) if means else np.empty((0, dim))
-    held = points.sparkSession.sparkContext.broadcast((name, mean))
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, mean = held.value
-        for batch in batches:
-            if batch.num_rows and len(name):
-                sim = unit(unpack(batch.column(1), dim)) @ mean.T
-                best, ok = sim.argmax(1), sim.max(1) >= inside
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name[best])], ["doc_id", "cluster"]).filter(pa.array(ok))
+    means = materialize(_means(vectors, members, dim), "density-means")
+    full = vectors.join(members, "doc_id").select("doc_id", "cluster", "step", "vec")
+    some = means.limit(BROADCAST_MEANS + 1).collect()
+    if len(some) <= BROADCAST_MEANS:
+        held = spark.sparkContext.broadcast({r["cluster"]: np.array(r["mean"]) for r in some})
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x, mean = unit(unpack(batch.column(3), dim)), np.stack([held.value[c] for c in batch.column(1).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.einsum("ij,ij->i", x, mean))], ["doc_id", "cluster", "step", "similarity"])
 
-    return usable_vectors(points, id_column, vector_column, dim).mapInArrow(put, "doc_id long, cluster long").withColumnRenamed("doc_id", id_column)
+    else:
+        full = full.join(means, "cluster").select("doc_id", "cluster", "step", "vec", "mean")
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x, mean = unit(unpack(batch.column(3), dim)), batch.column(4).flatten().to_numpy().reshape(-1, dim)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.einsum("ij,ij->i", x, mean))], ["doc_id", "cluster", "step", "similarity"])
+
+    held_rows = full.mapInArrow(near, "doc_id long, cluster long, step int, similarity double").where(F.col("similarity") >= inside)
+    kept = materialize(held_rows, "density-held")
+    named = materialize(kept.groupBy("cluster").agg(F.min("doc_id").alias("name")), "density-names")
+    out = kept.join(named, "cluster").select("doc_id", F.col("name").alias("cluster"), "step", "similarity")
+    return out, means.join(named, "cluster").select(F.col("name").alias("cluster"), "mean")
+
+
+#: Points that are placed at once: they go to every task, the means don't.
+POINTS = 16_384
+
+
+def place(points: DataFrame, id_column: str, vector_column: str, means: DataFrame, inside: float, dim: int = 64) -> DataFrame:
+    """(id_column, cluster): the cluster whose mean is most similar, if it is at least `inside`; ties to the smaller name."""
+    spark = points.sparkSession
+    usable = materialize(usable_vectors(points, id_column, vector_column, dim), "density-points")
+    sets, found = max(1, -(-usable.count() // POINTS)), []
+    for k in range(sets):
+        table = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(sets)) == k).toArrow()  # one bounded set
+        held = spark.sparkContext.broadcast((table["doc_id"].to_numpy(), unit(unpack(table["vec"], dim)) if table.num_rows else np.empty((0, dim))))
+
+        def nearest(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, x = held.value
+            for batch in batches:
+                if batch.num_rows and len(ids):
+                    sim = x @ batch.column(1).flatten().to_numpy().reshape(-1, dim).T
+                    name = batch.column(0).to_numpy()
+                    best = np.lexsort((name[None].repeat(len(x), 0), -sim), axis=1)[:, 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(name[best]), pa.array(sim[np.arange(len(x)), best])], ["point", "cluster", "similarity"])
+
+        found.append(means.select("cluster", "mean").mapInArrow(nearest, "point long, cluster long, similarity double"))
+    best = reduce(DataFrame.union, found).groupBy("point").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "cluster")).alias("b"))
+    return best.where(F.col("b.far") <= -inside).select(F.col("point").alias(id_column), F.col("b.cluster").alias("cluster"))
 
 
 def describe(members: DataFrame, rows: DataFrame, id_column: str, category_column: str, exemplars: int = 5) -> DataFrame:

@@ -7,6 +7,9 @@ the centroids linked to theirs; a search walks from the best entry node to the b
 
 Index (every vector): a vector is stored in the list of its nearest centroid and, as boundary vector, in up to `replicas` lists whose
 centroid is at most `1 + ratio` times as far. A query reads the lists within `1 + probe_ratio` times the nearest, at most `probes` of them.
+Lists are balanced on the whole table too: one that comes out longer than `split` rows, by skew or because there are more rows than the bounded
+fit has lists for, gets a second level of centroids, fitted in a task of its own on at most `SUB_ROWS` of its rows. Its vectors are stored in, and
+its queries read, the second-level lists by the same rule; only where a list is the nearest one are boundary vectors replicated again.
 One list is one task's dense product. A list of more than `cell` rows is cut into chunks, and each pair of chunks is a task of its own.
 
 Defined results
@@ -65,6 +68,12 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.square(v).sum(1))[:, None]
 
 
+#: Copies of a vector that go to one task.
+COPIES = 100_000
+#: Rows that a second level is fitted on, at most, and how many lists it can have.
+SUB_ROWS, SUBLISTS = 65_536, 1 << 20
+
+
 @dataclass
 class Lists:
     """The centroids and their graph."""
@@ -108,15 +117,8 @@ class Lists:
         return lists, distances
 
 
-def fit_lists(vectors: DataFrame, dim: int, rows: int, list_size: int, sample_rows: int, degree: int = 128) -> Lists:
-    """The lists of `vectors`, from a sample of at most about `sample_rows` of its `rows` rows, the same in every run."""
-    sample = vectors
-    if rows > sample_rows:
-        sample = vectors.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / rows))
-    found = sample.toArrow()
-    found = found.take(np.argsort(found["doc_id"].to_numpy(), kind="stable"))
-    x = unit(unpack(found["vec"], dim)).astype(np.float32)
-    want = max(1, min(-(-rows // list_size), max(1, len(x) // 32)))
+def centroids_of(x: np.ndarray, want: int, dim: int) -> np.ndarray:
+    """`want` centroids of the rows of x: equal halves again and again, then a few Lloyd steps."""
     random = np.random.default_rng(0)
     groups = [np.arange(len(x))]
     while len(groups) < want:
@@ -139,14 +141,26 @@ def fit_lists(vectors: DataFrame, dim: int, rows: int, list_size: int, sample_ro
             filled = np.flatnonzero(n)
             total[filled] = np.add.reduceat(x[order], np.concatenate([[0], np.cumsum(n[filled])[:-1]]))
             c = np.where(n[:, None] > 0, total, c)
-    c = np.ascontiguousarray(c, np.float32)
+    return np.ascontiguousarray(c, np.float32)
+
+
+def fit_lists(vectors: DataFrame, dim: int, rows: int, list_size: int, sample_rows: int, degree: int = 128) -> Lists:
+    """The lists of `vectors`, from a sample of at most about `sample_rows` of its `rows` rows, the same in every run."""
+    sample = vectors
+    if rows > sample_rows:
+        sample = vectors.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / rows))
+    found = sample.toArrow()
+    found = found.take(np.argsort(found["doc_id"].to_numpy(), kind="stable"))
+    x = unit(unpack(found["vec"], dim)).astype(np.float32)
+    c = centroids_of(x, max(1, min(-(-rows // list_size), max(1, len(x) // 32))), dim)
+    random = np.random.default_rng(1)
     near = np.argsort(-(c @ c.T), axis=1, kind="stable")[:, : min(degree, len(c))].astype(np.int32)
     entries = np.sort(random.choice(len(c), max(1, int(np.sqrt(len(c)))), replace=False))
     return Lists(c, near, entries, near)
 
 
 def _assigned(vectors: DataFrame, lists, dim: int, replicas: int, ratio: float, probes: int, probe_ratio: float, queries: str | None) -> DataFrame:
-    """(list, posted, asks, doc_id, vec): a row for each list that stores the vector or that its query reads."""
+    """(list, home, posted, asks, doc_id, vec): a row for each list that stores the vector or that its query reads; `home`: the nearest list."""
     narrow = vectors.select("doc_id", "vec", (F.expr(queries) if queries else F.lit(True)).alias("asks"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +175,62 @@ def _assigned(vectors: DataFrame, lists, dim: int, replicas: int, ratio: float,
             read = (rank < probes) & (far <= (1 + probe_ratio) * far[:, :1] + 1e-6) & asks[:, None]
             row, k = np.nonzero(post | read)
             taken = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(to[row, k]), pa.array(post[row, k]), pa.array(read[row, k]), taken.column(0), taken.column(1)], ["list", "posted", "asks", "doc_id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(to[row, k]), pa.array(k == 0), pa.array(post[row, k]), pa.array(read[row, k]), taken.column(0), taken.column(1)], ["list", "home", "posted", "asks", "doc_id", "vec"])
+
+    return narrow.mapInArrow(spread, "list int, home boolean, posted boolean, asks boolean, doc_id long, vec binary")
+
+
+def split_lists(assigned: DataFrame, dim: int, list_size: int, split: int, replicas: int, ratio: float, probes: int, probe_ratio: float) -> DataFrame:
+    """(list, posted, asks, doc_id, vec) with lists of more than `split` stored rows replaced by second-level lists of their own."""
+    columns = ["list", "posted", "asks", "doc_id", "vec"]
+    wide = assigned.withColumn("list", F.col("list").cast("long") * SUBLISTS)
+    large = assigned.where("posted").groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split)  # a row a list at most
+    large = materialize(large, "knn-large")
+    if not large.limit(1).count():
+        return wide.select(columns)
+    held = materialize(assigned.join(F.broadcast(large), "list"), "knn-split")
+    part = F.lit(float(1 << 20)) * SUB_ROWS / F.col("n")
+    sample = held.where("posted").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part).select("list", "n", "doc_id", "vec")
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.take(np.argsort(table["doc_id"].to_numpy(), kind="stable"))
+        x = unit(unpack(table["vec"], dim)).astype(np.float32)
+        c = centroids_of(x, max(1, min(-(-table["n"][0].as_py() // list_size), len(x) // 32, SUBLISTS - 1)), dim)
+        return pa.table({"list": table["list"][:1], "centroids": pa.array([c.tobytes()], pa.binary())})
+
+    fitted = materialize(sample.groupBy("list").applyInArrow(fit, "list int, centroids binary"), "knn-sublists")
+    # Rows of a list in chunks, and its centroids, 2,048 at most of a usual dimension, once a chunk.
+    chunks = F.ceil(F.col("n") / split).cast("int")
+    rows = held.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), chunks).cast("int")).select("list", "chunk", "home", "posted", "asks", "doc_id", "vec")
+    each = fitted.join(large, "list").select("list", "centroids", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+
+    def place(rows: pa.Table, fitted: pa.Table) -> pa.Table:
+        c = np.frombuffer(fitted["centroids"][0].as_py(), np.float32).reshape(-1, dim) if fitted.num_rows else np.empty((0, dim), np.float32)
+        out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool))]
+        home, posted, asks = (rows[name].to_numpy(zero_copy_only=False).astype(bool) for name in ("home", "posted", "asks"))
+        x, most = unit(unpack(rows["vec"], dim)).astype(np.float32), min(len(c), max(replicas, probes))
+        for lo in range(0, len(x) if most else 0, 4096):
+            s = x[lo : lo + 4096] @ c.T
+            to = np.argsort(-s, axis=1, kind="stable")[:, :most]
+            far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(s, to, 1)))
+            rank, of = np.arange(most)[None], slice(lo, lo + 4096)
+            post = posted[of, None] & (rank < np.where(home[of], replicas, 1)[:, None]) & (far <= (1 + ratio) * far[:, :1] + 1e-6)
+            read = asks[of, None] & (rank < max(probes, 1)) & (far <= (1 + probe_ratio) * far[:, :1] + 1e-6)
+            row, k = np.nonzero(post | read)
+            out.append((lo + row, to[row, k], post[row, k], read[row, k]))
+        row, sub, post, read = (np.concatenate([o[i] for o in out]) for i in range(4))
+        taken = rows.take(pa.array(row))
+        name = np.zeros(len(row), np.int64) if not rows.num_rows else np.full(len(row), rows["list"][0].as_py(), np.int64) * SUBLISTS + 1 + sub
+        return pa.table({"list": pa.array(name), "posted": pa.array(post), "asks": pa.array(read), "doc_id": taken["doc_id"], "vec": taken["vec"]})
+
+    parts = rows.groupBy("list", "chunk").cogroup(each.groupBy("list", "chunk")).applyInArrow(place, "list long, posted boolean, asks boolean, doc_id long, vec binary")
+    rest = wide.join(F.broadcast(large.select((F.col("list").cast("long") * SUBLISTS).alias("list"))), "list", "left_anti")
+    return rest.select(columns).union(parts.select(columns))
+
 
-    return narrow.mapInArrow(spread, "list int, posted boolean, asks boolean, doc_id long, vec binary")
+def parts_of(rows: int, spark, size: int = 16_384) -> int:
+    """Partitions for so many rows of vectors, so that what a task reads doesn't grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // size))
 
 
 def list_chunks(assigned: DataFrame, cell: int) -> DataFrame:
@@ -219,7 +286,7 @@ def _nearest_in_cell(dim: int, k: int, least: float | None):
 
 def nearest_neighbours(
     rows: DataFrame, id_column: str, vector_column: str, k: int = 10, dim: int = 64, queries: str | None = None, least: float | None = None,
-    list_size: int = 1000, sample_rows: int = 65_536, replicas: int = 2, ratio: float = 0.1, probes: int | None = None, probe_ratio: float | None = None, cell: int = 8192,
+    list_size: int = 1000, sample_rows: int = 65_536, replicas: int = 2, ratio: float = 0.1, probes: int | None = None, probe_ratio: float | None = None, cell: int = 8192, split: int = 16_384,
 ) -> DataFrame:
     """(doc_id, neighbour, similarity, rank) of the `k` most similar other vectors.
 
@@ -229,20 +296,23 @@ def nearest_neighbours(
     spark = rows.sparkSession
     vectors = materialize(usable_vectors(rows, id_column, vector_column, dim), "knn-vectors")
     n = vectors.count()
-    same = vectors.groupBy(F.xxhash64("vec").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1)
+    same = vectors.groupBy(F.xxhash64("vec").alias("h")).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > k + 1)
     stored, extra = vectors, None
     if same.limit(1).count():  # groups of copies: by a narrow window whose partial limit keeps k + 1 rows a task
-        hashed = vectors.withColumn("h", F.xxhash64("vec")).join(same.select("h"), "h", "left_semi").select("doc_id", "vec")
+        # A group of many copies is spread by salt, as many as it has COPIES rows.
+        hashed = vectors.withColumn("h", F.xxhash64("vec")).join(same, "h").select("doc_id", "vec", F.ceil(F.col("copies") / COPIES).cast("int").alias("salts"))
         copy = Window.partitionBy("vec").orderBy("doc_id")
-        first = materialize(hashed.withColumn("r", F.row_number().over(copy)).where(F.col("r") <= k + 1).select("doc_id", "vec", "r"), "knn-copies")
+        first = materialize(hashed.withColumn("r", F.row_number().over(copy)).where(F.col("r") <= k + 1), "knn-copies")
         late = hashed.join(first.select("doc_id"), "doc_id", "left_anti")
         stored = vectors.join(late.select("doc_id"), "doc_id", "left_anti")
-        asking = late.where(queries) if queries else late
-        extra = asking.join(first.where(F.col("r") <= k).select("vec", F.col("doc_id").alias("neighbour"), "r"), "vec")
-        extra = extra.select("doc_id", "neighbour", F.lit(1.0).alias("similarity"), F.col("r").alias("rank"))
+        asking = (late.where(queries) if queries else late).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+        salted = first.where(F.col("r") <= k).select("vec", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("doc_id").alias("neighbour"), "r")
+        extra = asking.join(salted, ["vec", "salt"]).select("doc_id", "neighbour", F.lit(1.0).alias("similarity"), F.col("r").alias("rank"))
     lists = spark.sparkContext.broadcast(fit_lists(stored, dim, n if extra is None else stored.count(), list_size, sample_rows))
-    spread = _assigned(stored, lists, dim, replicas, ratio, probes or replicas, ratio if probe_ratio is None else probe_ratio, queries)
-    found = cells(spread, cell).groupBy("list", "p", "q").applyInArrow(_nearest_in_cell(dim, k, least), "doc_id long, neighbour long, similarity double")
+    reads = (probes or replicas, ratio if probe_ratio is None else probe_ratio)
+    spread = split_lists(_assigned(stored, lists, dim, replicas, ratio, *reads, queries), dim, list_size, split, replicas, ratio, *reads)
+    spread = cells(spread, cell).repartition(parts_of(n * replicas, spark), "list", "p", "q")
+    found = spread.groupBy("list", "p", "q").applyInArrow(_nearest_in_cell(dim, k, least), "doc_id long, neighbour long, similarity double")
     found = found.groupBy("doc_id", "neighbour").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("similarity"), "neighbour")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

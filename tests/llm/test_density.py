@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from kestrelite.llm.density import condense, density_clusters, describe, place, spanning_forest
+from kestrelite.llm.density import condense, condense_tables, density_clusters, describe, place, spanning_forest
 
 SCHEMA = "doc_id long, vector array<float>, category string, cluster string, step string, node string"
 
@@ -25,12 +26,13 @@ def test_separated_clusters_are_found(spark):
         big.setdefault(c, []).append(truth[i])
     found = sorted(max(set(v), key=v.count) for v in big.values() if len(v) >= 60)
     assert found[:3] == [0, 1, 2] and all(len(set(v)) == 1 for v in big.values())
-    assert all(min(k for k, c in of.items() if c == name) == name for name in means)
+    means_of = {r["cluster"] for r in means.collect()}
+    assert all(min(k for k, c in of.items() if c == name) == name for name in means_of)
     anchors = spark.createDataFrame([(1, [3.0] + [0.0] * 15), (2, [-1.0] * 16)], "anchor_id int, vector array<float>")
     placed = {r["anchor_id"]: r["cluster"] for r in place(anchors, "anchor_id", "vector", means, 0.6, 16).collect()}
     assert truth[placed[1]] == 0
     told = {r["cluster"]: r for r in describe(members, df, "doc_id", "category").collect()}
-    assert set(told) == set(means) and all(r["main_permille"] == 1000 and len(r["exemplars"].split(",")) == 5 for r in told.values())
+    assert set(told) == means_of and all(r["main_permille"] == 1000 and len(r["exemplars"].split(",")) == 5 for r in told.values())
 
 
 def test_many_copies_are_one_node(spark):
@@ -59,7 +61,7 @@ def test_condensed_hierarchy_prefers_stable_children():
 
 def test_empty(spark):
     members, means = density_clusters(spark.createDataFrame([], SCHEMA), "doc_id", "vector", dim=16)
-    assert members.count() == 0 and means == {}
+    assert members.count() == 0 and means.count() == 0
     anchors = spark.createDataFrame([(1, [3.0] + [0.0] * 15)], "anchor_id int, vector array<float>")
     assert place(anchors, "anchor_id", "vector", means, 0.5, 16).count() == 0
 
@@ -82,3 +84,43 @@ def test_core_distances_do_not_follow_the_chunks(spark):
     got = [density_clusters(df, "doc_id", "vector", dim=16, core=8, smallest=20, inside=0.5, list_size=100, cell=cell)[0] for cell in (4096, 24)]
     one, cut = ({r["doc_id"]: (r["cluster"], r["step"]) for r in g.collect()} for g in got)
     assert one and one == cut
+
+
+def test_long_lists_are_split(spark):
+    x, truth = blobs(6, per=120)
+    rows = [(int(i), [float(v) for v in x[i]], "c", "a", "b", "c") for i in range(len(x))]
+    members, _ = density_clusters(spark.createDataFrame(rows, SCHEMA), "doc_id", "vector", dim=16, core=5, smallest=20, inside=0.5, list_size=60, sample_rows=64, split=100)
+    sides = {}
+    for r in members.collect():
+        sides.setdefault(r["cluster"], []).append(truth[r["doc_id"]])
+    assert all(len(set(v)) == 1 for v in sides.values()) and {v[0] for v in sides.values()} >= {0, 1, 2} and sum(map(len, sides.values())) >= 300
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_hierarchy_by_tables_is_that_in_memory(spark, seed):
+    """Random forests with few distances: ties, merges of many groups at once, vectors that arrive late, clusters in clusters."""
+    rng = np.random.default_rng(seed)
+    steps = [2, 7, 20, 60]
+    mass = {i: {int(s): int(rng.integers(1, 9)) for s in rng.choice(steps, rng.integers(1, 3), replace=False)} for i in range(60)}
+    edges = [(int(rng.integers(max(0, i - 8), i)), i, int(rng.choice(steps))) for i in range(1, 60) if rng.random() < 0.95]
+    chosen = condense(edges, mass, 9)
+    want = set()
+    for c in chosen:
+        inside = {n: s for n, s in c["nodes"].items() if s < c["end"]}
+        want |= {(n, min(inside), s, c["end"]) for n, s in inside.items()}
+    e = spark.createDataFrame(edges, "a long, b long, w int")
+    m = spark.createDataFrame([(n, s, k) for n, of in mass.items() for s, k in of.items()], "node long, step int, n long")
+    got = condense_tables(e, m, 9).collect()
+    name = {}
+    for r in got:
+        name[r["cluster"]] = min(name.get(r["cluster"], r["node"]), r["node"])
+    assert {(r["node"], name[r["cluster"]], r["entered"], r["end"]) for r in got} == want and len(chosen) > 1
+
+
+def test_means_that_are_not_broadcast(spark, monkeypatch):
+    x, _ = blobs(7, per=50)
+    df = spark.createDataFrame([(int(i), [float(v) for v in x[i]], "c", "a", "b", "c") for i in range(len(x))], SCHEMA)
+    run = lambda: {(r["doc_id"], r["cluster"], r["step"]) for r in density_clusters(df, "doc_id", "vector", dim=16, core=5, smallest=20, inside=0.5, list_size=100)[0].collect()}
+    one = run()
+    monkeypatch.setattr("kestrelite.llm.density.BROADCAST_MEANS", 1)
+    assert one and run() == one

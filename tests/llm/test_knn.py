@@ -62,3 +62,31 @@ def test_copies_ties_and_unusable_vectors(spark):
 
 def test_empty(spark):
     assert nearest_neighbours(spark.createDataFrame([], SCHEMA), "doc_id", "vector", dim=3).count() == 0
+
+
+def test_long_lists_get_a_second_level(spark):
+    """Few first-level lists, so that most are split: recall stays, all vectors are stored, and a tight hot spot is split too."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((30, 16))
+    x = (centres[rng.integers(30, size=1500)] + 0.4 * rng.standard_normal((1500, 16))).astype(np.float32)
+    x[:500] = (centres[0] + 0.05 * rng.standard_normal((500, 16))).astype(np.float32)
+    ids = list(range(1500))
+    df = spark.createDataFrame(rows_of(ids, x), SCHEMA)
+    want = brute(ids, x.astype(float), 5)
+    for given in ({}, {"queries": "doc_id % 3 = 0", "probes": 64, "probe_ratio": 0.3}):
+        got = {}
+        for r in nearest_neighbours(df, "doc_id", "vector", k=5, dim=16, list_size=40, sample_rows=128, replicas=3, ratio=0.15, split=120, cell=100, **given).collect():
+            got.setdefault(r["doc_id"], set()).add(r["neighbour"])
+        assert set(got) == {i for i in ids if not given or i % 3 == 0}
+        assert np.mean([len(got[i] & set(want[i])) / 5 for i in got]) >= 0.9
+
+
+def test_copies_are_spread_by_salt(spark, monkeypatch):
+    monkeypatch.setattr("kestrelite.llm.knn.COPIES", 7)
+    rows = rows_of(range(60), [[1.0, 0.0, 0.0]] * 50 + [[0.0, 1.0, 0.0]] * 10)
+    got = {}
+    for r in nearest_neighbours(spark.createDataFrame(rows, SCHEMA), "doc_id", "vector", k=3, dim=3, least=0.5).collect():
+        got.setdefault(r["doc_id"], []).append((r["rank"], r["neighbour"]))
+    for i in range(60):
+        lo, hi = (0, 50) if i < 50 else (50, 60)
+        assert [n for _, n in sorted(got[i])] == [j for j in range(lo, hi) if j != i][:3]
