@@ -88,6 +88,15 @@ def http_status(grpc: Column) -> Column:
     return out.cast("int")
 
 
+def call_label(status: Column) -> Column:
+    """How a call's status is named in the details of a span."""
+    labels = {"OK": "OK", "DEADLINE_EXCEEDED": "DEADLINE", "UNAVAILABLE": "UNAVAILABLE", "FAILED_PRECONDITION": "STALE_EPOCH"}
+    out = F.lit("ERROR")
+    for k, v in labels.items():
+        out = F.when(status == k, v).otherwise(out)
+    return out
+
+
 def hop_meta(layer: Column, kind: Column) -> Column:
     """Packed hop: kind in the low three bits, layer above."""
     return F.shiftleft(layer.bitwiseAND(F.lit(15)), 3).bitwiseOR(kind)

@@ -86,3 +86,17 @@ def apply_commands(shard_map: DataFrame, commands: DataFrame) -> DataFrame:
     ranked = with_running(sliced(each, [], ["at", "shard_id"]), [], ["at", "shard_id"], "_done", F.when(F.col("ok"), F.lit(1)).otherwise(F.lit(0)), "sum")
     newest = shard_map.agg(F.max("epoch").alias("_e"))
     return ranked.join(F.broadcast(newest)).select("at", "shard_id", "verb", "node", "ok", (F.col("_e") + F.col("_done")).alias("epoch"))
+
+
+def map_changes(shard_map: DataFrame, from_epoch: int = 0) -> DataFrame:
+    """(epoch, shard_id, was, now, swapped): what each epoch from `from_epoch` on changes against the one before it; the first epoch changes nothing.
+
+    Epochs are few, one row each; an epoch is told once, and never after a later one.
+    """
+    from pyspark.sql import Window
+
+    epochs = shard_map.select("epoch").where("epoch IS NOT NULL").distinct().withColumn("before", F.lag("epoch").over(Window.orderBy("epoch")))
+    new = shard_map.join(F.broadcast(epochs.where(F.col("epoch") >= from_epoch)), "epoch").select("epoch", "before", "shard_id", "primary_node", "backup_node")
+    old = shard_map.select(F.col("epoch").alias("before"), "shard_id", F.col("primary_node").alias("was"), F.col("backup_node").alias("was_backup"))
+    both = new.join(old, ["before", "shard_id"]).where("NOT (primary_node <=> was AND backup_node <=> was_backup)")
+    return both.select("epoch", "shard_id", "was", F.col("primary_node").alias("now"), (F.col("primary_node") == F.col("was_backup")).alias("swapped"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("training_core", "search", "telemetry", "partitioning", "membership", "corpus", "graph_index", "streams")
+MODULES = ("training_core", "search", "telemetry", "partitioning", "membership", "control", "corpus", "graph_index", "streams")
 
 
 def collect() -> tuple[dict, dict]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelite.operators.membership import apply_commands, fold_failovers, health_states, replay_cas
+from kestrelite.operators.membership import apply_commands, fold_failovers, health_states, map_changes, replay_cas
 from kestrelite.operators.redelivery import normalised_node
 from kestrelite.sources.tables import table
 
@@ -78,15 +78,12 @@ def map_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("""WITH a AS (SELECT shard_id, primary_node, backup_node FROM shard_map WHERE epoch = 1), b AS (SELECT shard_id, primary_node, backup_node FROM shard_map WHERE epoch = 2)
-    SELECT b.shard_id AS shard_id, a.primary_node AS was, b.primary_node AS "now", b.primary_node = a.backup_node AS swapped FROM a JOIN b USING (shard_id)
+@register("""WITH e AS (SELECT epoch, lag(epoch) OVER (ORDER BY epoch) AS before FROM (SELECT DISTINCT epoch FROM shard_map WHERE epoch IS NOT NULL))
+    SELECT b.epoch AS epoch, b.shard_id AS shard_id, a.primary_node AS was, b.primary_node AS "now", b.primary_node = a.backup_node AS swapped FROM e JOIN shard_map b ON b.epoch = e.epoch JOIN shard_map a ON a.epoch = e.before AND a.shard_id = b.shard_id
     WHERE a.primary_node IS DISTINCT FROM b.primary_node OR a.backup_node IS DISTINCT FROM b.backup_node""")
 def map_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a watcher that has seen epoch 1 learns from epoch 2."""
-    m = table(spark, sf_dir, "shard_map")
-    a = m.where("epoch = 1").select("shard_id", F.col("primary_node").alias("was"), F.col("backup_node").alias("was_backup"))
-    both = m.where("epoch = 2").join(a, "shard_id").where("NOT (primary_node <=> was AND backup_node <=> was_backup)")
-    return both.select("shard_id", "was", F.col("primary_node").alias("now"), (F.col("primary_node") == F.col("was_backup")).alias("swapped"))
+    """What a watcher of the map, who has seen the first one, learns from each later epoch, in turn."""
+    return map_changes(table(spark, sf_dir, "shard_map")).select("epoch", "shard_id", "was", "now", "swapped")
 
 
 @register("""WITH s AS (SELECT max(CAST(json_extract_string(span.detail_json, '$.epoch') AS BIGINT)) AS seen FROM node_events WHERE span.kind = 'SPAN_PLAN'), m AS (SELECT max(epoch) AS mapped FROM shard_map)
@@ -99,14 +96,16 @@ def epoch_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""WITH e AS (SELECT lower(trim(node_id, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) AS node, max(coalesce(stats.applied_seq, 0)) AS applied FROM node_events WHERE stats IS NOT NULL GROUP BY 1),
-    n AS (SELECT shard_id, primary_node AS node FROM shard_map WHERE epoch = 2 UNION ALL SELECT shard_id, backup_node FROM shard_map WHERE epoch = 2 AND backup_node IS NOT NULL)
-    SELECT shard_id, count(*) AS replicas, min(coalesce(applied, 0)) AS committed FROM n LEFT JOIN e USING (node) GROUP BY shard_id""")
+    m AS (SELECT * FROM shard_map WHERE epoch = (SELECT max(epoch) FROM shard_map)), n AS (SELECT shard_id, primary_node AS node FROM m UNION ALL SELECT shard_id, backup_node FROM m WHERE backup_node IS NOT NULL)
+    SELECT shard_id, count(*) AS replicas, list(coalesce(applied, 0) ORDER BY coalesce(applied, 0) DESC)[count(*) // 2 + 1] AS committed FROM n LEFT JOIN e USING (node) GROUP BY shard_id""")
 def quorum_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The highest index that a majority of each shard's replicas has applied: of one or two replicas, all of them."""
+    """The highest number that a majority of each shard's replicas has applied, in the newest map."""
     e = table(spark, sf_dir, "node_events").where("stats IS NOT NULL").groupBy(normalised_node(F.col("node_id")).alias("node")).agg(F.max(F.coalesce("stats.applied_seq", F.lit(0))).alias("applied"))
-    m = table(spark, sf_dir, "shard_map").where("epoch = 2")
+    m = table(spark, sf_dir, "shard_map")
+    m = m.join(F.broadcast(m.agg(F.max("epoch").alias("epoch"))), "epoch")  # one row
     n = m.select("shard_id", F.col("primary_node").alias("node")).union(m.where("backup_node IS NOT NULL").select("shard_id", "backup_node"))
-    return n.join(e, "node", "left").groupBy("shard_id").agg(F.count(F.lit(1)).alias("replicas"), F.min(F.coalesce("applied", F.lit(0))).alias("committed"))
+    held = n.join(e, "node", "left").groupBy("shard_id").agg(F.count(F.lit(1)).alias("replicas"), F.sort_array(F.collect_list(F.coalesce("applied", F.lit(0))), asc=False).alias("v"))  # a shard's replicas
+    return held.select("shard_id", "replicas", F.element_at("v", (F.size("v") / 2).cast("int") + 1).alias("committed"))
 
 
 COMMANDS = ((1, 3, "add", "shard-3c"), (2, 21, "add", "shard-21c"), (3, 21, "add", "shard-21d"), (4, 21, "remove", "shard-21c"), (5, 5, "remove", "shard-5a"), (6, 99, "add", "shard-99b"), (7, 21, "add", "shard-21a"))

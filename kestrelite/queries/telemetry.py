@@ -150,15 +150,15 @@ def rate_cap_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grants_per_run(_spans(spark, sf_dir).where("kind = 'SPAN_SHARD_SEARCH'"), "node_id", "t0", 5, 1_000_000_000)
 
 
-@register(f"""WITH {_E}, d AS (SELECT DISTINCT node_id, t_mono_ns, seq FROM e WHERE stats IS NOT NULL),
-    l AS (SELECT *, lag(seq) OVER w AS s0, lag(t_mono_ns) OVER w AS t0 FROM d WINDOW w AS (PARTITION BY node_id ORDER BY t_mono_ns, seq))
-    SELECT node_id, t_mono_ns, seq, round((seq - s0) / ((t_mono_ns - t0) / 1e9), 6) AS per_second FROM l WHERE t_mono_ns > t0 AND seq > s0""")
+@register(f"""WITH {_E}, d AS (SELECT DISTINCT node_id, t_mono_ns, seq, coalesce(stats.applied_seq, 0) AS total FROM e WHERE stats IS NOT NULL),
+    l AS (SELECT *, lag(total) OVER w AS n0, lag(t_mono_ns) OVER w AS t0 FROM d WINDOW w AS (PARTITION BY node_id ORDER BY t_mono_ns, seq, total))
+    SELECT node_id, t_mono_ns, seq, total, round((total - n0) / ((t_mono_ns - t0) / 1e9), 6) AS per_second FROM l WHERE t_mono_ns > t0 AND total >= n0""")
 def rate_between_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages a second between two statistics ticks of a node."""
-    d = _events(spark, sf_dir).where("stats IS NOT NULL").select("node_id", "t_mono_ns", "seq").distinct()
-    order = ["t_mono_ns", "seq"]
-    g = with_lag(sliced(d, ["node_id"], order), ["node_id"], order, {"s0": "seq", "t0": "t_mono_ns"})
-    return g.where("t_mono_ns > t0 AND seq > s0").select("node_id", *order, F.round((F.col("seq") - F.col("s0")) / ((F.col("t_mono_ns") - F.col("t0")) / 1e9), 6).alias("per_second"))
+    """What a node's running total of applied messages grew by a second between two statistics ticks; a total that fell was started anew."""
+    d = _events(spark, sf_dir).where("stats IS NOT NULL").select("node_id", "t_mono_ns", "seq", F.coalesce("stats.applied_seq", F.lit(0)).alias("total")).distinct()
+    order = ["t_mono_ns", "seq", "total"]
+    g = with_lag(sliced(d, ["node_id"], order), ["node_id"], order, {"n0": "total", "t0": "t_mono_ns"})
+    return g.where("t_mono_ns > t0 AND total >= n0").select("node_id", *order, F.round((F.col("total") - F.col("n0")) / ((F.col("t_mono_ns") - F.col("t0")) / 1e9), 6).alias("per_second"))
 
 
 _LAST = """l AS (SELECT node_id, timings.total_us AS us FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY answered_at DESC, trace_id, recorded_at) AS r
