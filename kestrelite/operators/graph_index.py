@@ -204,12 +204,25 @@ def build_graphs(vectors: DataFrame, dim: int, m: int = 16, ef: int = 100, seed:
     return vectors.groupBy("shard_id").applyInArrow(run, EDGES)
 
 
-def check_graph(edges: DataFrame) -> None:
-    """An error if a link leads to a row that its layer doesn't have."""
+def check_graph(edges: DataFrame, vectors: DataFrame | None = None, dim: int = 0, m: int = 0) -> None:
+    """An error if a link leads to a row that its layer doesn't have; with `vectors`, if a shard's bottom layer hasn't exactly its rows, or one has another
+    length than `dim`; with `m`, if a row has more links than its layer allows."""
     links = edges.select("shard_id", "layer", F.explode("neighbours").alias("row")).distinct()
     lost = links.join(edges.select("shard_id", "layer", "row"), ["shard_id", "layer", "row"], "left_anti").take(1)
     if lost:
         raise ValueError(f"shard {lost[0]['shard_id']}: layer {lost[0]['layer']} links to row {lost[0]['row']}, which it doesn't have")
+    if m:
+        full = edges.where(F.size("neighbours") > F.when(F.col("layer") == 0, 2 * m).otherwise(m)).take(1)
+        if full:
+            raise ValueError(f"shard {full[0]['shard_id']}: row {full[0]['row']} has too many links in layer {full[0]['layer']}")
+    if vectors is not None:
+        wrong = vectors.where(F.size("vector") != dim).take(1) if dim else []
+        if wrong:
+            raise ValueError(f"shard {wrong[0]['shard_id']}: a vector has another length than {dim}")
+        have = edges.where("layer = 0").select("shard_id", "doc_id", F.lit(1).alias("indexed"))
+        apart = vectors.select("shard_id", "doc_id", F.lit(1).alias("stored")).join(have, ["shard_id", "doc_id"], "full_outer").where("indexed IS NULL OR stored IS NULL").take(1)
+        if apart:
+            raise ValueError(f"shard {apart[0]['shard_id']}: the graph and the vectors disagree on id {apart[0]['doc_id']}")
 
 
 def _restore(vectors: np.ndarray, edges: pa.Table, m: int) -> Graph:
@@ -333,8 +346,9 @@ def projections(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.groupBy("shard_id").applyInArrow(run, "shard_id int, row int, doc_id long, x float, y float")
 
 
-#: Scale of a projection, height of a layer, colour by kind.
+#: Scale of a projection, height of a layer, colour (red, green, blue) by kind of record, that of a visit for others.
 SCALE, HEIGHT = 6.0, 2.6
+COLOURS = {0: (1.0, 0.82, 0.35), 1: (0.35, 0.5, 0.7), 2: (0.6, 0.91, 1.0), 3: (0.4, 0.4, 0.45), 4: (1.0, 1.0, 1.0)}
 
 
 def inspector_buffers(hop_rows: DataFrame, projected: DataFrame) -> DataFrame:
@@ -343,7 +357,26 @@ def inspector_buffers(hop_rows: DataFrame, projected: DataFrame) -> DataFrame:
     q = projected.select("shard_id", F.col("row").alias("parent"), F.col("x").alias("px"), F.col("y").alias("pz"))
     at = lambda c: F.round(F.coalesce(c, F.lit(0.0)).cast("double") * SCALE, 6)
     out = hop_rows.join(p, ["shard_id", "node"], "left").join(q, ["shard_id", "parent"], "left")
-    return out.select("qid", "shard_id", "hop", "kind", at(F.col("nx")).alias("x"), (F.col("layer") * HEIGHT).alias("y"), at(F.col("nz")).alias("z"), at(F.col("px")).alias("from_x"), at(F.col("pz")).alias("from_z"))
+    colour = F.array(*[F.lit(c) for c in COLOURS[VISIT]])
+    for kind, rgb in COLOURS.items():
+        colour = F.when(F.col("kind") == kind, F.array(*[F.lit(c) for c in rgb])).otherwise(colour)
+    out = out.withColumn("rgb", colour)
+    return out.select("qid", "shard_id", "hop", "kind", F.element_at("rgb", 1).alias("red"), F.element_at("rgb", 2).alias("green"), F.element_at("rgb", 3).alias("blue"), at(F.col("nx")).alias("x"), (F.col("layer") * HEIGHT).alias("y"), at(F.col("nz")).alias("z"), at(F.col("px")).alias("from_x"), at(F.col("pz")).alias("from_z"))
+
+
+def point_cloud(projected: DataFrame) -> DataFrame:
+    """(shard_id, row, x, y, z): every vector of a shard on the ground of its picture."""
+    place = lambda c: F.round(F.col(c).cast("double") * SCALE, 6)
+    return projected.select("shard_id", "row", place("x").alias("x"), F.lit(0.0).alias("y"), place("y").alias("z"))
+
+
+def ring_layout(nodes: DataFrame, order: str, radius: float, by: list[str] | None = None) -> DataFrame:
+    """`nodes` with `x` and `y` on a circle, the first at the top and the others clockwise in `order`. Nodes of a ring are few."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*(by or []))
+    angle = 2 * math.pi * (F.row_number().over(w.orderBy(order)) - 1) / F.count(F.lit(1)).over(w) - math.pi / 2
+    return nodes.withColumn("x", F.round(radius * F.cos(angle), 6)).withColumn("y", F.round(radius * F.sin(angle), 6))
 
 
 def walk_digest(hop_rows: DataFrame) -> DataFrame:

@@ -100,3 +100,10 @@ def map_changes(shard_map: DataFrame, from_epoch: int = 0) -> DataFrame:
     old = shard_map.select(F.col("epoch").alias("before"), "shard_id", F.col("primary_node").alias("was"), F.col("backup_node").alias("was_backup"))
     both = new.join(old, ["before", "shard_id"]).where("NOT (primary_node <=> was AND backup_node <=> was_backup)")
     return both.select("epoch", "shard_id", "was", F.col("primary_node").alias("now"), (F.col("primary_node") == F.col("was_backup")).alias("swapped"))
+
+
+def map_after(shard_map: DataFrame, shard: int, verb: str, node: str) -> DataFrame:
+    """The map of the next epoch, after a command on `shard` that `apply_commands` accepted."""
+    newest = shard_map.join(F.broadcast(shard_map.agg(F.max("epoch").alias("epoch"))), "epoch")  # one row
+    backup = F.when(F.col("shard_id") == shard, F.lit(node if verb == "add" else None).cast("string")).otherwise(F.col("backup_node"))
+    return newest.withColumn("epoch", F.col("epoch") + 1).withColumn("backup_node", backup).select(*shard_map.columns)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrelite.scratch import scratch_path
+from kestrelite.sources.filesystem import open_uri
 
 BLANKS = " \t\r\n\f\v"
 _VECTORS: dict[tuple[str, int], object] = {}
@@ -58,7 +59,7 @@ def _load_vector(root: str, file: int):
     if (root, file) not in _VECTORS:
         if len(_VECTORS) > 8:  # a task reads few files at a time
             _VECTORS.clear()
-        system, path = fs.FileSystem.from_uri(f"{root}/file={file}")
+        system, path = open_uri(f"{root}/file={file}")
         if system.get_file_info(path).type == fs.FileType.NotFound:
             rows = np.empty(0, "int64")
         else:

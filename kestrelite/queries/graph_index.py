@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from kestrelite.functions.scalars import shard_of
 from kestrelite.operators.graph_index import RESULT, VISIT, build_graphs, hops, inspector_buffers, projections, search_graphs, walk_digest
 from kestrelite.operators.partitioning import balanced_assignment, kmeans, ranked_shards
-from kestrelite.operators.search import merge_top_k, probe_recall, score_shards, shard_hits
+from kestrelite.operators.search import merge_top_k
 from kestrelite.plans.gates import sweep_gates
+from kestrelite.plans.sweep import run_sweep
 from kestrelite.queries.search import _ALL, DIM, K
 from kestrelite.scratch import materialize, stored
 from kestrelite.sources.tables import table
@@ -115,30 +116,9 @@ def hnsw_trace_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.join(walk_digest(h), ["qid", "shard_id"])
 
 
-BEAMS = [10, 50, 100, 200]
-
-
-def sweep(spark: SparkSession, sf_dir: str, scheme: str, beams: list[int] | None = None) -> DataFrame:
-    """(partitioning, shards, probe, ef, recall, mean_visited, p50_ms, p99_ms) of one scheme, for one shard, half of them, and all (0).
-
-    Every walk is made once; what a number of probes gives follows from the place of each shard in the query's plan. The time of a query is that of its
-    slowest walk, as shards walk at once.
-    """
+def sweep(spark: SparkSession, sf_dir: str, scheme: str) -> DataFrame:
     v, edges, centroids = graph_store(spark, sf_dir, scheme)
-    asked = _asked(spark, sf_dir)
-    numbers = [r["shard_id"] for r in v.select("shard_id").distinct().collect()]  # the shards
-    plan = score_shards(asked, centroids or [(s, [0.0] * DIM) for s in numbers], DIM)  # without centroids the lowest shards come first
-    walks = search_graphs(v, edges, asked, DIM, K, beams or BEAMS)
-    walks = materialize(walks.join(plan.select("qid", "shard_id", "position"), ["qid", "shard_id"]), "sweep")
-    truth = merge_top_k(shard_hits(v, asked, K, DIM), K)
-    probes = sorted({1, max(1, len(numbers) // 2), 0})
-    recall = probe_recall(walks.select("qid", "shard_id", "doc_id", "score", "position", "ef"), truth, K, probes, ["ef"])
-    each = walks.groupBy("qid", "shard_id", "position", "ef").agg(F.max("visited").alias("visited"), F.max("us").alias("us"))
-    each = each.withColumn("probe", F.explode(F.array(*[F.lit(p) for p in probes]))).where("probe = 0 OR position <= probe")
-    cost = each.groupBy("ef", "probe", "qid").agg(F.sum("visited").alias("visited"), F.max("us").alias("us"))
-    cost = cost.groupBy("ef", "probe").agg(F.avg("visited").alias("mean_visited"), F.percentile("us", 0.5).alias("p50"), F.percentile("us", 0.99).alias("p99"))
-    out = recall.join(cost, ["ef", "probe"])
-    return out.select(F.lit(scheme).alias("partitioning"), F.lit(len(numbers)).alias("shards"), "probe", "ef", "recall", F.round("mean_visited", 3).alias("mean_visited"), (F.col("p50") / 1000).alias("p50_ms"), (F.col("p99") / 1000).alias("p99_ms"))
+    return run_sweep(v, edges, centroids, _asked(spark, sf_dir), scheme, DIM, K)
 
 
 @register()

@@ -50,6 +50,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it is there."""
+    _remove(spark, path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """`df` written once and read back: cuts lineage, survives the loss of any executor."""
     spark = df.sparkSession

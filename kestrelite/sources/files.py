@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrelite.sources.filesystem import open_uri
+
 CORPUS = "id string, title string, abstract string, categories string"
 EVENTS = (
     "nodeId string, seq string, tMonoNs string, span struct<traceId:string,kind:string,tStartNs:string,tEndNs:string,shardId:int,detailJson:string>,"
@@ -26,11 +28,9 @@ def read_corpus(spark: SparkSession, path: str, limit_bytes: int | None = None)
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        from pyarrow import fs
-
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                system, inner = fs.FileSystem.from_uri(name if "://" in name else name.replace("file:", "file://", 1))
+                system, inner = open_uri(name)
                 left, rest, unpack = limit_bytes, b"", zlib.decompressobj(31)
                 with system.open_input_stream(inner, compression=None) as stream:
                     while left is None or left > 0:
@@ -94,3 +94,49 @@ def longest_valid_prefix(log: DataFrame, at: str, valid: str) -> DataFrame:
     """The entries of a log before its first invalid one."""
     torn = log.where(~F.col(valid)).agg(F.min(at).alias("_torn"))  # one row
     return log.join(F.broadcast(torn)).where(F.col("_torn").isNull() | (F.col(at) < F.col("_torn"))).drop("_torn")
+
+
+def restore_log(log: DataFrame, at: str, valid: str, state: dict | None, fresh: dict) -> tuple[DataFrame, dict]:
+    """(entries, state) after a restart: entries before the first invalid one, and the stored state, or a fresh one if it is missing or lacks a field."""
+    sound = state is not None and all(state.get(k) is not None for k in fresh)
+    return longest_valid_prefix(log, at, valid), dict(state) if sound else dict(fresh)
+
+
+#: What is asked where no query set was written.
+FALLBACK_TEXTS = ("galaxy rotation curves", "sparse attention", "random matrices", "enzyme kinetics", "spin glasses", "graph colouring", "tensor networks", "monte carlo sampling")
+
+
+def read_query_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, text) of a query set in JSON lines; a fixed short list if there is none, or none with a text."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = read_json_lines(spark, path, "qid long, text string").where("length(text) > 0")
+        if found.limit(1).count():
+            return found
+    except AnalysisException:
+        pass
+    return spark.createDataFrame(list(enumerate(FALLBACK_TEXTS)), "qid long, text string")
+
+
+RESULTS = "partitioning string, shards int, probe int, ef int, recall double, mean_visited double, p50_ms double, p99_ms double"
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """Results of sweeps in JSON lines; None if nothing was written there."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return read_json_lines(spark, path, RESULTS)
+    except AnalysisException:
+        return None
+
+
+def write_results(results: DataFrame, path: str, merge: bool = True) -> None:
+    """Write results of a sweep; with `merge` those of other partitionings stay and those of the same are replaced. A few rows, read before they are written."""
+    spark = results.sparkSession
+    before = read_results(spark, path) if merge else None
+    whole = results.select(*[c.split()[0] for c in RESULTS.split(", ")])
+    whole = merge_by_scheme(before, whole) if before is not None else whole
+    rows = [tuple(r) for r in whole.collect()]  # a row a setting
+    spark.createDataFrame(rows, RESULTS).coalesce(1).write.mode("overwrite").json(path)

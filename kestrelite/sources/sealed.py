@@ -5,25 +5,49 @@ The manifest has a row per file (path below the table, bytes, SHA-256) and the r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrelite.sources.filesystem import open_uri
+
 
 class NotSealed(Exception):
     """The table has no manifest, or doesn't match it."""
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/data")
-    return found.select(F.regexp_extract("path", r"/data/(.*)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(file, bytes, sha256) of each file: hashed as a stream, so a file of any size fits."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/data").select("path", "length")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            sums = []
+            for name in batch.column(0).to_pylist():
+                system, inner = open_uri(name)
+                h = hashlib.sha256()
+                with system.open_input_stream(inner, compression=None) as stream:
+                    while part := stream.read(1 << 22):
+                        h.update(part)
+                sums.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.string())], ["path", "bytes", "sha256"])
+
+    hashed = found.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(digest, "path string, bytes long, sha256 string")
+    return hashed.select(F.regexp_extract("path", r"/data/(.*)$", 1).alias("file"), "bytes", "sha256")
 
 
 def write_sealed(rows: DataFrame, path: str, shard: str, records_per_file: int = 1_000_000) -> None:
-    """Write and seal. A sealed path is never overwritten; each shard's rows are sorted within its files."""
+    """Write and seal. A sealed path is never overwritten; a shard's rows go to as many tasks as it has files, by hash of the row."""
     spark = rows.sparkSession
     if is_sealed(spark, path):
         raise NotSealed(f"{path} is sealed already")
-    rows.repartition(shard).sortWithinPartitions(shard).write.mode("overwrite").partitionBy(shard).option("maxRecordsPerFile", records_per_file).option("compression", "zstd").parquet(f"{path}/data")
+    files = rows.groupBy(F.col(shard).alias("_shard")).agg(F.ceil(F.count(F.lit(1)) / records_per_file).cast("int").alias("_files"))  # a row a shard
+    salted = rows.join(F.broadcast(files), F.col(shard).eqNullSafe(F.col("_shard"))).withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != shard]), F.col("_files")))
+    salted.repartition(shard, "_salt").drop("_shard", "_files", "_salt").sortWithinPartitions(shard).write.mode("overwrite").partitionBy(shard).option("maxRecordsPerFile", records_per_file).option("compression", "zstd").parquet(f"{path}/data")
     spark.read.parquet(f"{path}/data").groupBy(shard).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
     _files(spark, path).write.mode("overwrite").parquet(f"{path}/manifest")
 

@@ -77,3 +77,77 @@ def test_merge_prefix_gates_settings(spark):
         a, b = path.split(".")
         with pytest.raises(SettingsError, match=path):
             load_settings({**tree, a: {**tree[a], b: value}})
+
+
+def test_unknown_fields_and_yaml(tmp_path):
+    from kestrelite.plans.settings import read_settings
+
+    tree = {"model": {"dim": 64, "name": "x"}, "cluster": {"shards": 4, "replicas": 2, "partitioning": "semantic"}, "index": {"type": "hnsw", "efsearch": 3}}
+    with pytest.raises(SettingsError, match="index.efsearch: unknown"):
+        load_settings(tree)
+    with pytest.raises(SettingsError, match="cluster: 3 is no mapping"):
+        load_settings({"cluster": 3})
+    pytest.importorskip("yaml")
+    (tmp_path / "s.yaml").write_text("model: {dim: 8}\ncluster:\n  shards: 2\n  replicas: 1\n  partitioning: hash\nindex:\n  type: bruteforce\n")
+    assert read_settings(str(tmp_path / "s.yaml")).model_dim == 8
+    with pytest.raises(SettingsError, match="none.yaml"):
+        read_settings(str(tmp_path / "none.yaml"))
+
+
+def test_results_merge_by_scheme(spark, tmp_path):
+    from kestrelite.sources.files import read_results, write_results
+
+    path = f"{tmp_path}/bench"
+    assert read_results(spark, path) is None
+    row = lambda scheme, recall: spark.createDataFrame([(scheme, 2, 0, 100, recall, 1.0, 0.5, 0.9)], "partitioning string, shards int, probe int, ef int, recall double, mean_visited double, p50_ms double, p99_ms double")
+    for scheme, recall in (("hash", 0.5), ("semantic", 0.6), ("hash", 0.9)):
+        write_results(row(scheme, recall), path)
+    assert sorted((r["partitioning"], r["recall"]) for r in read_results(spark, path).collect()) == [("hash", 0.9), ("semantic", 0.6)]
+    write_results(row("hash", 0.1), path, merge=False)
+    assert [r["recall"] for r in read_results(spark, path).collect()] == [0.1]
+
+
+def test_restored_logs_and_query_texts(spark, tmp_path):
+    from kestrelite.sources.files import FALLBACK_TEXTS, read_query_texts, restore_log
+
+    log = spark.createDataFrame([(1, True), (2, False), (3, True)], "i int, ok boolean")
+    fresh = {"term": 0, "vote": ""}
+    for state, want in (({"term": 4, "vote": "a"}, {"term": 4, "vote": "a"}), ({"term": 4}, fresh), (None, fresh)):
+        entries, held = restore_log(log, "i", "ok", state, fresh)
+        assert [r["i"] for r in entries.collect()] == [1] and held == want
+    assert read_query_texts(spark, f"{tmp_path}/none").count() == len(FALLBACK_TEXTS)
+    (tmp_path / "q.json").write_text('{"qid": 5, "text": "x"}\n{"qid": 6, "text": ""}\n')
+    assert [r["text"] for r in read_query_texts(spark, f"{tmp_path}/q.json").collect()] == ["x"]
+
+
+def test_heavy_shards_are_sealed_by_several_tasks(spark, tmp_path):
+    path = f"file://{tmp_path}/sealed"
+    write_sealed(spark.createDataFrame([(i, 0 if i % 10 else 1) for i in range(500)], "doc_id long, shard_id int"), path, "shard_id", records_per_file=50)
+    files = list((tmp_path / "sealed" / "data" / "shard_id=0").glob("*.parquet"))
+    assert len(files) >= 2 and read_sealed(spark, path, "shard_id").count() == 500
+
+
+def test_addresses():
+    from kestrelite.sources.filesystem import open_uri
+
+    assert open_uri("file:/tmp/x")[1] == "/tmp/x" and open_uri("file:///tmp/x")[1] == "/tmp/x" and open_uri("/tmp/x")[1] == "/tmp/x"
+
+
+def test_sweep_gates_and_series(spark):
+    from kestrelite.plans.gates import recall_series, sweep_gates
+
+    rows = [("semantic", 4, 0, 10, 0.8, 1.0), ("semantic", 4, 0, 100, 0.94, 2.0), ("semantic", 4, 0, 200, 0.9, 4.0), ("semantic", 4, 2, 100, 0.85, 1.5), ("hash", 4, 0, 100, 0.99, 3.0)]
+    df = spark.createDataFrame(rows, "partitioning string, shards int, probe int, ef int, recall double, p99_ms double")
+    got = {(r["gate"], r["partitioning"], r["ef"]): r["passed"] for r in sweep_gates(df, "some-model").collect()}
+    assert got == {("floor", "semantic", 100): False, ("floor", "hash", 100): True, ("monotone", "semantic", 10): True, ("monotone", "semantic", 100): True, ("monotone", "semantic", 200): False, ("monotone", "hash", 100): True, ("half", "semantic", 0): False}
+    assert not any(r["gate"] == "half" for r in sweep_gates(df, "hash").collect())
+    assert [r["ef"] for r in recall_series(df).where("partitioning = 'semantic'").orderBy("place").collect()] == [10, 100, 100, 200]
+
+
+def test_layouts(spark):
+    from kestrelite.operators.graph_index import point_cloud, ring_layout
+
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "n string")
+    assert {r["n"]: (r["x"], r["y"]) for r in ring_layout(nodes, "n", 2.0).collect()} == {"a": (0.0, -2.0), "b": (2.0, 0.0), "c": (0.0, 2.0), "d": (-2.0, 0.0)}
+    p = spark.createDataFrame([(0, 1, 5, 0.5, -1.0)], "shard_id int, row int, doc_id long, x float, y float")
+    assert tuple(point_cloud(p).first()) == (0, 1, 3.0, 0.0, -6.0)

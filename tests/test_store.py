@@ -50,3 +50,78 @@ def test_a_large_batch_is_searched_by_graph(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(f"kestrelite.{at}.BLOCK", 3, raising=False)
     monkeypatch.setattr("kestrelite.plans.query.shard_hits", None)
     assert sorted(map(str, run_queries(spark, store, q, k=3, ef=5)["hits"].collect())) == one and len(one) == 21
+
+
+def test_probed_store_reads_probed_shards_and_routing_falls_back(spark, tmp_path):
+    store = f"file://{tmp_path}/store"
+    meta = ingest(raw(spark), store, Settings(16, 3, 1, "semantic", "bruteforce"))
+    assert meta["cap"] == 52 and meta["shards"] == 3 and meta["iterations"] > 0 and meta["spilled"] >= 0
+    from kestrelite.plans.ingest import store_centroids
+
+    assert len(store_centroids(spark, store, meta)) == 3
+    ids = spark.read.parquet(f"{store}/ids").collect()
+    for s in range(3):
+        assert sorted(r["seq"] for r in ids if r["shard_id"] == s) == list(range(1, meta["sizes"][str(s)] + 1))
+    q = spark.createDataFrame([(1, "Title 7")], "qid long, text string")
+    out = run_queries(spark, store, q, probe=1)
+    assert len({r["shard_id"] for r in out["hits"].collect()}) == 1 and out["coverage"].first()["probed"] == 1
+    spark.createDataFrame([(0, [1.0] * 16)], "shard_id int, centroid array<double>").write.mode("overwrite").parquet(f"{store}/centroids")
+    assert store_centroids(spark, store, meta) == []  # of another number: every shard in order
+    assert {r["shard_id"] for r in run_queries(spark, store, q, probe=2)["hits"].collect()} == {0, 1}
+
+
+def test_hash_store_removes_old_centroids_and_graphs_are_sealed(spark, tmp_path):
+    import os
+
+    from kestrelite.operators.graph_index import check_graph
+    from kestrelite.sources.sealed import read_sealed
+
+    os.makedirs(f"{tmp_path}/store/centroids")
+    store = f"file://{tmp_path}/store"
+    ingest(raw(spark, 60), store, Settings(8, 2, 1, "hash", "hnsw"))
+    assert not os.path.exists(f"{tmp_path}/store/centroids")
+    edges, v = read_sealed(spark, f"{store}/edges", "shard_id"), spark.read.parquet(f"{store}/shards/data")
+    check_graph(edges, v, 8, 16)
+    bad = {
+        "links to row": edges.withColumn("neighbours", F.array(F.lit(9999))), "too many links": edges.withColumn("neighbours", F.when(F.col("layer") == 0, F.array_repeat(F.lit(0), 40)).otherwise(F.col("neighbours"))),
+        "disagree": edges.where("NOT (layer = 0 AND row = 3 AND shard_id = 0)").withColumn("neighbours", F.array().cast("array<int>")),
+    }
+    for message, broken in bad.items():
+        with pytest.raises(ValueError, match=message):
+            check_graph(broken, v, 8, 16)
+    with pytest.raises(ValueError, match="another length"):
+        check_graph(edges, v, 9)
+
+
+def test_recording_bench_and_command_line(spark, tmp_path, capsys):
+    import json
+
+    from kestrelite.__main__ import main
+    from kestrelite.plans.record import load_inspector
+    from kestrelite.sources.files import read_results
+
+    store = f"file://{tmp_path}/store"
+    ingest(raw(spark, 90), store, Settings(16, 3, 1, "hash", "hnsw"))
+    texts = ["Title 3", "anything else"]
+    for out in ("a", "b"):
+        main(["record", store, f"{tmp_path}/{out}", *texts, "--down", "1"])
+    told = spark.read.json(f"{tmp_path}/a/results").collect()
+    assert sorted((r["qid"], r["chapter"], r["answered"], r["missing_shards"]) for r in told) == [(0, 0, 3, ""), (0, 1, 2, "1"), (1, 0, 3, ""), (1, 1, 2, "1")]
+    a, b = (sorted(map(str, spark.read.json(f"{tmp_path}/{x}/digest").collect())) for x in ("a", "b"))
+    assert a == b and len(a) == 4 + 6
+    walk = load_inspector(spark, f"{tmp_path}/a", 0)
+    assert {r["shard_id"] for r in walk["walks"].collect()} == {0, 1, 2} and walk["projections"].count() == 90
+    assert spark.read.json(f"{tmp_path}/a/spans").count() == 4 * 6
+    with pytest.raises(SystemExit) as end:
+        main(["bench", store, "--out", f"{tmp_path}/bench"])
+    rows = read_results(spark, f"{tmp_path}/bench").collect()
+    assert end.value.code == 0 and {(r["probe"], r["ef"]) for r in rows} == {(p, ef) for p in (0, 1) for ef in (10, 50, 100, 200)}
+    maps = f"{tmp_path}/maps"
+    spark.createDataFrame([(4, 0, "a", None), (4, 1, "b", "c")], "epoch long, shard_id int, primary_node string, backup_node string").write.parquet(maps)
+    for args, code in ((["add", maps, "0", "z"], 0), (["remove", maps, "1", "b"], 1)):
+        with pytest.raises(SystemExit) as end:
+            main(["node", *args])
+        assert end.value.code == code
+    newest = {(r["shard_id"], r["backup_node"]) for r in spark.read.parquet(maps).where("epoch = 5").collect()}
+    assert newest == {(0, "z"), (1, "c")} and spark.read.parquet(maps).where("epoch > 5").count() == 0
+    assert json.loads([x for x in capsys.readouterr().out.splitlines() if '"verb"' in x][-1])["ok"] is False
