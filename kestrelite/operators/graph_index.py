@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelite.operators.search import BLOCK, _matrix, bounded_probes, of_shards
+from kestrelite.operators.search import BLOCK, Route, _matrix, bounded_probes, of_shards
 
 #: Kinds of trace records.
 ENTRY, VISIT, ACCEPT, RESULT = 0, 1, 2, 4
@@ -246,7 +246,7 @@ _NAMES = [c.split()[0] for c in TRACED.split(", ")]
 
 def search_graphs(
     vectors: DataFrame, edges: DataFrame, queries: list[tuple[int, list[float]]] | DataFrame, dim: int, k: int = 10, ef: int | list[int] = 100, m: int = 16,
-    traced: bool = False, plan: DataFrame | None = None, cap: int = 0,
+    traced: bool = False, plan: DataFrame | Route | None = None, cap: int = 0,
 ) -> DataFrame:
     """The k hits of each query in each shard; `visited` counts distances evaluated, `us` is how long the walk took.
 
@@ -267,7 +267,7 @@ def search_graphs(
         if one:
             at, q = _matrix(table["vector"], dim)
             qids = table["qid"].to_numpy()[at].tolist()
-            one, probes = bounded_probes(plan, qids)
+            one, probes = bounded_probes(plan, qids, q)
             held = spark.sparkContext.broadcast((qids, q, probes))
     else:
         held = spark.sparkContext.broadcast(([q for q, _ in queries], np.array([v for _, v in queries], np.float64).reshape(len(queries), dim), None))
@@ -305,6 +305,8 @@ def search_graphs(
     # Vectors and edges of a shard come as one side; what has a layer is an edge list.
     both = vectors.select("shard_id", "doc_id", "vector").unionByName(edges.select("shard_id", "layer", "row", "neighbours"), allowMissingColumns=True)
     graph = both.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if isinstance(plan, Route):
+        plan = plan.frame(asked, dim)
     if plan is None:
         plan = asked.select("qid").join(vectors.select("shard_id").distinct(), how="cross")  # a query set against all shards
     else:

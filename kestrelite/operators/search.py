@@ -15,6 +15,7 @@ shard only the queries that probe it are scored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -73,18 +74,45 @@ def _best(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, shards: np.nda
     return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
 
 
-def bounded_probes(plan: DataFrame | None, qids: list[int]) -> tuple[bool, dict[int, np.ndarray] | None]:
+@dataclass(frozen=True)
+class Route:
+    """A plan that follows from centroids: each query probes the `probe` shards whose centroid is most similar, ties to the lower shard (0: all)."""
+
+    centroids: list
+    probe: int
+
+    def of(self, vectors: np.ndarray) -> dict[int, list[int]]:
+        """By shard the positions of the vectors that probe it; for one block of queries."""
+        order = sorted(self.centroids)
+        score = np.stack([_left_to_right(vectors, np.broadcast_to(np.asarray(c, np.float64), vectors.shape)) for _, c in order], 1) if order else np.empty((len(vectors), 0))
+        best = np.argsort(-score, axis=1, kind="stable")[:, : self.probe or len(order)]
+        by: dict[int, list[int]] = {}
+        for i, row in enumerate(best.tolist()):
+            for j in row:
+                by.setdefault(order[j][0], []).append(i)
+        return by
+
+    def frame(self, queries: DataFrame, dim: int) -> DataFrame:
+        return score_shards(queries, self.centroids, dim, best=self.probe).select("qid", "shard_id")
+
+
+def bounded_probes(plan: DataFrame | Route | None, qids: list[int], vectors: np.ndarray) -> tuple[bool, dict[int, np.ndarray] | None]:
     """(whether the plan is small enough for the driver, by shard the positions in `qids` of the queries that probe it)."""
     if plan is None:
         return True, None
-    rows = plan.select(F.col("qid").cast("long"), F.col("shard_id").cast("int")).limit(PLAN_ROWS + 1).toArrow()
-    if rows.num_rows > PLAN_ROWS:
-        return False, None
-    at = {q: i for i, q in enumerate(qids)}
     by: dict[int, list[int]] = {}
-    for q, shard in zip(rows["qid"].to_pylist(), rows["shard_id"].to_pylist(), strict=True):
-        if q in at:
-            by.setdefault(shard, []).append(at[q])
+    if isinstance(plan, Route):
+        if len(qids) * (plan.probe or len(plan.centroids)) > PLAN_ROWS:
+            return False, None
+        by = plan.of(vectors)
+    else:
+        rows = plan.select(F.col("qid").cast("long"), F.col("shard_id").cast("int")).limit(PLAN_ROWS + 1).toArrow()
+        if rows.num_rows > PLAN_ROWS:
+            return False, None
+        at = {q: i for i, q in enumerate(qids)}
+        for q, shard in zip(rows["qid"].to_pylist(), rows["shard_id"].to_pylist(), strict=True):
+            if q in at:
+                by.setdefault(shard, []).append(at[q])
     return True, {shard: np.array(sorted(set(who)), np.int64) for shard, who in by.items()}
 
 
@@ -93,7 +121,7 @@ def of_shards(rows: DataFrame, probes: dict[int, np.ndarray] | None) -> DataFram
     return rows if probes is None else rows.where(F.col("shard_id").isin(*sorted(probes)) if probes else F.lit(False))
 
 
-def shard_hits(vectors: DataFrame, queries: DataFrame, k: int, dim: int, plan: DataFrame | None = None) -> DataFrame:
+def shard_hits(vectors: DataFrame, queries: DataFrame, k: int, dim: int, plan: DataFrame | Route | None = None) -> DataFrame:
     """(qid, shard_id, doc_id, score): the k best of each shard for each query, partial, as a scatter returns them.
 
     vectors: (doc_id, shard_id, vector); queries: (qid, vector); plan: (qid, shard_id), the shards that a query probes, all without it.
@@ -109,7 +137,7 @@ def shard_hits(vectors: DataFrame, queries: DataFrame, k: int, dim: int, plan: D
     if table.num_rows <= BLOCK:
         at, q = _matrix(table["vector"], dim)
         qids = table["qid"].to_numpy()[at]
-        few, probes = bounded_probes(plan, qids.tolist())
+        few, probes = bounded_probes(plan, qids.tolist(), q)
         if few:
             held = spark.sparkContext.broadcast((qids, q, probes))
 
@@ -122,6 +150,8 @@ def shard_hits(vectors: DataFrame, queries: DataFrame, k: int, dim: int, plan: D
 
             return of_shards(narrow, probes).mapInArrow(scan, HITS)
     # Cells of (shard, chunk, block). How many chunks and blocks a shard has follows its rows and its queries.
+    if isinstance(plan, Route):
+        plan = plan.frame(asked, dim)
     if plan is None:
         plan = asked.select("qid").join(narrow.select("shard_id").distinct(), how="cross")  # a query set against all shards
     pairs = plan.select(F.col("qid").cast("long"), F.col("shard_id").cast("int")).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kestrelite.functions.scalars import http_status, shard_of, unsigned
 from kestrelite.functions.vectors import norm, normalised
 from kestrelite.operators.embed import hash_embedding
-from kestrelite.operators.search import CENTROIDS, admitted, coverage, guarded, merge_top_k, per_shard_top_k, plan_probes, probe_recall, score_shards, shard_hits
+from kestrelite.operators.search import CENTROIDS, Route, admitted, coverage, guarded, merge_top_k, per_shard_top_k, plan_probes, probe_recall, score_shards, shard_hits
 from kestrelite.plans.gates import recall_gates
 from kestrelite.scratch import materialize, scratch_path, stored
 from kestrelite.sources.sealed import read_sealed, write_sealed
@@ -115,9 +115,14 @@ def _centroids(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]
     return [(r["label"], [float(x) for x in r["c"]]) for r in rows]
 
 
+#: Centroids by session and folder: a bounded number, kept with the table that was partitioned by them.
+_CENTROIDS: dict[tuple[str, str], list] = {}
+
+
 def ivf_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
     """(vectors, centroids): the vectors in a table partitioned by the shard of their nearest centroid, written once in a session."""
-    centroids = _centroids(spark, sf_dir)
+    centroids = _CENTROIDS.setdefault((spark.sparkContext.applicationId, sf_dir), []) or _centroids(spark, sf_dir)
+    _CENTROIDS[spark.sparkContext.applicationId, sf_dir] = centroids
 
     def build(path: str) -> None:
         e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("embedding").alias("_v"))
@@ -128,25 +133,22 @@ def ivf_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
     return spark.read.schema("doc_id long, vector array<float>, shard_id int").parquet(path), centroids
 
 
-def _routed(spark: SparkSession, sf_dir: str, probe: int) -> tuple[DataFrame, DataFrame]:
-    """(hits of the probed shards, plan): a query meets only the shards of its plan, and no others are read."""
+def _routed(spark: SparkSession, sf_dir: str, probe: int) -> DataFrame:
+    """Hits of the probed shards: a query meets only the shards of its plan, and no others are read."""
     vectors, centroids = ivf_store(spark, sf_dir)
-    plan = score_shards(_asked(spark, sf_dir), centroids, DIM, best=probe)
-    return shard_hits(vectors, _asked(spark, sf_dir), K, DIM, plan if probe else None), plan
+    return shard_hits(vectors, _asked(spark, sf_dir), K, DIM, Route(centroids, probe) if probe else None)
 
 
 @register(f"WITH {_IVF} SELECT qid, shard_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE position <= 3) WHERE rank <= {K}")
 def knn_ivf_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three shards with the nearest centroids are probed."""
-    hits, _ = _routed(spark, sf_dir, 3)
-    return merge_top_k(hits, K).select("qid", "shard_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return merge_top_k(_routed(spark, sf_dir, 3), K).select("qid", "shard_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @register(f"WITH {_ALL} SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {K}")
 def knn_ivf_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probing all shards gives the exact result."""
-    hits, _ = _routed(spark, sf_dir, 0)
-    return merge_top_k(hits, K).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return merge_top_k(_routed(spark, sf_dir, 0), K).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @register(f"WITH {_IVF} SELECT qid, shard_id, round(list_inner_product(q.v, c.c), 6) AS cscore FROM q, c")
@@ -161,7 +163,7 @@ def centroid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM g JOIN t USING (qid, doc_id) GROUP BY probe""")
 def recall_by_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall against the exact result for 1, 2, 4 and 8 probed shards, from one scan of the vectors."""
-    hits, plan = _routed(spark, sf_dir, 0)
+    hits, plan = _routed(spark, sf_dir, 0), score_shards(_asked(spark, sf_dir), ivf_store(spark, sf_dir)[1], DIM)
     hits = materialize(hits.join(plan.select("qid", "shard_id", "position"), ["qid", "shard_id"]), "probe-hits")
     return probe_recall(hits, merge_top_k(hits, K), K, [1, 2, 4, 8])
 

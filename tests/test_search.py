@@ -93,6 +93,18 @@ def test_routed_search_meets_and_reads_the_plan_only(spark, monkeypatch, tmp_pat
         assert {f.split("shard_id=")[1].split("/")[0] for f in hits.inputFiles()} >= {"3", "5", "6"}
 
 
+@pytest.mark.parametrize("block", [4096, 2])
+def test_a_route_is_the_plan_that_its_centroids_give(spark, monkeypatch, block):
+    rng = np.random.default_rng(4)
+    v = vectors(spark, [(i, rng.standard_normal(6).tolist()) for i in range(120)], 5)
+    q = spark.createDataFrame([(i, rng.standard_normal(6).tolist()) for i in range(6)], "qid long, vector array<double>")
+    centroids = [(s, rng.standard_normal(6).tolist()) for s in range(4)] + [(4, [0.0] * 6)]
+    plan = search.score_shards(q, centroids, 6, best=2).select("qid", "shard_id")
+    want = sorted(map(tuple, per_shard_top_k(shard_hits(v, q, 3, 6, plan), 3).collect()))
+    monkeypatch.setattr(search, "BLOCK", block)
+    assert sorted(map(tuple, per_shard_top_k(shard_hits(v, q, 3, 6, search.Route(centroids, 2)), 3).collect())) == want and len(want) == 36
+
+
 def test_shards_by_centroid(spark):
     q = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, None, [0.0, 1.0]), (3, "y", None)], "qid long, shard string, vector array<double>")
     centroids = [(7, [1.0, 0.0]), (2, [0.0, 1.0]), (4, [0.0, 1.0])]
