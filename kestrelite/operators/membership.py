@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrelite.operators.ordered import sliced, with_lag, with_number, with_running
+from kestrelite.operators.ordered import fold_slices, sliced, with_lag, with_number, with_running
 
 SUSPECT, DOWN = 2, 5
+HEALTHS = ("HEALTHY", "SUSPECT", "DOWN")
 
 
 def health_states(probes: DataFrame, node: str, order: list[str], alive: str) -> DataFrame:
@@ -25,43 +26,65 @@ def health_states(probes: DataFrame, node: str, order: list[str], alive: str) ->
     return p.drop("_k", "_ok", "_slice")
 
 
+def _moments(rows: DataFrame, at: str) -> tuple[list[str], list[Column]]:
+    """(names, columns) of an order that is one column or a struct of several."""
+    kind = rows.schema[at].dataType
+    parts = [f"{at}.{n}" for n in kind.fieldNames()] if kind.typeName() == "struct" else [at]
+    names = [f"_at{i}" for i in range(len(parts))]
+    return names, [F.col(p).alias(n) for p, n in zip(parts, names, strict=True)]
+
+
 def fold_failovers(changes: DataFrame) -> DataFrame:
     """(shard_id, primary, backup, epoch, failovers) after all changes of state.
 
     changes: (shard_id, at, is_a, state, ever_healthy), one row per change of state of one of a shard's two nodes, a and b; a is primary at first.
     The roles swap when the primary goes down that was ever healthy, if the backup is healthy then; a primary that goes down while its backup
-    isn't healthy isn't tried again. Only changes are folded, not probes.
+    isn't healthy isn't tried again. Only changes are folded, not probes, and those of a shard slice by slice: for each of the 18 states that a pair of
+    nodes can be in, a slice says where it leads.
     """
-    log = changes.groupBy("shard_id").agg(F.array_sort(F.collect_list(F.struct("at", "is_a", "state", "ever_healthy"))).alias("log"))
-    start = F.struct(F.lit(True).alias("a_first"), F.lit("HEALTHY").alias("a"), F.lit("HEALTHY").alias("b"), F.lit(0).alias("n"))
-
-    def step(s: Column, e: Column) -> Column:
-        down = (e["state"] == "DOWN") & e["ever_healthy"] & (e["is_a"] == s["a_first"])
-        other = F.when(e["is_a"], s["b"]).otherwise(s["a"])
-        swap = down & (other == "HEALTHY")
-        return F.struct(
-            F.when(swap, ~s["a_first"]).otherwise(s["a_first"]).alias("a_first"), F.when(e["is_a"], e["state"]).otherwise(s["a"]).alias("a"),
-            F.when(e["is_a"], s["b"]).otherwise(e["state"]).alias("b"), (s["n"] + F.when(swap, F.lit(1)).otherwise(F.lit(0))).alias("n"),
-        )
-
-    out = log.select("shard_id", F.aggregate("log", start, step).alias("s"))
-    return out.select("shard_id", F.when(F.col("s.a_first"), "a").otherwise("b").alias("primary"), F.when(F.col("s.a_first"), "b").otherwise("a").alias("backup"), (F.col("s.n") + 1).alias("epoch"), F.col("s.n").alias("failovers"))
+    moments, at = _moments(changes, "at")
+    flat = changes.select("shard_id", *at, "is_a", "state", "ever_healthy")
+    order = [*moments, "is_a"]
+
+    def summarise(table) -> list[tuple[str, str, int]]:
+        rows = list(zip(table["is_a"].to_pylist(), table["state"].to_pylist(), table["ever_healthy"].to_pylist(), strict=True))
+        out = []
+        for a_first in (True, False):
+            for a in HEALTHS:
+                for b in HEALTHS:
+                    first, x, y, n = a_first, a, b, 0
+                    for is_a, state, ever in rows:
+                        if state == "DOWN" and ever and is_a == first and (y if is_a else x) == "HEALTHY":
+                            first, n = not first, n + 1
+                        x, y = (state, y) if is_a else (x, state)
+                    out.append((f"{'a' if a_first else 'b'} {a} {b}", f"{'a' if first else 'b'} {x} {y}", n))
+        return out
+
+    out = fold_slices(sliced(flat, ["shard_id"], order), "shard_id", order, summarise, "a HEALTHY HEALTHY")
+    first = F.substring("state", 1, 1)
+    return out.select("shard_id", first.alias("primary"), F.when(first == "a", "b").otherwise("a").alias("backup"), (F.col("applied") + 1).cast("int").alias("epoch"), F.col("applied").cast("int").alias("failovers"))
 
 
 def replay_cas(entries: DataFrame, log: str, at: str, expected: str, proposed: str, first: int) -> DataFrame:
     """(log, entries, applied, value): a log of compare-and-set entries replayed in order; an entry is applied if its expected value is current.
 
-    A log is a control-plane object, a few entries per change of membership; it is folded as one array.
+    Slice by slice, and within a slice from its last entry backwards: what an expected value leads to is what the entry's proposal leads to after it, so
+    a slice is summed up in one pass, by as many values as its entries expect.
     """
-    held = entries.groupBy(log).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(expected).alias("e"), F.col(proposed).alias("p")))).alias("_log"))
-    start = F.struct(F.lit(first).cast("long").alias("v"), F.lit(0).cast("long").alias("n"))
-
-    def step(s: Column, e: Column) -> Column:
-        ok = s["v"] == e["e"]
-        return F.struct(F.when(ok, e["p"].cast("long")).otherwise(s["v"]).alias("v"), (s["n"] + F.when(ok, F.lit(1)).otherwise(F.lit(0))).cast("long").alias("n"))
-
-    out = held.select(log, F.size("_log").cast("long").alias("entries"), F.aggregate("_log", start, step).alias("s"))
-    return out.select(log, "entries", F.col("s.n").alias("applied"), F.col("s.v").alias("value"))
+    order, moments = _moments(entries, at)
+    flat = entries.select(F.col(log), *moments, F.col(expected).cast("long").alias("e"), F.col(proposed).cast("long").alias("p"))
+
+    def summarise(table) -> list[tuple[str, str, int]]:
+        leads: dict[int, tuple[int, int]] = {}
+        for e, p in zip(reversed(table["e"].to_pylist()), reversed(table["p"].to_pylist()), strict=True):
+            if e is not None and p is not None:  # an entry without either is never applied
+                to, n = leads.get(p, (p, 0))
+                leads[e] = (to, n + 1)
+        return [(str(e), str(to), n) for e, (to, n) in leads.items()]
+
+    out = fold_slices(sliced(flat, [log], order), log, order, summarise, str(first))
+    n = entries.groupBy(log).agg(F.count(F.lit(1)).alias("entries"))
+    return n.join(out, log, "left").select(log, "entries", F.coalesce("applied", F.lit(0)).alias("applied"), F.coalesce(F.col("state").cast("long"), F.lit(first)).alias("value"))
 
 
 def apply_commands(shard_map: DataFrame, commands: DataFrame) -> DataFrame:

@@ -69,3 +69,31 @@ def with_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
 def with_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Row numbers 1, 2, ... of each key. `df` comes from `sliced`."""
     return with_running(df, keys, order, name, F.lit(1), "count")
+
+
+def fold_slices(df: DataFrame, key: str, order: Sequence[str], summarise, start: str) -> DataFrame:
+    """(key, state, applied): the state of each key after all its rows in order, and how many rows changed it. `df` comes from `sliced`.
+
+    summarise(rows of a slice in order, an Arrow table) gives, for each state that some row of the slice reacts to, the state after the slice and how many
+    rows changed it: a list of (state, state after, changes), states as text. A state that isn't there passes through unchanged. So slices are summed up
+    side by side, however long a key is, and a key's fold goes over its slices, of which there are as many as tasks at most.
+    """
+    import pyarrow as pa
+
+    kind = dict(df.dtypes)[key]
+
+    def run(table: pa.Table) -> pa.Table:
+        found = summarise(table.sort_by([(c, "ascending") for c in order]))
+        n = len(found)
+        return pa.table({key: table[key].take(pa.array([0] * n, pa.int64())), SLICE: table[SLICE].take(pa.array([0] * n, pa.int64())), "a": pa.array([f[0] for f in found], pa.string()), "b": pa.array([f[1] for f in found], pa.string()), "n": pa.array([f[2] for f in found], pa.int64())})
+
+    each = df.groupBy(key, SLICE).applyInArrow(run, f"`{key}` {kind}, {SLICE} int, a string, b string, n long")
+    maps = each.groupBy(key, SLICE).agg(F.map_from_entries(F.collect_list(F.struct("a", F.struct("b", "n")))).alias("m"))
+    chain = maps.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(SLICE, "m")), lambda x, y: x[SLICE] - y[SLICE]), lambda s: s["m"]).alias("maps"))
+    first = F.struct(F.lit(start).alias("state"), F.lit(0).cast("long").alias("applied"))
+
+    def step(at: Column, m: Column) -> Column:
+        hit = F.try_element_at(m, at["state"])
+        return F.struct(F.coalesce(hit["b"], at["state"]).alias("state"), (at["applied"] + F.coalesce(hit["n"], F.lit(0))).cast("long").alias("applied"))
+
+    return chain.select(key, F.aggregate("maps", first, step).alias("s")).select(key, "s.state", "s.applied")

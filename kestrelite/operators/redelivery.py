@@ -2,7 +2,9 @@
 
 Plan: only the identifier, the delivery order and the row's place (file, row index) are shuffled; the smallest order per identifier wins.
 The places of the other copies become one deletion vector per file, written to the shared folder. The wide rows are then read once, straight
-from their files, and rows in their file's vector are dropped: payloads are never shuffled, and no vector is broadcast.
+from their files, and rows in their file's vector are dropped: payloads are never shuffled, and no vector is broadcast. The few messages with more than
+a part in HOTTEST of all rows each, at most HOTTEST of them, are the only ones broadcast: their copies are told where they lie, so that one message
+with a third of all rows is no task of its own.
 
 Defined results
   * An identifier with a null part names no message: such rows are all kept and count as no repetition.
@@ -18,9 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrelite.scratch import scratch_path
+from kestrelite.scratch import materialize, scratch_path
 from kestrelite.sources.filesystem import open_uri
 
+#: How many messages can be hot, at most, and how many copies make one hot, at least.
+HOTTEST, HOT_COPIES = 10_000, 100_000
 BLANKS = " \t\r\n\f\v"
 _VECTORS: dict[tuple[str, int], object] = {}
 
@@ -70,8 +74,16 @@ def _load_vector(root: str, file: int):
 
 def deletion_vectors(df: DataFrame, identity: Mapping[str, Column], order: Sequence[Column]) -> str:
     """Write, per file of `df`, the row indexes of the copies that don't stay; the path of that table. Only identifiers, orders and places move."""
-    winners = delivery_winners(df, identity, order).where("copies > 1").drop("copies")
-    losers = _narrow(df, identity, order).join(winners, [f"k_{n}" for n in identity]).where("at <> win").select("at.file", "at.row")
+    keys, narrow = [f"k_{n}" for n in identity], _narrow(df, identity, order)
+    winners = materialize(delivery_winners(df, identity, order).where("copies > 1"), "winners")
+    most = max(HOT_COPIES, df.count() // HOTTEST)
+    hot = winners.where(F.col("copies") > most).drop("copies")
+    if hot.limit(1).count():
+        # Both sides of the split read the scan; only rows of other messages are shuffled.
+        losers = narrow.join(F.broadcast(hot), keys).union(narrow.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(winners.where(F.col("copies") <= most).drop("copies"), keys))
+    else:
+        losers = narrow.join(winners.drop("copies"), keys)
+    losers = losers.where("at <> win").select("at.file", "at.row")
     root = scratch_path(df.sparkSession, "deletion-vectors")
     # A file's vector is split over several tasks by row range, so one file full of repetitions isn't one task's work.
     losers.repartition("file", F.expr("row div 1048576")).write.partitionBy("file").parquet(root)

@@ -46,3 +46,14 @@ def test_payload_is_not_shuffled(spark, tmp_path):
 def test_empty(spark, tmp_path):
     df = write(spark, tmp_path, [])
     assert one_per_message(df, identity(), order()).count() == 0 and repeated_messages(df, identity(), order()).count() == 0
+
+
+def test_hot_messages_are_told_where_they_lie(spark, tmp_path, monkeypatch):
+    from kestrelite.operators import redelivery
+
+    rows = [("hot", 1, i) for i in range(300)] + [("warm", 2, i) for i in range(30)] + [("once", 3, 0), (None, 4, 1), (None, 4, 2)]
+    spark.createDataFrame(rows, "node string, seq long, at long").repartition(5).write.parquet(f"{tmp_path}/t")
+    run = lambda: sorted(map(str, one_per_message(spark.read.parquet(f"{tmp_path}/t"), {"node": F.col("node"), "seq": F.col("seq")}, [F.col("at")]).collect()))
+    cold = run()
+    monkeypatch.setattr(redelivery, "HOT_COPIES", 100)
+    assert run() == cold and len(cold) == 5 and sum("at=0" in r for r in cold) == 3
