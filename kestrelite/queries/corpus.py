@@ -66,11 +66,15 @@ def digest_of_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KINDS = ", ".join(f"('{k}')" for k in SPAN_ORDER)
 
 
-@register(f"SELECT kind FROM (VALUES {_KINDS}) t(kind) WHERE kind NOT IN (SELECT span.kind FROM node_events WHERE span.kind IS NOT NULL)")
+@register(f"""WITH s AS (SELECT DISTINCT span.trace_id AS t, span.kind AS k FROM node_events WHERE span.trace_id IS NOT NULL)
+    SELECT kind, (SELECT count(DISTINCT t) FROM s) - (SELECT count(*) FROM s WHERE k = kind) AS traces_without FROM (VALUES {_KINDS}) t(kind)""")
 def missing_span_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of spans that a complete run has and this one hasn't."""
+    """For each kind of span that a complete trace has: how many traces lack it."""
+    s = table(spark, sf_dir, "node_events").where("span.trace_id IS NOT NULL").select(F.col("span.trace_id").alias("t"), F.col("span.kind").alias("kind")).distinct()
     want = spark.createDataFrame([(k,) for k in SPAN_ORDER], "kind string")
-    return want.join(table(spark, sf_dir, "node_events").where("span.kind IS NOT NULL").select(F.col("span.kind").alias("kind")).distinct(), "kind", "left_anti")
+    traces = s.agg(F.countDistinct("t").alias("traces"))  # one row
+    have = s.where("kind IS NOT NULL").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return want.join(have, "kind", "left").join(F.broadcast(traces)).select("kind", (F.col("traces") - F.coalesce("n", F.lit(0))).alias("traces_without"))
 
 
 @register("SELECT q.qid AS qid, q.source_doc_id AS source_doc_id, d.title IS NOT NULL AS found, coalesce(starts_with(lower(d.title), lower(trim(q.text))), FALSE) AS is_title FROM queries q LEFT JOIN (SELECT doc_id, min(coalesce(title, '')) AS title FROM docs GROUP BY doc_id) d ON d.doc_id = q.source_doc_id")

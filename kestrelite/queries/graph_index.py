@@ -143,3 +143,35 @@ def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inspector_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hop of every walk, placed in the projection of its shard."""
     return inspector_buffers(hops(_walked(spark, sf_dir, 100, True)), projections(graph_store(spark, sf_dir)[0], DIM))
+
+
+_SHARDS = f"CAST(CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) % {FEWEST} AS INTEGER)"
+
+
+@register(f"SELECT {_SHARDS} AS shard_id, count(*) AS nodes, TRUE AS within_bounds FROM embeddings GROUP BY 1")
+def hnsw_graph_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per shard: how many rows the bottom layer has, and whether no row has more links than its layer allows. The SQL is that of up to FEWEST shards."""
+    _, e, _ = graph_store(spark, sf_dir)
+    fits = F.size("neighbours") <= F.when(F.col("layer") == 0, 32).otherwise(16)
+    return e.groupBy("shard_id").agg(F.count_if(F.col("layer") == 0).alias("nodes"), F.bool_and(fits).alias("within_bounds"))
+
+
+@register(f"SELECT vec_id AS qid, CAST(s AS INTEGER) AS shard_id, CAST({K} AS BIGINT) AS results, TRUE AS descends FROM embeddings, range({FEWEST}) r(s) WHERE vec_id % 100 = 0")
+def hnsw_trace_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per walk: how many results it has, and whether it starts at the top layer and never climbs."""
+    h = hops(_walked(spark, sf_dir, 100, True)).groupBy("qid", "shard_id").agg(F.array_sort(F.collect_list(F.struct("hop", "layer"))).alias("w"), F.count_if(F.col("kind") == RESULT).alias("results"))
+    layers = F.transform("w", lambda x: x["layer"])
+    return h.select("qid", "shard_id", "results", (F.array_sort(layers) == F.reverse(layers)).alias("descends"))
+
+
+@register(f"SELECT {_SHARDS} AS shard_id, count(*) AS n, TRUE AS centred, TRUE AS scaled, TRUE AS first_axis_widest FROM embeddings GROUP BY 1")
+def pca_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per shard: how many points there are, whether both axes are centred and reach 1, and whether the first explains at least as much as the second."""
+    p = pca_projection(spark, sf_dir)
+    v = graph_store(spark, sf_dir)[0].select("shard_id", "doc_id", "vector")
+    # What an axis explains is the sum over the coordinates of covariance squared, by the axis's own variance: scaling leaves it as it is.
+    one = p.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"), ((F.abs(F.avg("x")) < 0.2) & (F.abs(F.avg("y")) < 0.2)).alias("centred"), ((F.abs(F.max(F.abs("x")) - 1) < 1e-6) & (F.abs(F.max(F.abs("y")) - 1) < 1e-6)).alias("scaled"))
+    each = v.join(p, ["shard_id", "doc_id"]).select("shard_id", "x", "y", F.posexplode("vector").alias("i", "c"))
+    held = each.groupBy("shard_id", "i").agg(F.covar_pop("x", "c").alias("cx"), F.covar_pop("y", "c").alias("cy"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+    told = held.groupBy("shard_id").agg((F.sum(F.col("cx") * F.col("cx") / F.col("vx")) >= F.sum(F.col("cy") * F.col("cy") / F.col("vy"))).alias("first_axis_widest"))
+    return one.join(told, "shard_id").select("shard_id", "n", "centred", "scaled", "first_axis_widest")

@@ -111,7 +111,15 @@ def quorum_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMMANDS = ((1, 3, "add", "shard-3c"), (2, 21, "add", "shard-21c"), (3, 21, "add", "shard-21d"), (4, 21, "remove", "shard-21c"), (5, 5, "remove", "shard-5a"), (6, 99, "add", "shard-99b"), (7, 21, "add", "shard-21a"))
 
 
-@register()
+_COMMANDS = ", ".join(f"({at}, {s}, '{v}', '{n}')" for at, s, v, n in COMMANDS)
+
+
+@register(f"""WITH RECURSIVE c AS (SELECT CAST(k AS BIGINT) AS k, CAST(shard AS INTEGER) AS shard, verb, node FROM (VALUES {_COMMANDS}) v(k, shard, verb, node)), m AS (SELECT * FROM shard_map WHERE epoch = (SELECT max(epoch) FROM shard_map)),
+    r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(-1 AS INTEGER) AS shard, '' AS verb, '' AS node, FALSE AS ok, (SELECT max(epoch) FROM m) AS epoch, (SELECT list({{'s': shard_id, 'p': primary_node, 'b': coalesce(backup_node, '')}}) FROM m) AS held
+          UNION ALL
+          SELECT x.k, x.shard, x.verb, x.node, x.ok, x.epoch + CASE WHEN x.ok THEN 1 ELSE 0 END, CASE WHEN x.ok THEN list_transform(x.held, lambda e: CASE WHEN e.s = x.shard THEN {{'s': e.s, 'p': e.p, 'b': CASE WHEN x.verb = 'add' THEN x.node ELSE '' END}} ELSE e END) ELSE x.held END
+          FROM (SELECT c.*, r.epoch, r.held, len(list_filter(r.held, lambda e: e.s = c.shard AND CASE WHEN c.verb = 'add' THEN e.b = '' AND e.p <> c.node ELSE e.b = c.node END)) > 0 AS ok FROM r JOIN c ON c.k = r.k + 1) x)
+    SELECT k AS "at", shard AS shard_id, verb, node, ok, epoch FROM r WHERE k > 0""")
 def membership_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A few commands to add and remove replicas, with their outcome."""
     m = table(spark, sf_dir, "shard_map")

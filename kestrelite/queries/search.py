@@ -257,3 +257,12 @@ def coverage_exactness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic embedding of query texts."""
     return table(spark, sf_dir, "queries").select("qid", hash_embedding(DIM)(F.col("text")).alias("vector"))
+
+
+@register(f"SELECT qid, CAST({DIM} AS INTEGER) AS dim, TRUE AS unit, TRUE AS same_for_same_text FROM queries")
+def embed_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query: the length of its vector, whether its norm is 1, and whether all queries of the same text have the same."""
+    q = table(spark, sf_dir, "queries").select("qid", F.coalesce("text", F.lit("")).alias("text"))
+    v = q.select("qid", "text", hash_embedding(DIM)(F.col("text")).alias("vector"))
+    kinds = v.groupBy("text").agg(F.countDistinct("vector").alias("kinds"))
+    return v.join(kinds, "text").select("qid", F.size("vector").alias("dim"), (F.abs(norm(F.col("vector")) - 1) <= 1e-5).alias("unit"), (F.col("kinds") == 1).alias("same_for_same_text"))
