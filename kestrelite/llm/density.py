@@ -461,6 +461,34 @@ def place(points: DataFrame, id_column: str, vector_column: str, means: DataFram
     return best.where(F.col("b.far") <= -inside).select(F.col("point").alias(id_column), F.col("b.cluster").alias("cluster"))
 
 
+def nearest_means(vectors: DataFrame, means: DataFrame, dim: int = 64) -> DataFrame:
+    """(doc_id, cluster, best, second): the most similar mean of each vector (doc_id, vec) and the similarity of the next one (-2 if there is none).
+
+    Means go to the tasks in sets of at most BROADCAST_MEANS, a scan of the vectors for each set.
+    """
+    spark = vectors.sparkSession
+    sets, found = max(1, -(-means.count() // BROADCAST_MEANS)), []
+    for k in range(sets):
+        rows = means.where(F.pmod(F.xxhash64("cluster"), F.lit(sets)) == k).collect()  # one bounded set
+        held = spark.sparkContext.broadcast((np.array([r["cluster"] for r in rows], np.int64), np.array([r["mean"] for r in rows]).reshape(-1, dim)))
+
+        def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            name, mean = held.value
+            for batch in batches:
+                if batch.num_rows and len(name):
+                    sim = unit(unpack(batch.column(1), dim)) @ mean.T
+                    best = sim.argmax(1)
+                    top = sim[np.arange(len(sim)), best].copy()
+                    sim[np.arange(len(sim)), best] = -2
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name[best]), pa.array(top), pa.array(sim.max(1))], ["doc_id", "cluster", "best", "second"])
+
+        found.append(vectors.select("doc_id", "vec").mapInArrow(near, "doc_id long, cluster long, best double, second double"))
+    if sets == 1:
+        return found[0]
+    each = reduce(DataFrame.union, found).groupBy("doc_id").agg(F.max_by(F.struct("cluster", "best"), "best").alias("t"), F.sort_array(F.flatten(F.collect_list(F.array("best", "second"))), asc=False).alias("v"))
+    return each.select("doc_id", "t.cluster", "t.best", F.element_at("v", 2).alias("second"))
+
+
 def describe(members: DataFrame, rows: DataFrame, id_column: str, category_column: str, exemplars: int = 5) -> DataFrame:
     """A row per cluster: size, its most persistent members, and its most frequent category with its share in thousandths."""
     order = Window.partitionBy("cluster").orderBy("step", F.desc("similarity"), "doc_id")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelite.llm.density import density_clusters, describe, place
+from kestrelite.llm.density import density_clusters, describe, nearest_means, place
 from kestrelite.llm.growing_sample import BITS, STEP, growing_sample
-from kestrelite.llm.knn import nearest_neighbours
+from kestrelite.llm.knn import nearest_neighbours, unit, unpack, usable_vectors
 from kestrelite.llm.leakage import leaked_items
 from kestrelite.llm.neardup import group_pairs, near_duplicate_groups
 from kestrelite.llm.packing import FIT, INDEX, SEED, WHOLE, pack_texts
@@ -17,6 +19,7 @@ from kestrelite.llm.percentiles import combine, radix_histogram, radix_select
 from kestrelite.llm.quotas import draw_samples, target_report
 from kestrelite.llm.subjects import subject_areas
 from kestrelite.operators.redelivery import normalised_node
+from kestrelite.operators.search import merge_top_k, shard_hits
 from kestrelite.scratch import materialize, shared_dir
 from kestrelite.sources.tables import table
 
@@ -130,6 +133,48 @@ def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(density_clusters(docs, "doc_id", "vector")[0], docs, "doc_id", "category")
 
 
+@_register
+def p6_division(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the clusters are from a right division: members not similar to their own mean (0.6), or similar to another (0.5), and docs outside that are
+    similar to a mean (0.6). The SQL says that there are none."""
+    members, means = density_clusters(table(spark, sf_dir, "docs"), "doc_id", "vector")
+    members, means = materialize(members.select("doc_id", F.col("cluster").alias("own")), "division"), materialize(means, "division-means")
+    vectors = usable_vectors(table(spark, sf_dir, "docs"), "doc_id", "vector", 64)
+    near = nearest_means(vectors, means).join(members, "doc_id", "left")
+    inside = F.col("own").isNotNull()
+    return near.agg(
+        F.count_if(inside & ((F.col("own") != F.col("cluster")) | (F.col("best") < 0.6))).alias("unlike_their_own"), F.count_if(inside & (F.col("second") >= 0.5)).alias("like_another"), F.count_if(~inside & (F.col("best") >= 0.6)).alias("left_out"),
+    )
+
+
+ORACLE["p6_division"] = "SELECT CAST(0 AS BIGINT) AS unlike_their_own, CAST(0 AS BIGINT) AS like_another, CAST(0 AS BIGINT) AS left_out"
+
+
+@_register
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of p5_nearest against exact search, for the same query docs: how many there are, and whether 0.9 is reached. The SQL says that it is."""
+    vectors = materialize(usable_vectors(table(spark, sf_dir, "docs"), "doc_id", "vector", 64), "recall")
+
+    def decode(batches):
+        for batch in batches:
+            x = unit(unpack(batch.column(1), 64)) if batch.num_rows else np.empty((0, 64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "vector"])
+
+    x = vectors.mapInArrow(decode, "doc_id long, vector array<double>")
+    asked = x.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), "vector")
+    exact = shard_hits(x.withColumn("shard_id", F.lit(0)), asked, 11, 64).where("qid <> doc_id")
+    truth = merge_top_k(exact, 10).select("qid", "doc_id")
+    got = p5_nearest(spark, sf_dir).select(F.col("doc_id").alias("qid"), F.col("neighbour").alias("doc_id"))
+    hit = truth.join(got.withColumn("found", F.lit(1)), ["qid", "doc_id"], "left")
+    # A near tie may be told apart in either way.
+    return hit.agg(F.countDistinct("qid").alias("queries"), (F.coalesce(F.sum("found"), F.lit(0)) >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+
+ORACLE["p5_recall"] = """
+    WITH u AS (SELECT DISTINCT doc_id, CAST(vector AS DOUBLE[]) AS v FROM docs WHERE doc_id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+    SELECT count(DISTINCT doc_id) AS queries, TRUE AS reached FROM u WHERE doc_id % 100 = 0 AND list_inner_product(v, v) > 0"""
+
+
 @_register
 def p4_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All draws by swap repair: (draw_id, doc_id, category). What p4_found lists follows from counts alone, before any sample is drawn."""
