@@ -4,9 +4,10 @@ Texts are measured in tokens of a public tokenizer. One longer than a container
 item like the shorter texts, which are never split. Items are spread over shards of about `shard_items` by hash of id, text and, for repeated rows,
 the number of the copy; so containers are the same however the table is partitioned. Each shard has a BM25 inverted index of its items (document
 frequencies are those of all documents, by a table of 2^20 counters); nearest means nearest in the shard. The largest unused item is the seed of the
-next container; the index returns the unused items nearest to it, which fill the container in that order as they fit. Then the last one is
-exchanged for the unused item that leaves least room, if that leaves less, and the room is filled with the largest items that fit. `placed` says
-which of these put a piece where it is: whole (a container of its own), seed, index, fit.
+next container; the index returns the unused items nearest to it, which fill the container in that order as they fit. If more than CLOSE tokens
+are then left, the last one is exchanged for the nearest unused item that leaves no more than that, or else for the one that leaves least; what
+room there still is is filled with the largest items that fit. `placed` says what put a piece where it is: whole (a container of its own), seed,
+index (nearness, by words in common), fit (size alone).
 
 Defined results: texts without tokens (null, empty) take no place; each row is a text, also if its id or text repeats, and null ids are kept; ties of
 score or size go to the first in order of (id, tokens, terms); empty tables give empty results; texts are read whole.
@@ -115,6 +116,8 @@ class _ShardIndex:
 
 
 WHOLE, SEED, INDEX, FIT = "whole", "seed", "index", "fit"
+#: Tokens that may be left over for the sake of nearness.
+CLOSE = 16
 
 
 def fill(sizes: np.ndarray, capacity: int, scores) -> list[list[tuple[int, str]]]:
@@ -128,29 +131,37 @@ def fill(sizes: np.ndarray, capacity: int, scores) -> list[list[tuple[int, str]]
         taken, room = [(seed, SEED)], capacity - int(sizes[seed])
         fits = np.flatnonzero(unused & (sizes <= room))
         if len(fits):
-            near = scores(seed)[fits]
-            for i in fits[np.argsort(-near, kind="stable")].tolist():
+            near = scores(seed)
+
+            def best_of(may: np.ndarray, space: int, near=near) -> tuple[int, str]:
+                close = may[sizes[may] >= space - CLOSE]
+                if len(close):
+                    i = int(close[near[close].argmax()])
+                    return i, INDEX if near[i] > 0 else FIT
+                return int(may[sizes[may].argmax()]), FIT
+
+            for i in fits[np.argsort(-near[fits], kind="stable")].tolist():
                 if sizes[i] <= room:
-                    taken.append((i, INDEX))
+                    taken.append((i, INDEX if near[i] > 0 else FIT))
                     unused[i] = False
                     room -= int(sizes[i])
                     if room < 8:
                         break
-            if room and len(taken) > 1:  # another last item, if it leaves less room
+            if room > CLOSE and len(taken) > 1:  # another last item, if it leaves less room
                 last = taken[-1][0]
                 may = np.flatnonzero(unused & (sizes <= room + sizes[last]) & (sizes > sizes[last]))
                 if len(may):
-                    best = int(may[sizes[may].argmax()])
+                    best, how = best_of(may, room + int(sizes[last]))
                     unused[last], unused[best] = True, False
                     room += int(sizes[last] - sizes[best])
-                    taken[-1] = (best, FIT)
+                    taken[-1] = (best, how)
             while room:
                 may = np.flatnonzero(unused & (sizes <= room))
                 if not len(may):
                     break
-                best = int(may[sizes[may].argmax()])
+                best, how = best_of(may, room)
                 unused[best] = False
-                taken.append((best, FIT))
+                taken.append((best, how))
                 room -= int(sizes[best])
         out.append(taken)
     return out
