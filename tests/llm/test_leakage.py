@@ -24,13 +24,13 @@ def parts(text, size=5):
 TALK = ["Good morning, everyone.", "You never listen to me.", "Come on, hurry up!", "Nobody told me, Kemium."]
 
 
-def tests(spark, items=ITEMS):
+def held_out(spark, items=ITEMS):
     return spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id int, text string, doc_id string, words int")
 
 
 def found(spark, texts):
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in texts], SCHEMA)
-    return {(r["item_id"], r["doc_id"]) for r in leaked_items(df, "doc_id", "text", tests(spark)).collect()}
+    return {(r["item_id"], r["doc_id"]) for r in leaked_items(df, "doc_id", "text", held_out(spark)).collect()}
 
 
 def test_whole_noisy_damaged_and_partial(spark):
@@ -108,14 +108,14 @@ def test_long_items_and_plain_texts(spark):
     items = [*ITEMS, (9, long)]
     texts = [(1, long), (2, "Read on at www.nasa.gov or write to a@b.org:\n" + ITEM), (3, subtitles(parts(long, 7))), (4, subtitles(TALK + ["Download more at www.x.example\n" + ITEM]))]
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in texts], SCHEMA)
-    got = {(r["item_id"], r["doc_id"]) for r in leaked_items(df, "doc_id", "text", tests(spark, items)).collect()}
+    got = {(r["item_id"], r["doc_id"]) for r in leaked_items(df, "doc_id", "text", held_out(spark, items)).collect()}
     assert got == {(9, 1), (1, 2), (9, 3), (1, 4)}
 
 
 def test_other_scripts(spark):
     russian, chinese = "Сорок пустых одеял стояли под медным мостом и никто не знал зачем", "四十条空被子站在铜桥下面没有人知道为什么"
     df = spark.createDataFrame([(1, subtitles(TALK + parts(russian)), "", ""), (2, subtitles([chinese])[:-2], "", ""), (3, subtitles(TALK), "", "")], SCHEMA)
-    got = {(r["item_id"], r["doc_id"]) for r in leaked_items(df, "doc_id", "text", tests(spark, [(1, russian), (2, chinese)])).collect()}
+    got = {(r["item_id"], r["doc_id"]) for r in leaked_items(df, "doc_id", "text", held_out(spark, [(1, russian), (2, chinese)])).collect()}
     assert got == {(1, 1), (2, 2)}
 
 
@@ -127,5 +127,5 @@ def test_items_in_several_sets(spark, monkeypatch):
 def test_words_and_empty(spark):
     assert words_of("L'été, thirty-one 12 uh ?a") == ["lt", "thirtyone", "a"]
     assert robust("modern") == robust("modem") and robust("Iist".lower()) == robust("list")
-    assert leaked_items(spark.createDataFrame([], SCHEMA), "doc_id", "text", tests(spark)).count() == 0
-    assert leaked_items(spark.createDataFrame([(1, ITEM, "", "")], SCHEMA), "doc_id", "text", tests(spark, [])).count() == 0
+    assert leaked_items(spark.createDataFrame([], SCHEMA), "doc_id", "text", held_out(spark)).count() == 0
+    assert leaked_items(spark.createDataFrame([(1, ITEM, "", "")], SCHEMA), "doc_id", "text", held_out(spark, [])).count() == 0
