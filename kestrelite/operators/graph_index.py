@@ -190,13 +190,20 @@ def _ordered(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], v[order]
 
 
-def build_graphs(vectors: DataFrame, dim: int, m: int = 16, ef: int = 100, seed: int = 0) -> DataFrame:
-    """The edge lists of all shards of (doc_id, shard_id, vector)."""
+def replica_seed(seed: int, shard: int, replica: str) -> int:
+    """A seed of its own for each replica of a shard; that of the shard alone for the unnamed one."""
+    import xxhash
+
+    return (seed + shard) ^ (xxhash.xxh3_64_intdigest(replica) if replica else 0)
+
+
+def build_graphs(vectors: DataFrame, dim: int, m: int = 16, ef: int = 100, seed: int = 0, replica: str = "") -> DataFrame:
+    """The edge lists of all shards of (doc_id, shard_id, vector), as the named replica of each builds them."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = int(table["shard_id"][0].as_py())
         ids, v = _ordered(table, dim)
-        g = build(v, m, ef, seed + shard)
+        g = build(v, m, ef, replica_seed(seed, shard, replica))
         rows = [(shard, layer, row, int(ids[row]), near.tolist()) for layer, links in enumerate(g.layers) for row, near in sorted(links.items())]
         c = list(zip(*rows, strict=True)) if rows else [[]] * 5
         return pa.table({"shard_id": pa.array(c[0], pa.int32()), "layer": pa.array(c[1], pa.int32()), "row": pa.array(c[2], pa.int32()), "doc_id": pa.array(c[3], pa.int64()), "neighbours": pa.array(c[4], pa.list_(pa.int32()))})
@@ -329,14 +336,26 @@ def hops(traced: DataFrame) -> DataFrame:
     return z.select("qid", "shard_id", "hop", "r.node", "r.parent", "r.dist", "r.offset", F.shiftright("r.meta", 3).bitwiseAND(F.lit(15)).alias("layer"), F.col("r.meta").bitwiseAND(F.lit(7)).alias("kind"))
 
 
-def projections(vectors: DataFrame, dim: int) -> DataFrame:
-    """(shard_id, row, doc_id, x, y): two principal axes of each shard, signs such that the largest loading is positive, each scaled to at most 1."""
+def projections(vectors: DataFrame, dim: int, method: str = "pca", seed: int = 0) -> DataFrame:
+    """(shard_id, row, doc_id, x, y) by `method`: `umap` where that package is installed, else and by default two principal axes of each shard, signs such that the largest loading is positive, each scaled to at most 1."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = int(table["shard_id"][0].as_py())
         ids, v = _ordered(table, dim)
         xy = np.zeros((len(v), 2))
-        if len(v):
+        reducer = None
+        if method == "umap" and len(v) > 15:
+            try:
+                from umap import UMAP
+
+                reducer = UMAP(n_neighbors=15, min_dist=0.1, metric="cosine", random_state=seed ^ shard)
+            except ImportError:
+                pass
+        if reducer is not None:
+            p = reducer.fit_transform(v)
+            p = p - p.mean(0)
+            xy = p / np.maximum(np.abs(p).max(0), 1e-12)
+        elif len(v):
             _, _, axes = np.linalg.svd(v - v.mean(0), full_matrices=False)
             axes = axes[:2]
             axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]

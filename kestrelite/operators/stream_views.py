@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kestrelite.operators.ordered import sliced, with_lag, with_running
 
@@ -24,21 +29,43 @@ def grants_per_run(requests: DataFrame, key: str, time: str, cap: int, window: i
     """(key, requests, granted): a request is granted if fewer than `cap` grants lie at most `window` before it.
 
     A grant depends on grants, not on requests, so no window frame expresses it. After a pause longer than the window no grant counts any more: the
-    requests between two such pauses are one run, and only a run is folded in order.
+    requests between two such pauses are one run, and only a run is folded in order. Runs are read as sorted streams, of which a task holds the last `cap`
+    grants and no more; a run that has a large part of all requests is one task's reading, but never one task's memory.
     """
     cut = with_lag(sliced(requests.select(key, time), [key], [time]), [key], [time], {"_before": time})
     cut = cut.withColumn("_new", F.when(F.col(time) - F.col("_before") <= window, 0).otherwise(1)).drop("_slice")
     runs = with_running(sliced(cut, [key], [time, "_new"]), [key], [time, "_new"], "_run", F.col("_new"), "sum")
-    times = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(time)).alias("_times"))
-    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.lit(0).cast("bigint").alias("granted"))
+    kind = dict(requests.dtypes)[key]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, n, granted, out = None, deque(), 0, 0, []
+        for batch in batches:
+            for k, run, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (k, run) != now:
+                    if now is not None:
+                        out.append((now[0], n, granted))
+                    now, n, granted = (k, run), 0, 0
+                    held.clear()
+                n += 1
+                while held and t - held[0] > window:
+                    held.popleft()
+                if len(held) < cap:
+                    held.append(t)
+                    granted += 1
+            if len(out) > 10_000:
+                yield told(out)
+                out = []
+        if now is not None:
+            out.append((now[0], n, granted))
+        yield told(out)
 
-    def step(state: Column, t: Column) -> Column:
-        held = F.filter(state["held"], lambda x: t - x <= window)
-        ok = F.size(held) < cap
-        return F.struct(F.when(ok, F.concat(held, F.array(t))).otherwise(held).alias("held"), (state["granted"] + F.when(ok, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias("granted"))
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], keys), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], [key, "n", "g"])
 
-    folded = times.select(key, F.size("_times").alias("_n"), F.aggregate("_times", start, step, lambda s: s["granted"]).alias("_granted"))
-    return folded.groupBy(key).agg(F.sum("_n").alias("requests"), F.sum("_granted").alias("granted"))
+    keys = to_arrow_type(requests.schema[key].dataType)
+    ordered = runs.where(F.col(time).isNotNull()).select(key, "_run", time).repartition(key, "_run").sortWithinPartitions(key, "_run", time)
+    folded = ordered.mapInArrow(fold, f"`{key}` {kind}, n long, g long")
+    return folded.groupBy(key).agg(F.sum("n").alias("requests"), F.sum("g").alias("granted"))
 
 
 def first_at_or_above(left: DataFrame, left_id: str, value: str, right: DataFrame, right_id: str, bound: str) -> DataFrame:

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from kestrelite.functions.scalars import bucket_of, shard_of, snippet
 from kestrelite.operators.corpus import corpus_digest, normalise_records, query_set, stratified_sample
 from kestrelite.operators.embed import cached_embeddings
-from kestrelite.operators.graph_index import build_graphs, check_graph, projections
+from kestrelite.operators.graph_index import projections
 from kestrelite.operators.ordered import sliced, with_number
 from kestrelite.operators.partitioning import balanced_assignment, kmeans_rounds, ranked_shards, room_of, shard_labels
+from kestrelite.plans.index import index_for
 from kestrelite.plans.settings import Settings
 from kestrelite.scratch import materialize, remove_path
 from kestrelite.sources.sealed import read_sealed, write_sealed
@@ -54,10 +55,7 @@ def ingest(raw: DataFrame, store: str, settings: Settings, sample: int | None =
     if sealed.count() != docs.count():
         raise ValueError("not every record came into a shard")
     sealed.select("shard_id", "seq", "doc_id", "source_id").write.mode("overwrite").parquet(f"{store}/ids")
-    if settings.index_type == "hnsw":
-        tasks = sealed.repartition(settings.shards, "shard_id")  # a task a shard
-        write_sealed(build_graphs(tasks, settings.model_dim, settings.m, settings.ef_construction, seed), f"{store}/edges", "shard_id")
-        check_graph(read_sealed(spark, f"{store}/edges", "shard_id"), sealed, settings.model_dim, settings.m)
+    index_for(settings).seal(sealed, f"{store}/edges", settings.shards, seed)
     projections(sealed, settings.model_dim).write.mode("overwrite").parquet(f"{store}/projections")
     query_set(sealed, "doc_id", "title", 300, seed).write.mode("overwrite").json(f"{store}/queries")
     labels = {str(r["shard_id"]): r["label"] for r in shard_labels(sealed, "shard_id", "bucket").collect()}  # a row a shard

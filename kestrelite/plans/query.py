@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrelite.operators.embed import hash_embedding
-from kestrelite.operators.graph_index import search_graphs
-from kestrelite.operators.search import coverage, merge_top_k, plan_probes, score_shards, shard_hits
+from kestrelite.operators.search import coverage, merge_top_k, plan_probes, score_shards
+from kestrelite.plans.index import index_of
 from kestrelite.plans.ingest import open_store, store_centroids
 from kestrelite.scratch import materialize
 
@@ -37,10 +37,7 @@ def run_queries(spark: SparkSession, store: str, queries: DataFrame, k: int = 0,
     answered = plan.where("probed").join(F.broadcast(health.where("answers")), "shard_id", "left_semi").select("qid", "shard_id")
     answered = None if probe <= 0 and not down else materialize(answered, "answered")
     vectors = sealed.select("doc_id", "shard_id", "vector")
-    if meta["index_type"] == "hnsw":
-        found = search_graphs(vectors, spark.read.parquet(f"{store}/edges/data"), asked, meta["dim"], k, ef, meta["m"], plan=answered).select("qid", "shard_id", "doc_id", "score")
-    else:
-        found = shard_hits(vectors, asked, k, meta["dim"], answered)
+    found = index_of(meta["index_type"], meta["dim"], meta["m"]).search(vectors, f"{store}/edges", asked, k, ef, answered)
     hits = merge_top_k(found, k)
     # Titles and snippets are fetched for what is left.
     hits = hits.join(sealed.select("doc_id", "title", "snippet", "category"), "doc_id", "left").select("qid", "rank", "doc_id", "score", "title", "snippet", "category", "shard_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kestrelite.functions.scalars import shard_of
 from kestrelite.operators.graph_index import RESULT, VISIT, build_graphs, hops, inspector_buffers, projections, search_graphs, walk_digest
 from kestrelite.operators.partitioning import balanced_assignment, kmeans, ranked_shards
-from kestrelite.operators.search import merge_top_k
+from kestrelite.operators.search import Route, merge_top_k
 from kestrelite.plans.gates import sweep_gates
 from kestrelite.plans.sweep import run_sweep
 from kestrelite.queries.search import _ALL, DIM, K
@@ -97,6 +97,14 @@ def hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_top_k(hits.select("qid", "shard_id", "doc_id", "score"), K).join(visited, "qid").select("qid", "doc_id", F.round("score", 6).alias("score"), "rank", "visited_total")
 
 
+@register()
+def hnsw_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph search with beam 100 in the half of the shards whose centroid is nearest: no others are read."""
+    v, edges, centroids = graph_store(spark, sf_dir, "semantic")
+    hits = search_graphs(v, edges, _asked(spark, sf_dir), DIM, K, 100, plan=Route(centroids, max(1, len(centroids) // 2)))
+    return merge_top_k(hits.select("qid", "shard_id", "doc_id", "score"), K).select("qid", "shard_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @register()
 def hnsw_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes, edges and degrees by shard and layer."""

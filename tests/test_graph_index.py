@@ -119,3 +119,10 @@ def test_a_walk_evaluates_a_part_of_clustered_vectors():
         visits.append(1 + sum(t[1] == VISIT for t in trace))
         found += len(hits & set(np.argsort(-(x @ q))[:10].tolist()))
     assert max(visits) < 1000 and np.mean(visits) < 650 and found / 600 >= 0.95
+
+
+def test_replicas_have_graphs_of_their_own(spark, corpus):
+    df = spark.createDataFrame([(i, 0, corpus[i].tolist()) for i in range(150)], "doc_id long, shard_id int, vector array<float>")
+    a, b, c = (sorted(map(tuple, build_graphs(df, 24, replica=r).collect())) for r in ("shard-0a", "shard-0b", "shard-0a"))
+    assert a == c and a != b
+    assert projections(df, 24, "umap").count() == 150  # by its own method or, without that package, by the other

@@ -46,9 +46,8 @@ def test_a_large_batch_is_searched_by_graph(spark, tmp_path, monkeypatch):
     ingest(raw(spark), store, Settings(16, 3, 1, "hash", "hnsw"))
     q = spark.createDataFrame([(i, f"Title {i} and more") for i in range(7)], "qid long, text string")
     one = sorted(map(str, run_queries(spark, store, q, k=3, ef=5)["hits"].collect()))
-    for at in ("plans.query", "operators.graph_index"):
-        monkeypatch.setattr(f"kestrelite.{at}.BLOCK", 3, raising=False)
-    monkeypatch.setattr("kestrelite.plans.query.shard_hits", None)
+    monkeypatch.setattr("kestrelite.operators.graph_index.BLOCK", 3)
+    monkeypatch.setattr("kestrelite.plans.index.shard_hits", None)
     assert sorted(map(str, run_queries(spark, store, q, k=3, ef=5)["hits"].collect())) == one and len(one) == 21
 
 
@@ -125,3 +124,23 @@ def test_recording_bench_and_command_line(spark, tmp_path, capsys):
     newest = {(r["shard_id"], r["backup_node"]) for r in spark.read.parquet(maps).where("epoch = 5").collect()}
     assert newest == {(0, "z"), (1, "c")} and spark.read.parquet(maps).where("epoch > 5").count() == 0
     assert json.loads([x for x in capsys.readouterr().out.splitlines() if '"verb"' in x][-1])["ok"] is False
+
+
+def test_encoders(spark):
+    from dataclasses import dataclass
+
+    from kestrelite.operators.embed import embedding
+
+    @dataclass
+    class Lengths:
+        dim: int
+        name: str = "lengths"
+
+        def encode(self, texts):
+            return np.array([[len(t) + 1.0, 1.0] for t in texts])
+
+    df = spark.createDataFrame([("abc",), (None,), ("abc",)], "t string")
+    v = [r[0] for r in df.select(embedding(Lengths(2), batch=2)(F.col("t"))).collect()]
+    assert v[0] == v[2] and v[0] == pytest.approx([4 / 17**0.5, 1 / 17**0.5]) and v[1] == pytest.approx([0.5**0.5] * 2)
+    with pytest.raises(Exception, match="not of length 3"):
+        df.select(embedding(Lengths(3))(F.col("t"))).collect()
