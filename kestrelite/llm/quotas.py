@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from kestrelite.scratch import materialize
 
 BUCKETS = 4096
+#: Targets are a table made by hand: they come to the driver, and more than these are an error.
+MOST_TARGETS = 100_000
 OTHER = ""
 
 
@@ -78,7 +80,9 @@ def repair(have: dict[str, int], targets: dict[str, tuple[int, int]], size: int,
 
 def plan_draws(who: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[list[tuple], list[tuple]]:
     """(draw_id, category, wanted, need, have, take, met) of all targets, and (draw_id, category, take) of everything that is taken."""
-    rows = [r.asDict() for r in targets.collect()]
+    rows = [r.asDict() for r in targets.limit(MOST_TARGETS + 1).collect()]
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     wanted_names = {str(r["category"] or "").strip(" \t").lower() for r in rows}
     named = who.withColumn("category", F.when(F.col("category").isin(*sorted(wanted_names)), F.col("category")).otherwise(F.lit(OTHER)))
     have = {r["category"]: r["n"] for r in named.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}

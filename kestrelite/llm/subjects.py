@@ -243,7 +243,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, id_column: str, tex
     n = each.count()
     if n > sample_rows:
         each = each.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
-    rows = documents.select(F.col(f"`{id_column}`").alias("label_id"), F.col(f"`{text_column}`").alias("text"), F.col(f"`{source_column}`").alias("source")).join(each, "label_id").dropDuplicates(["label_id"]).orderBy("label_id").collect()
+    # The sample is what is broadcast: about `sample_rows` ids, each with the few subjects that there are.
+    rows = documents.select(F.col(f"`{id_column}`").alias("label_id"), F.col(f"`{text_column}`").alias("text"), F.col(f"`{source_column}`").alias("source")).join(F.broadcast(each), "label_id").dropDuplicates(["label_id"]).orderBy("label_id").collect()
     return [(r["text"], r["source"]) for r in rows], [set(r["subjects"]) for r in rows]
 
 

@@ -36,3 +36,43 @@ def test_empty(spark):
     assert draw_samples(none, "doc_id", "category", targets).count() == 0
     some = spark.createDataFrame([(1, "cs.LG", 1, "", "")], DOCS)
     assert draw_samples(some, "doc_id", "category", spark.createDataFrame([], TARGETS)).count() == 0
+
+
+def test_no_sample_that_keeps_the_minima_deviates_less():
+    import itertools
+    import random
+
+    rng = random.Random(0)
+    for trial in range(200):
+        have = {c: rng.randint(0, 7) for c in ("a", "b", "c", "")}
+        size = rng.randint(0, 14)
+        targets = {c: (rng.randint(0, 6), rng.randint(0, 3)) for c in ("a", "b", "c")}
+        targets = {c: (max(w, m), m) for c, (w, m) in targets.items()}
+        take = repair(have, targets, size, trial)
+        total = min(size, sum(have.values()))
+        assert sum(take.values()) == total and all(0 <= take[c] <= have[c] for c in have)
+        floors = {c: min(have[c], targets[c][1]) if c in targets else 0 for c in have}
+        if sum(floors.values()) > total:
+            continue
+        off = lambda t: sum(abs(t[c] - targets.get(c, (0, 0))[0]) for c in have)
+        names = sorted(have)
+        least = min(off(dict(zip(names, t, strict=True))) for t in itertools.product(*[range(floors[c], have[c] + 1) for c in names]) if sum(t) == total)
+        assert all(take[c] >= floors[c] for c in have) and off(take) == least
+
+
+def test_registered_method_and_report(spark):
+    from kestrelite.llm.queries import QUERIES
+
+    names = [n for n in QUERIES if n.startswith("p4_")]
+    assert names[0] == "p4_method"
+    from tests.compare import DATA
+
+    report = {(r["draw_id"], r["category"].strip(" \t").lower()): r for r in QUERIES["p4_report"](spark, DATA).collect()}
+    drawn = QUERIES["p4_method"](spark, DATA).collect()
+    assert len(drawn) == len({(r["draw_id"], r["doc_id"]) for r in drawn})
+    taken = {}
+    for r in drawn:
+        taken[r["draw_id"], r["category"]] = taken.get((r["draw_id"], r["category"]), 0) + 1
+    for key, r in report.items():
+        if not r["met"]:
+            assert taken.get(key, 0) <= r["have"] < r["need"]
