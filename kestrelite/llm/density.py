@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrelite.llm.knn import _assigned, cells, fit_lists, list_chunks, parts_of, split_lists, unit, unpack, usable_vectors
+from kestrelite.llm.knn import _assigned, cells, fit_lists, parts_of, split_lists, unit, unpack, usable_vectors
 from kestrelite.operators.components import connected_components
 from kestrelite.scratch import materialize, release
 
@@ -371,9 +371,8 @@ def density_clusters(
         placed = placed.drop("node").join(tagged, "doc_id", "left").select("doc_id", F.coalesce("first", "doc_id").alias("node"), "step")
         heavy = tagged.where("doc_id = first").select("doc_id", F.lit(True).alias("heavy"))
     lists = spark.sparkContext.broadcast(fit_lists(nodes, dim, n if heavy is None else nodes.count(), list_size, sample_rows))
-    spread = split_lists(_assigned(nodes, lists, dim, 2, 0.1, 0, 0.1, "false").where("posted"), dim, list_size, split, 2, 0.1, 0, 0.1)
-    chunks = materialize(list_chunks(spread, cell), "density-lists")
-    spread = cells(spread.withColumn("asks", F.lit(False)), cell, chunks)
+    spread, chunks = split_lists(_assigned(nodes, lists, dim, 2, 0.1, 0, 0.1, "false").where("posted"), dim, list_size, split, cell, 2, 0.1, 0, 0.1)
+    spread = cells(spread.withColumn("asks", F.lit(False)), chunks)
     # Of a list in chunks each pair of chunks is a task; (p, q) and (q, p) hold the same vectors.
     spread = spread.select(F.col("list").cast("long").alias("list"), F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.col("p").alias("own"), "doc_id", "vec")
     if chunks.where("n > 2").limit(1).count():  # a pair of chunks is then not the whole list

@@ -180,14 +180,14 @@ def _assigned(vectors: DataFrame, lists, dim: int, replicas: int, ratio: float,
     return narrow.mapInArrow(spread, "list int, home boolean, posted boolean, asks boolean, doc_id long, vec binary")
 
 
-def split_lists(assigned: DataFrame, dim: int, list_size: int, split: int, replicas: int, ratio: float, probes: int, probe_ratio: float) -> DataFrame:
-    """(list, posted, asks, doc_id, vec) with lists of more than `split` stored rows replaced by second-level lists of their own."""
+def split_lists(assigned: DataFrame, dim: int, list_size: int, split: int, cell: int, replicas: int, ratio: float, probes: int, probe_ratio: float) -> tuple[DataFrame, DataFrame]:
+    """((list, posted, asks, doc_id, vec), (list, n)): lists of more than `split` stored rows are replaced by second-level lists of their own; n: the chunks of each."""
     columns = ["list", "posted", "asks", "doc_id", "vec"]
     wide = assigned.withColumn("list", F.col("list").cast("long") * SUBLISTS)
-    large = assigned.where("posted").groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split)  # a row a list at most
-    large = materialize(large, "knn-large")
+    counts = materialize(assigned.groupBy("list").agg(F.count_if("posted").alias("n"), F.count(F.lit(1)).alias("all")), "knn-lists")  # a row a list
+    large = counts.where(F.col("n") > split).select("list", "n")
     if not large.limit(1).count():
-        return wide.select(columns)
+        return wide.select(columns), counts.select((F.col("list").cast("long") * SUBLISTS).alias("list"), F.ceil(F.col("all") / cell).cast("int").alias("n"))
     held = materialize(assigned.join(F.broadcast(large), "list"), "knn-split")
     part = F.lit(float(1 << 20)) * SUB_ROWS / F.col("n")
     sample = held.where("posted").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part).select("list", "n", "doc_id", "vec")
@@ -225,7 +225,8 @@ def split_lists(assigned: DataFrame, dim: int, list_size: int, split: int, repli
 
     parts = rows.groupBy("list", "chunk").cogroup(each.groupBy("list", "chunk")).applyInArrow(place, "list long, posted boolean, asks boolean, doc_id long, vec binary")
     rest = wide.join(F.broadcast(large.select((F.col("list").cast("long") * SUBLISTS).alias("list"))), "list", "left_anti")
-    return rest.select(columns).union(parts.select(columns))
+    whole = rest.select(columns).union(parts.select(columns))
+    return whole, materialize(list_chunks(whole, cell), "knn-chunks")
 
 
 def parts_of(rows: int, spark, size: int = 16_384) -> int:
@@ -234,14 +235,16 @@ def parts_of(rows: int, spark, size: int = 16_384) -> int:
 
 
 def list_chunks(assigned: DataFrame, cell: int) -> DataFrame:
-    """(list, n): chunks of each list; one row per centroid."""
+    """(list, n): chunks of each list."""
     return assigned.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("n"))
 
 
-def cells(assigned: DataFrame, cell: int, n: DataFrame | None = None) -> DataFrame:
-    """`assigned` with `p` and `q`: a list of up to `cell` rows is one cell; a longer one is cut into chunks, with a cell for each pair of chunks."""
-    n = list_chunks(assigned, cell) if n is None else n
-    cut = assigned.join(F.broadcast(n), "list").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
+def cells(assigned: DataFrame, chunks: DataFrame) -> DataFrame:
+    """`assigned` with `p` and `q`: a list of one chunk is one cell; of a longer one each pair of chunks is a cell.
+
+    Lists of the first level are at most as many as its centroids; where there are second levels the join is left to the planner.
+    """
+    cut = assigned.join(chunks, "list").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
     whole = cut.where("n = 1").select("list", F.lit(0).alias("p"), F.lit(0).alias("q"), "posted", "asks", "doc_id", "vec")
     parts = cut.where("n > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     stored = parts.where("posted").select("list", F.col("h").alias("p"), F.col("o").alias("q"), F.lit(True).alias("posted"), (F.col("asks") & (F.col("h") == F.col("o"))).alias("asks"), "doc_id", "vec")
@@ -310,8 +313,8 @@ def nearest_neighbours(
         extra = asking.join(salted, ["vec", "salt"]).select("doc_id", "neighbour", F.lit(1.0).alias("similarity"), F.col("r").alias("rank"))
     lists = spark.sparkContext.broadcast(fit_lists(stored, dim, n if extra is None else stored.count(), list_size, sample_rows))
     reads = (probes or replicas, ratio if probe_ratio is None else probe_ratio)
-    spread = split_lists(_assigned(stored, lists, dim, replicas, ratio, *reads, queries), dim, list_size, split, replicas, ratio, *reads)
-    spread = cells(spread, cell).repartition(parts_of(n * replicas, spark), "list", "p", "q")
+    spread, chunks = split_lists(_assigned(stored, lists, dim, replicas, ratio, *reads, queries), dim, list_size, split, cell, replicas, ratio, *reads)
+    spread = cells(spread, chunks).repartition(parts_of(n * replicas, spark), "list", "p", "q")
     found = spread.groupBy("list", "p", "q").applyInArrow(_nearest_in_cell(dim, k, least), "doc_id long, neighbour long, similarity double")
     found = found.groupBy("doc_id", "neighbour").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("similarity"), "neighbour")
