@@ -158,6 +158,16 @@ def publish_batches(events: DataFrame, node: str, time_ns: str, order: list[str]
     return numbered.withColumn("batch", F.expr(f"(_i - 1) div {most}")).drop("_i", "_slice")
 
 
+def ring_drops(events: DataFrame, node: str, time_ns: str, order: list[str], capacity: int, flush_ms: int = 50) -> DataFrame:
+    """(node, kept, dropped): what a bounded buffer that is emptied every `flush_ms` lets through. It holds `capacity` events, rounded up to a power of two;
+    when it is full the newest are dropped and counted."""
+    most = 1 << max(0, capacity - 1).bit_length()
+    held = events.withColumn("window", F.expr(f"`{time_ns}` div {flush_ms * 1_000_000}"))
+    by = [node, "window"]
+    place = with_number(sliced(held, by, order), by, order, "_i")
+    return place.groupBy(node).agg(F.count_if(F.col("_i") <= most).alias("kept"), F.count_if(F.col("_i") > most).alias("dropped"))
+
+
 def live_frames(batches: DataFrame, at_ms: str, order: list[str], flush_ms: int = 33, cap: int = 1000) -> DataFrame:
     """(flush, topic, events, dropped): what a subscriber gets at each flush: one frame a topic, and how many batches were dropped from its queue.
 

@@ -142,6 +142,13 @@ def publish_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("node_id").agg(F.count(F.lit(1)).alias("batches"), F.max("n").alias("largest"), F.sum("n").alias("events"))
 
 
+@register(f"""WITH {_E}, w AS (SELECT node_id, row_number() OVER (PARTITION BY node_id, t_mono_ns // 60000000000 ORDER BY batch_id, t_mono_ns, seq) AS i FROM e)
+    SELECT node_id, count(*) FILTER (i <= 8) AS kept, count(*) FILTER (i > 8) AS dropped FROM w GROUP BY node_id""")
+def ring_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a buffer of eight events, emptied every minute of a node's clock here, would have let through."""
+    return control.ring_drops(_events(spark, sf_dir).select("node_id", *ARRIVAL), "node_id", "t_mono_ns", ARRIVAL, 7, 60_000)
+
+
 _CAP, _FLUSH = 40, 600_000
 
 

@@ -91,6 +91,12 @@ def test_publishing_and_live_frames(spark):
     assert got == [(0, "meta", 0, 6), (0, "metrics", 4, 0), (0, "spans", 4, 0), (1, "spans", 7, 0)]
 
 
+def test_a_full_ring_drops_the_newest(spark):
+    events = spark.createDataFrame([("a", t * 1_000_000) for t in range(70)] + [("b", 1)], "node string, t long")
+    got = {r["node"]: (r["kept"], r["dropped"]) for r in control.ring_drops(events, "node", "t", ["t"], 9, 50).collect()}
+    assert got == {"a": (32, 38), "b": (1, 0)}  # nine become sixteen; two windows
+
+
 def test_progress_and_nodes(spark):
     rows = spark.createDataFrame([(s, i) for s, n in ((1, 5), (2, 4)) for i in range(n)], "shard int, id long")
     assert sorted(tuple(r) for r in control.build_progress(rows, "shard", ["id"], 2).collect()) == [(1, 2, 5), (1, 4, 5), (1, 5, 5), (2, 2, 4), (2, 4, 4)]
