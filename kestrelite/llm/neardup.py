@@ -5,9 +5,10 @@ connected by links. The overlap counts are entries of a sparse matrix product, d
 
   1. A table of 2^20 counters holds how many documents have a word (by hash, so a counter is never too low and its size is fixed).
   2. Documents with the same set of words become one class; only classes are multiplied.
-  3. Each class has its words in order of rarity, words of no other document last. Only its prefix is multiplied, by the size-derived bound in
-     full: a link leaves at most a - ceil(threshold * a) words of a record of a words unmatched, so two linked records share `ngram` of their
-     first a - ceil(threshold * a) + ngram words, and no link can be lost. A shorter prefix is a parameter.
+  3. Each class has its words in order of rarity, words of no other document last. Common words, of more than 1/64 of the documents, have no columns.
+     Of the others only the prefix is multiplied, by the size-derived bound in full: a link leaves at most a - ceil(threshold * a) words of a
+     record of a words unmatched, so two linked records that share `ngram` words that aren't common have `ngram` of them in their first
+     a - ceil(threshold * a) + ngram words, and no such link can be lost. A shorter prefix is a parameter.
   4. A column, that is a word, goes to a block by hash, and a block, a bounded share of the columns, is multiplied in one task. What a class has
      in a column is a stem: the word and the words after it in the prefix, with size and sketch. Two stems of a column that have another word in
      common, or two where that word has many classes, are one entry of the product; entries that sizes or the 128-bit sketch (each word flips a
@@ -16,10 +17,14 @@ connected by links. The overlap counts are entries of a sparse matrix product, d
      whole overlap of the prefixes, and beyond it only words after a prefix can be shared; a pair whose count plus those can't reach
      threshold / (1 + threshold) of both sizes together is discarded.
   6. Words of more than `STEM` documents have too many stems for a block. Their columns are combinations of `ngram` words of the prefix, written
-     out; pairs that share one are discarded by the sketch. A column of more than `hot` classes isn't multiplied in its block: its rows are cut
-     into sub-blocks, and each pair of sub-blocks is one dense product in a task. One of `huge` classes, too many for a block, is found by a
-     sample beforehand and spread over several blocks on its way there.
-  7. What is left is decided by exact counts over the whole sets of words.
+     out; pairs that share one are discarded by the sketch. A column of more than `hot` classes, of stems `DENSE` times as many, isn't multiplied
+     in its block: its rows are cut into sub-blocks, and each pair of sub-blocks is one dense product in a task. One of `huge` classes, too many
+     for a block, is found by a sample beforehand and spread over several blocks on its way there.
+  7. Two linked records that share fewer than `ngram` other words have nearly the same common words: all words in only one of them are at most
+     (1 - threshold) / (1 + threshold) of both sizes together, and nearly all that aren't common are among these. What is left for the common words
+     is a sum of two numbers, one of each record (`slack`). If at most e of them may differ, one of e + 1 parts of them is alike: each class has
+     an entry for each part, at a few levels of e, and a pair counts at the level of its sum. So no link can be lost here either.
+  8. What is left is decided by exact counts over the whole sets of words.
 
 Defined results
   * A null text counts as empty; a record without any word is in no group; a null id is left out.
@@ -47,6 +52,14 @@ BLOCK_BYTES = 16 << 20
 STEM = 20_000
 #: Classes of a column that are paired before all `ngram` words are used.
 FEW = 64
+#: A word is common, and no column, in more than this share of the records, but not in fewer records than the second number.
+COMMON, COMMON_LEAST = 1 / 64, 400
+#: The common words are cut into one part more than may differ: up to 2, 5, 9, 15, ... of them, to more than a text can have.
+LEVELS = [2, 5, 9]
+while LEVELS[-1] < 1 << 31:
+    LEVELS.append(int(LEVELS[-1] * 1.62) + 1)
+#: A column of stems is compared by sketches in its block up to so many times `hot` classes.
+DENSE = 32
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -76,31 +89,35 @@ def _word_sets(batch: pa.RecordBatch, hashes: _Hashes) -> list[np.ndarray]:
     return out
 
 
-def _document_frequency(docs: DataFrame) -> np.ndarray:
+def _document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How many records have a word, by slot; how many records have any."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = _Hashes(), np.zeros(SLOTS, np.int64)
+        hashes, seen = _Hashes(), np.zeros(SLOTS + 1, np.int64)
         for batch in batches:
             sets = _word_sets(batch, hashes)
             if sets:
-                seen += np.bincount((np.concatenate(sets) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                seen += np.bincount((np.concatenate(sets) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS + 1)
+                seen[SLOTS] += sum(len(s) > 0 for s in sets)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["slot", "n"])
 
     total = docs.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(SLOTS, np.int64)  # at most SLOTS rows come back, whatever the collection
+    df = np.zeros(SLOTS + 1, np.int64)  # at most SLOTS + 1 rows come back, whatever the collection
     df[total["slot"].to_numpy()] = total["n"].to_numpy()
-    return df
+    return df[:SLOTS], int(df[SLOTS])
 
 
-def _classes(docs: DataFrame, frequency) -> DataFrame:
-    """(doc_id, cls, size, shared, words): the words as 8-byte hashes in order of rarity, the first `shared` of them occurring elsewhere."""
+def _classes(docs: DataFrame, frequency, most: int) -> DataFrame:
+    """(doc_id, cls, size, shared, common, words): the words as 8-byte hashes in order of rarity, the first `shared` of them occurring elsewhere,
+    the last `common` of those in more than `most` records."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes, df = _Hashes(), frequency.value
         for batch in batches:
-            ids, cls, size, shared, words, sketch = [], [], [], [], [], []
+            ids, cls, size, shared, common, words, sketch = [], [], [], [], [], [], []
             for doc_id, s in zip(batch.column(0).to_pylist(), _word_sets(batch, hashes), strict=True):
                 if len(s):
                     n = df[(s % np.uint64(SLOTS)).astype(np.int64)]
@@ -110,13 +127,14 @@ def _classes(docs: DataFrame, frequency) -> DataFrame:
                     cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                     size.append(len(s))
                     shared.append(k)
+                    common.append(int((n > most).sum()))
                     words.append(s[order].tobytes())
                     odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % 128, minlength=128) & 1
                     sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             sketch = np.array(sketch, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(shared, pa.int32()), pa.array(words, pa.binary()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], ["doc_id", "cls", "size", "shared", "words", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(shared, pa.int32()), pa.array(common, pa.int32()), pa.array(words, pa.binary()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], ["doc_id", "cls", "size", "shared", "common", "words", "s0", "s1"])
 
-    return docs.mapInArrow(make, "doc_id long, cls long, size int, shared int, words binary, s0 long, s1 long")
+    return docs.mapInArrow(make, "doc_id long, cls long, size int, shared int, common int, words binary, s0 long, s1 long")
 
 
 def _combos(n: int, k: int) -> np.ndarray:
@@ -165,6 +183,8 @@ def _keys_of(words: list[np.ndarray], sizes: np.ndarray, shared: np.ndarray, thr
 ENTRY = np.dtype([("key", "<u4"), ("cls", "<i8")])
 #: One of the first words of a class; `n` words after it follow elsewhere, and `rest` words that others may have come after the prefix.
 HEAD = np.dtype([("cls", "<i8"), ("s0", "<i8"), ("s1", "<i8"), ("size", "<i4"), ("rest", "<i4"), ("word", "<u4"), ("n", "<i4")])
+#: A part of the common words of a class; `slack` in quarters.
+PART = np.dtype([("key", "<u4"), ("level", "<i2"), ("cls", "<i8"), ("s0", "<i8"), ("s1", "<i8"), ("size", "<i4"), ("slack", "<i4")])
 #: What comes out of a block: pairs that the sketch hasn't seen yet, rows of a hot column, pairs that sketch and overlap count allow.
 PLAIN, HOT, COUNTED = 0, 1, 2
 
@@ -195,6 +215,49 @@ def _unpacked(heads: list[bytes], tails: list[bytes]) -> tuple[np.ndarray, np.nd
     return np.ascontiguousarray(np.concatenate(place)).view(HEAD).ravel(), tail.view("<u4").ravel()
 
 
+def _slack(size, common, threshold: float, ngram: int, floor=np.ceil):
+    """Quarters, rounded up, of how many common words a class lets differ: of two linked classes with fewer than `ngram` other words in both, as many as both together."""
+    return floor(((1 - threshold) / (1 + threshold) * size - (size - common) + ngram - 1) * 4 - 1e-6)
+
+
+def _places(frequency: np.ndarray, most: int, records: int) -> np.ndarray:
+    """The common words, by slot, numbered from those that tell most apart on: dealt out in turn, they make parts of about the same weight."""
+    slots = np.flatnonzero(frequency > most)
+    order = np.argsort(np.abs(2 * frequency[slots] - records), kind="stable")
+    places = np.zeros(SLOTS, np.int32)
+    places[slots[order]] = np.arange(len(slots))
+    return places
+
+
+def _parts(cls: np.ndarray, sketch: np.ndarray, size: np.ndarray, shared: np.ndarray, common: np.ndarray, words: list[np.ndarray], places: np.ndarray, threshold: float, ngram: int, top: int, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(entries, block), in order of blocks: the common words of each class in parts, at each level that a pair with the class can have."""
+    slack = _slack(size, common, threshold, ngram).astype(np.int64)
+    # What a class as large as a link allows can have; no class has more than `top`.
+    most_both = slack + np.minimum(top, _slack(size / threshold, size / threshold, threshold, ngram)).astype(np.int64)
+    # Without common words only classes of fewer than `ngram` / threshold words have a link here, and a single word none that isn't its own class.
+    may = (common > 0) | ((size <= (ngram - 1) / threshold) & ((size > 1) | (threshold <= 0.5)))
+    least = 0
+    for level, most in enumerate(LEVELS):
+        left = np.flatnonzero(may & (most_both >= 4 * least))
+        if not len(left):
+            break
+        n, least = most + 1, most + 1
+        step = max(1, 500_000 // n)
+        for at in np.split(left, range(step, len(left), step)):
+            flat = np.concatenate([words[r][shared[r] - common[r] : shared[r]] for r in at])
+            turn = places[(flat % np.uint64(SLOTS)).astype(np.int64)] % (2 * n)
+            of = np.repeat(np.arange(len(at)), common[at]) * n + np.minimum(turn, 2 * n - 1 - turn)
+            total = np.zeros(len(at) * n, np.uint64)
+            np.add.at(total, of, flat)
+            key = _mix(np.stack([total, np.tile(np.arange(n, dtype=np.uint64), len(at)) + np.uint64(level << 40)], 1))
+            entries, row = np.empty(len(key), PART), np.repeat(at, n)
+            entries["key"], entries["level"], entries["cls"], entries["s0"], entries["s1"] = key.astype(np.uint32), level, cls[row], sketch[row, 0], sketch[row, 1]
+            entries["size"], entries["slack"] = size[row], slack[row]
+            block = ((key >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            yield entries[order], block[order]
+
+
 def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The numbers begin, begin + 1, ... of each range, one after another."""
     n = n.astype(np.int64)
@@ -209,7 +272,7 @@ def _huge_columns(classes: DataFrame, n: int, huge: int, threshold: float, prefi
     if n <= huge:
         return np.empty(0, np.uint64)
     part = min(1.0, sample_rows / n)
-    taken = classes.select("cls", "size", "shared", "words").where(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) < int((1 << 20) * part))
+    taken = classes.select("cls", "size", (F.col("shared") - F.col("common")).alias("rare"), "words").where(F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) < int((1 << 20) * part))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,15 +285,16 @@ def _huge_columns(classes: DataFrame, n: int, huge: int, threshold: float, prefi
     return np.sort(found.toArrow()["key"].to_numpy().view(np.uint64))  # at most the sample's entries over that count
 
 
-def _blocks(classes: DataFrame, blocks: int, threshold: float, prefix: int | None, ngram: int, huge: np.ndarray, salts: int, frequency, stem: int) -> DataFrame:
+def _blocks(classes: DataFrame, blocks: int, threshold: float, prefix: int | None, ngram: int, huge: np.ndarray, salts: int, frequency, stem: int, most: int, records: int, top: int) -> DataFrame:
     """(block, entries, tail): the incidence matrix by blocks of columns; a few large binary rows instead of one row an entry.
 
     Entries of huge columns are spread by class over `salts` further blocks, numbered from `blocks` on. Words of at most `stem` documents
-    have stems, in blocks below 0, whose tail holds the words after each.
+    have stems, in blocks below 0, whose tail holds the words after each. Parts of the common words are in blocks below -`blocks`; `top` is the largest slack.
     """
     held = classes.sparkSession.sparkContext.broadcast(huge)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _places(frequency.value, most, records)
         done: set[int] = set()  # exact copies of a class within a task are multiplied once
         for batch in batches:
             cls = batch.column(0).to_numpy()
@@ -246,13 +310,18 @@ def _blocks(classes: DataFrame, blocks: int, threshold: float, prefix: int | Non
             size, shared = batch.column(1).to_numpy()[fresh].astype(np.int64), batch.column(2).to_numpy()[fresh].astype(np.int64)
             column = batch.column(3)
             words = [np.frombuffer(column[i].as_py(), np.uint64) for i in fresh]
+            sketch, common = np.stack([batch.column(4).to_numpy()[fresh], batch.column(5).to_numpy()[fresh]], 1), batch.column(6).to_numpy()[fresh].astype(np.int64)
+            for parts, block in _parts(cls[fresh], sketch, size, shared, common, words, places, threshold, ngram, top, blocks):
+                cut = np.flatnonzero(np.diff(block)) + 1
+                packed = [p.view(np.uint8).reshape(-1, PART.itemsize).T.tobytes() for p in np.split(parts, cut)]
+                yield pa.RecordBatch.from_arrays([pa.array((-1 - blocks - block[np.concatenate([[0], cut])]).astype(np.int32)), pa.array(packed, pa.binary()), pa.array([b""] * len(packed), pa.binary())], ["block", "entries", "tail"])
+            known, shared = shared, shared - common
             skip = np.zeros(len(size), np.int64)
             if ngram > 1:
                 take = np.maximum(_prefix_of(size, shared, threshold, prefix, ngram), 0)
                 rare = frequency.value[(np.concatenate([w[:n] for w, n in zip(words, take.tolist(), strict=True)]) % np.uint64(SLOTS)).astype(np.int64)] <= stem
                 skip = np.bincount(np.repeat(np.arange(len(size)), take)[rare], minlength=len(size))
-                sketch = np.stack([batch.column(4).to_numpy()[fresh], batch.column(5).to_numpy()[fresh]], 1)
-                heads, tail = _stems(cls[fresh], sketch, size, shared, words, take, skip, ngram)
+                heads, tail = _stems(cls[fresh], sketch, size, known, words, take, skip, ngram)
                 if len(heads):
                     block = (_mix(heads["word"].astype(np.uint64)[:, None]) >> np.uint64(32)) % np.uint64(blocks)
                     order = np.argsort(block, kind="stable")
@@ -279,7 +348,7 @@ def _blocks(classes: DataFrame, blocks: int, threshold: float, prefix: int | Non
             parts = np.split(entries, cut)
             yield pa.RecordBatch.from_arrays([pa.array(block[np.concatenate([[0], cut])]), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([b""] * len(parts), pa.binary())], ["block", "entries", "tail"])
 
-    return classes.select("cls", "size", "shared", "words", "s0", "s1").mapInArrow(emit, "block int, entries binary, tail binary")
+    return classes.select("cls", "size", "shared", "words", "s0", "s1", "common").mapInArrow(emit, "block int, entries binary, tail binary")
 
 
 def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,6 +367,63 @@ def _pairs_in(start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarra
             yield (s + i).ravel(), (s + j).ravel()
 
 
+def _close(start: np.ndarray, length: np.ndarray, s0: np.ndarray, s1: np.ndarray, size: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of both ends of the pairs within runs that sketches and sizes allow, in bounded parts."""
+    most = ((1 - threshold) / (1 + threshold) * size + 1e-6).astype(np.float32)
+
+    def similar(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+        return i[ok], j[ok]
+
+    for i, j in _pairs_in(start[length <= 2 * FEW], length[length <= 2 * FEW]):
+        ok = np.flatnonzero(np.bitwise_count(s0[i] ^ s0[j]) + np.bitwise_count(s1[i] ^ s1[j]) <= most[i] + most[j])
+        yield similar(i[ok], j[ok])
+    for b, n in zip(start[length > 2 * FEW].tolist(), length[length > 2 * FEW].tolist(), strict=True):
+        for lo in range(b, b + n, 256):
+            for at in range(lo, b + n, 2048):
+                x, y = slice(lo, min(lo + 256, b + n)), slice(at, min(at + 2048, b + n))
+                apart = np.bitwise_count(s0[x, None] ^ s0[y]) + np.bitwise_count(s1[x, None] ^ s1[y])
+                i, j = np.nonzero(apart <= most[x, None] + most[y])
+                i, j = i + lo, j + at
+                yield similar(i[i < j], j[i < j])
+
+
+def _multiply_parts(table: pa.Table, threshold: float) -> pa.Table:
+    """Pairs of classes that have a part of the common words alike, at the level of what both together let differ, and that the sketch allows."""
+    entries = np.concatenate([np.frombuffer(e, np.uint8).reshape(PART.itemsize, -1).T for e in table["entries"].to_pylist()])
+    entries = np.ascontiguousarray(entries).view(PART).ravel()
+    slack = entries["slack"].astype(np.int64)
+    base = int(slack.min())
+    group = (entries["level"].astype(np.int64) << 32) | entries["key"].astype(np.int64)
+    order = np.lexsort((entries["cls"], slack, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(entries["cls"][order]) != 0) | (np.diff(group[order]) != 0)
+    entries, slack, group = entries[order[new]], slack[order[new]], group[order[new]]
+    width = int(slack.max()) - base + 2
+    rank = np.cumsum(np.concatenate([[0], np.diff(group) != 0])) * width
+    code = rank + slack - base
+    level = entries["level"].astype(np.int64)
+    lowest = 4 * np.concatenate([[0], np.array(LEVELS[:-1]) + 1])[level] - slack - base
+    highest = 4 * (np.array(LEVELS)[level] + 1) - slack - base
+    at = np.arange(len(code))
+    lo = np.maximum(np.searchsorted(code, rank + np.clip(lowest, 0, width - 1)), at + 1)
+    count = np.maximum(np.searchsorted(code, rank + np.clip(highest, 0, width - 1)) - lo, 0)
+    cls, s0, s1, size = entries["cls"].copy(), entries["s0"].astype(np.uint64), entries["s1"].astype(np.uint64), entries["size"].astype(np.int64)
+    most = ((1 - threshold) / (1 + threshold) * size + 1e-6).astype(np.float32)
+    total, found, done = np.cumsum(count), [np.empty((0, 2), np.int64)], 0
+    while done < len(at):
+        upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 2_000_000)))
+        i, j = np.repeat(at[done:upto], count[done:upto]), _ranges(lo[done:upto], count[done:upto])
+        ok = np.flatnonzero(np.bitwise_count(s0[i] ^ s0[j]) + np.bitwise_count(s1[i] ^ s1[j]) <= most[i] + most[j])
+        i, j = i[ok], j[ok]
+        ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+        a, b = cls[i[ok]], cls[j[ok]]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        done = upto
+    found = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1]), "kind": pa.array(np.full(len(found), COUNTED, np.int8))})
+
+
 def _overlaps(i: np.ndarray, j: np.ndarray, begin: np.ndarray, end: np.ndarray, tail: np.ndarray) -> np.ndarray:
     """How many words the tails of the stems i and j have in common, pair by pair; words that collide can only make it more."""
     out = np.zeros(len(i), np.int64)
@@ -320,7 +446,7 @@ def _multiply_stems(table: pa.Table, hot: int, threshold: float, ngram: int) ->
     new[1:] = (np.diff(heads["cls"][order]) != 0) | (np.diff(heads["word"][order].astype(np.int64)) != 0)
     heads, begin = heads[order[new]], begin[order[new]]
     cls, s0, s1, size, end = heads["cls"].copy(), heads["s0"].astype(np.uint64), heads["s1"].astype(np.uint64), heads["size"].astype(np.int64), begin + heads["n"]
-    share, entries, rows = (1 - threshold) / (1 + threshold), [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
+    entries, rows = [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)]
     row, key, after = np.arange(len(heads)), heads["word"].astype(np.uint64), begin
     for depth in range(2, ngram + 1):
         n = end[row] - after
@@ -329,14 +455,10 @@ def _multiply_stems(table: pa.Table, hot: int, threshold: float, ngram: int) ->
         order = np.argsort(key)
         row, key, after = row[order], key[order], at[order] + 1
         start, length = _runs(key) if len(key) else (np.empty(0, np.int64), np.empty(0, np.int64))
-        most = hot if depth == ngram else min(FEW, hot)
+        most = DENSE * hot if depth == ngram else min(FEW, hot)
         of = (length > 1) & (length <= most)
-        for i, j in _pairs_in(start[of], length[of]):
+        for i, j in _close(start[of], length[of], s0[row], s1[row], size[row], threshold):
             i, j = row[i], row[j]
-            ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
-            i, j = i[ok], j[ok]
-            ok = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j]) <= share * (size[i] + size[j]) + 1e-9
-            i, j = i[ok], j[ok]
             entries.append(np.unique(np.minimum(i, j) * len(heads) + np.maximum(i, j)))
         large = np.repeat(length > most, length)
         row, key, after = row[large], key[large], after[large]
@@ -355,6 +477,8 @@ def _multiply(hot: int, blocks: int, threshold: float, ngram: int):
     """Accumulate the products of one block of columns: pairs of classes that share a column; rows of a hot column come out as they are."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table["block"][0].as_py() < -blocks:
+            return _multiply_parts(table, threshold)
         if table["block"][0].as_py() < 0:
             return _multiply_stems(table, hot, threshold, ngram)
         entries = np.frombuffer(b"".join(table["entries"].to_pylist()), ENTRY)
@@ -465,16 +589,19 @@ def _hot_links(classes: DataFrame, rows: DataFrame, hot: int, threshold: float)
     return full.groupBy("column", "lo", "hi").applyInArrow(product, "a long, b long").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, id_column: str, text_columns: list[str], threshold: float = 0.8, prefix: int | None = None, ngram: int = 3, hot: int = 512, huge: int = 1_000_000) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_column: str, text_columns: list[str], threshold: float = 0.8, prefix: int | None = None, ngram: int = 2, hot: int = 512, huge: int = 1_000_000) -> DataFrame:
     """(doc_id, group_id, group_size) for each id that shares a group with another id; group_id is the smallest id of the group."""
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"text_{i}") for i, c in enumerate(text_columns)]).where("doc_id IS NOT NULL")
-    frequency = spark.sparkContext.broadcast(_document_frequency(texts))
-    classes = materialize(_classes(texts, frequency), "neardup-classes")
+    counts, records = _document_frequency(texts)
+    frequency = spark.sparkContext.broadcast(counts)
+    most = max(COMMON_LEAST, int(COMMON * records))
+    classes = materialize(_classes(texts, frequency, most), "neardup-classes")
     columns = len(_combos(prefix, ngram)) if prefix else 400
-    n = classes.count()
+    slack = _slack(F.col("size"), F.col("common"), threshold, ngram, F.ceil)
+    n, top = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(slack), F.lit(0))).first()
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * columns * ENTRY.itemsize // BLOCK_BYTES))
-    spread = _blocks(classes, blocks, threshold, prefix, ngram, _huge_columns(classes, n, huge, threshold, prefix, ngram), max(1, -(-n // huge)) * 8, frequency, min(STEM, huge))
+    spread = _blocks(classes, blocks, threshold, prefix, ngram, _huge_columns(classes, n, huge, threshold, prefix, ngram), max(1, -(-n // huge)) * 8, frequency, min(STEM, huge), most, records, int(top))
     # As many partitions as there are blocks, so that what a task reads doesn't grow with the table.
     spread = spread.repartition(2 * blocks, "block")
     pairs = materialize(spread.groupBy("block").applyInArrow(_multiply(hot, blocks, threshold, ngram), "a long, b long, kind tinyint"), "neardup-pairs")

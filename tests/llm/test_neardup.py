@@ -127,3 +127,52 @@ def test_words_with_and_without_stems(spark, monkeypatch, stem):
     rows = corpus(3)
     got = {tuple(r) for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), "doc_id", ["title", "snippet"], 0.6).collect()}
     assert got == brute(rows, 0.6)
+
+
+def templates(seed, n=240):
+    """Records of common words and a few rare ones; many are linked by common words alone."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        if rows and rng.random() < 0.4:
+            words = [w for w in rng.choice(rows)[2].split() if w[0] == "t" or rng.random() < 0.4]
+            if rng.random() < 0.5:
+                words[rng.randrange(len(words))] = f"t{rng.randrange(30)}"
+        else:
+            words = [f"t{k}" for k in rng.sample(range(30), 12)]
+        words += [f"r{rng.randrange(300)}" for _ in range(rng.choice([0, 1, 3, 3, 3, 6]))]
+        rows.append((i, None, " ".join(words), 1, 2, "x", "y"))
+    return rows
+
+
+def test_common_words_are_no_columns(spark, monkeypatch):
+    """Words of many records have no columns, neither alone nor combined, of which there would be many hot ones."""
+
+    def refuse(*_):
+        raise AssertionError("a hot column")
+
+    for name, value in (("STEM", 20), ("COMMON_LEAST", 20)):
+        monkeypatch.setattr(f"kestrelite.llm.neardup.{name}", value, raising=False)
+    monkeypatch.setattr("kestrelite.llm.neardup._hot_links", refuse)
+    rows = templates(1)
+    got = {tuple(r) for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), "doc_id", ["title", "snippet"], 0.6, hot=8).collect()}
+    assert got == brute(rows, 0.6)
+
+
+@pytest.mark.parametrize("least", [1, 6, 25])
+@pytest.mark.parametrize("ngram", [2, 3])
+def test_links_by_common_words(spark, monkeypatch, least, ngram):
+    """What is linked by common words, with few or no other words in both, is found whatever counts as common."""
+    monkeypatch.setattr("kestrelite.llm.neardup.COMMON_LEAST", least)
+    for rows in (corpus(4), templates(2, 150)):
+        for threshold in (0.6, 0.75):
+            got = {tuple(r) for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), "doc_id", ["title", "snippet"], threshold, ngram=ngram).collect()}
+            assert got == brute(rows, threshold)
+
+
+def test_large_columns_of_stems(spark):
+    """A column of two words is compared by sketches in its block while it is large, and spread in sub-blocks when it is larger."""
+    rows = [(i, None, " ".join(["alpha", "beta"] + [f"u{i % 70}v{k}" for k in range(4)] + [f"w{i}"]), 1, 2, "x", "y") for i in range(150)]
+    for hot in (512, 4):
+        got = {tuple(r) for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), "doc_id", ["title", "snippet"], 0.6, hot=hot).collect()}
+        assert got == brute(rows, 0.6)
